@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import quality, winnow
+from sketchloom.functions.storage import scratch_path
+from sketchloom.llm import quality, urlfilter, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back as chunks; one row per record."""
+    folder = scratch_path(spark, "warc")
+    archives = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id", "url", "html", folder)
+    found = warc.records(warc.read_chunks(archives, folder))
+    return found.select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "intact"
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of the base rule and the verdict of the threshold table, for each document."""
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -30,9 +41,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"_quality.{m}").alias(m) for m in measures), "base_failed", "kept")
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explicit rules, else association rules mined from the labels, for every page's address."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    judged = urlfilter.judge(pages, pages.join(marks, "page_id").select("url", "bad"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLES: dict[str, str] = {}
