@@ -47,3 +47,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", max_rows: int = 1_000_000) -> DataFrame:
+    """Join a written table ``right`` of few fixed-width columns: broadcast if it is counted and small, else by shuffles."""
+    from pyspark.sql import functions as F
+
+    return left.join(F.broadcast(right) if right.count() <= max_rows else right, on, how)
