@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions.storage import scratch_path
-from sketchloom.llm import packing, quality, simhash, urlfilter, warc, winnow
+from sketchloom.llm import countmin, linedrain, packing, quality, simhash, urlfilter, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,22 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the lines of recurring templates."""
+    found = linedrain.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all tokenized documents and their places in sequences of at most 4,096 tokens."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the words of 35-word windows that occur anywhere else."""
+    return countmin.dedup_windows(table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept_text")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back as chunks; one row per record."""
     folder = scratch_path(spark, "warc")
@@ -63,7 +74,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_decontamination": op3_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
