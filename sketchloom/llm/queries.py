@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions.storage import scratch_path
-from sketchloom.llm import countmin, linedrain, packing, quality, simhash, urlfilter, warc, winnow
+from sketchloom.llm import countmin, linedrain, packing, quality, simhash, suffixdedup, urlfilter, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the bytes of 400-byte strings that start anywhere else."""
+    return suffixdedup.dedup_bytes(table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without the words of 35-word windows that occur anywhere else."""
     return countmin.dedup_windows(table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept_text")
@@ -76,6 +81,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op6_suffix_array": op6_suffix_array,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,

@@ -70,6 +70,7 @@ class Runs(NamedTuple):
     last: np.ndarray
     gram: np.ndarray  # hash of the gram that all its windows share
     span: np.ndarray  # hash of all values that its windows span, and of where the gram lies
+    lead: np.ndarray  # how far behind the first window's start the gram lies
     prefix: np.ndarray
 
 
@@ -78,7 +79,7 @@ def find_runs(values: np.ndarray, bounds: np.ndarray, length: int, gram: int, ha
     prefix = hasher.prefix(values)
     if len(values) < length:
         none = np.zeros(0, np.int64)
-        return Runs(none, none, none.astype(np.uint64), none.astype(np.uint64), prefix)
+        return Runs(none, none, none.astype(np.uint64), none.astype(np.uint64), none, prefix)
     hashes = hasher.grams(prefix, gram)
     ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     place = (sliding_min(ranked, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -88,7 +89,7 @@ def find_runs(values: np.ndarray, bounds: np.ndarray, length: int, gram: int, ha
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(starts) else starts
     first, last, at = starts[new], starts[np.r_[new[1:], len(starts)] - 1] if len(new) else new, place[new]
     span = mix(hasher.spans(prefix, first, last + length) ^ (at - first).astype(np.uint64) * np.uint64(RADIX))
-    return Runs(first, last, hashes[at], span, prefix)
+    return Runs(first, last, hashes[at], span, at - first, prefix)
 
 
 def blocks(parts: list[np.ndarray], length: int, block: int = BLOCK):
