@@ -11,8 +11,8 @@ Documents are tokenized once, into piece rows. Each piece gets its rank among th
 from counts per partition and length, and rank and pattern give sequence and offset by binary search in the
 broadcast pattern table, whose size depends on ``capacity`` alone. No group is gathered anywhere.
 
-Tokenizing keeps a bounded cache of encoded words: word ends are certain at blanks and line feeds, which
-the vocabulary's pre-tokenizer drops, so a text's identifiers are those of its words in order.
+Tokenizing keeps a bounded cache of encoded words: the vocabulary never merges across words, so a text's
+identifiers are those of its words in order.
 
 Defined cases: a null or empty text is the closing identifier alone. Repeated rows are packed as often as
 they occur. An empty table packs into nothing.
@@ -21,7 +21,10 @@ they occur. An empty table packs into nothing.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,29 +47,61 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters beyond ASCII, and marks that are neither letters, numbers nor white space, that the fast path knows.
+_LETTERS = "\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_MARKS = "\u00a1\u00a7\u00ab\u00b0\u00b7\u00bb\u00bf\u00d7\u00f7\u2013\u2014\u2018-\u201e\u2020-\u2022\u2026\u20ac"
+#: The vocabulary's own split of a lower-case text into words.
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^ \t-\r0-9a-z{_LETTERS}]+")
+_OTHER = re.compile(f"[^\x00-\x7f{_LETTERS}{_MARKS}]")
+
+
+def _byte_characters() -> list[str]:
+    """The printable character that byte-level vocabularies use for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
 class WordCache:
-    """Identifiers of texts as little-endian unsigned 32-bit bytes, by a bounded cache of words."""
+    """Identifiers of texts as little-endian unsigned 32-bit bytes, by a bounded cache of words.
+
+    Texts of Latin letters and common marks are split here and looked up word by word; any other text, and
+    one that spells a special token, goes to the tokenizer as a whole. Both ways give equal identifiers.
+    """
 
     def __init__(self, path: str, size: int = CACHED_WORDS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.size, self.known = Tokenizer.from_file(path), size, {"": b""}
+        self.tokenizer, self.size, self.known = Tokenizer.from_file(path), size, {}
+        self.model, self.characters = self.tokenizer.model, _byte_characters()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        lowered = text if text.isascii() else unicodedata.normalize("NFC", text)
+        lowered = lowered.lower()
+        if not lowered.isascii() and _OTHER.search(lowered):
+            return self.whole(text)
+        words = _WORDS.findall(lowered)
         try:
             return b"".join([self.known[w] for w in words])
         except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > self.size:
-            self.known = {"": b""}
-            new = [w for w in dict.fromkeys(words) if w]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([self.known[w] for w in words])
+            pass
+        if len(self.known) > self.size:
+            self.known = {}
+        known, out = self.known, []
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                spelt = "".join([self.characters[b] for b in w.encode("utf-8", "replace")])
+                ids = known[w] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _cut(path: str, capacity: int):
