@@ -23,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.functions.storage import materialise
+from sketchloom.functions.storage import join_checked, materialise
 
 BLANKS = r"[\x20\x09-\x0D]+"
 WILD = "<*>"
 LEAF = ["n", "lead"]
+#: Rows of a table of templates up to which it is broadcast.
+SMALL = 200_000
 
 
 def line_tokens(line: Column) -> Column:
@@ -66,14 +68,16 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     equal = F.size(F.filter(F.zip_with(F.split("line", " "), "template", lambda a, b: a == b), lambda same: same))
     placed = distinct.join(templates, LEAF).select(*LEAF, "h", F.when(equal >= similar * F.col("n"), F.lit(0).cast("long")).otherwise(F.col("h")).alias("template_id"))
-    of_line = materialise(near.join(placed, [*LEAF, "h"]).select("x", "x_len", "id", "at", *LEAF, "template_id"), "line-templates")
+    placed = materialise(placed, "placed-lines")
+    of_line = materialise(join_checked(near, placed, [*LEAF, "h"], max_rows=SMALL).select("x", "x_len", "id", "at", *LEAF, "template_id"), "line-templates")
 
     template = [*LEAF, "template_id"]
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("x").alias("x"), F.col("x_len").alias("x_len"))
     per_text = of_line.groupBy(*template, "x", "x_len").agg(F.min(order).alias("first"))
     recurring = per_text.groupBy(*template).agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).filter(F.col("texts") >= min_docs)
     recurring = recurring.select(*template, F.col("first.x").alias("fx"), F.col("first.x_len").alias("fl"))
-    dropped = of_line.join(recurring, template).filter((F.col("x") != F.col("fx")) | (F.col("x_len") != F.col("fl")))
+    recurring = materialise(recurring, "recurring-templates")
+    dropped = join_checked(of_line, recurring, template, max_rows=SMALL).filter((F.col("x") != F.col("fx")) | (F.col("x_len") != F.col("fl")))
     return dropped.select("x", "x_len", "at").distinct()
 
 
@@ -82,7 +86,8 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     gone = recurring_lines(docs, doc_id, text, **params).groupBy("x", "x_len").agg(F.collect_list("at").alias("_gone"))
     gone = gone.withColumnRenamed("x", "_x").withColumnRenamed("x_len", "_xl")
     keyed = docs.withColumn("_x0", F.xxhash64(text)).withColumn("_xl0", F.length(text))
-    joined = keyed.join(gone, (F.col("_x0") == F.col("_x")) & (F.col("_xl0") == F.col("_xl")), "left")
+    # Texts move once whatever the number of dropped lines is, so cost grows with the corpus and not by jumps.
+    joined = keyed.join(gone.hint("merge"), (F.col("_x0") == F.col("_x")) & (F.col("_xl0") == F.col("_xl")), "left")
     parts = F.split(text, "\n")
     kept = F.array_join(F.filter(parts, lambda line, at: ~F.array_contains("_gone", at)), "\n")
     counted = joined.withColumn("n_lines", F.coalesce(F.size(F.filter(parts, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long"))
