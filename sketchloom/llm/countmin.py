@@ -163,7 +163,10 @@ def _candidates(shared, slots: int):
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
-    """(x, x_len, starts): the starts of windows of each text that occur anywhere else too; ``texts``: x, x_len, _t."""
+    """(x, x_len, starts): windows of each text that occur anywhere else too, as structs (at, n, ks).
+
+    ``ks`` null: all n windows from ``at``; else those at ``at`` plus each of ``ks``. ``texts``: x, x_len, _t.
+    """
     spark = texts.sparkSession
     bitmaps, slots = repeated_slots(texts)
     shared = spark.sparkContext.broadcast(bitmaps)
@@ -183,10 +186,9 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     parts = materialise(parts, "part-runs")
 
     full = join_checked(found.select("gram", "span", "x", "x_len", "at", F.size("wins").alias("n")), whole, ["gram", "span"])
-    full = full.select("x", "x_len", "at", F.expr("transform(sequence(0, n - 1), k -> k)").alias("ks"))
-    some = join_checked(found.select("gram", "span", "x", "x_len", "at"), parts, ["gram", "span"]).select("x", "x_len", "at", "ks")
-    marks = full.unionByName(some).dropDuplicates(["x", "x_len", "at"])
-    return marks.groupBy("x", "x_len").agg(F.collect_list(F.struct("at", "ks")).alias("starts"))
+    full = full.select("x", "x_len", "at", "n", F.lit(None).cast("array<int>").alias("ks"))
+    some = join_checked(found.select("gram", "span", "x", "x_len", "at", F.size("wins").alias("n")), parts, ["gram", "span"]).select("x", "x_len", "at", "n", "ks")
+    return full.unionByName(some).groupBy("x", "x_len").agg(F.collect_set(F.struct("at", "n", "ks")).alias("starts"))
 
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -198,24 +200,24 @@ def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, removed, digests, texts = [], [], [], []
-        for text, starts in zip(batch.column("_t"), batch.column("starts")):
-            own = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-            lost = np.zeros(len(own), bool)
-            if starts.is_valid:
-                rows = starts.values
-                ks = rows.field("ks")
-                at = np.repeat(rows.field("at").to_numpy(), np.diff(ks.offsets.to_numpy())) + ks.flatten().to_numpy()
-                lost = covered(len(own), at, WINDOW)
-            kept = b" ".join([w for w, gone in zip(own, lost) if not gone] if lost.any() else own)
-            words.append(len(own))
-            removed.append(int(lost.sum()))
-            digests.append(hashlib.sha256(kept).hexdigest())
-            texts.append(kept.decode("utf-8", "surrogatepass"))
-        names = [c for c in batch.schema.names if c not in ("_t", "starts")]
-        arrays = [*(batch.column(c) for c in names), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "n_removed", "kept_sha256", "kept_text"])
+    for whole in batches:
+        for first in range(0, whole.num_rows, 512):
+            batch = whole.slice(first, 512)
+            words, removed, digests, texts = [], [], [], []
+            for text, starts in zip(batch.column("_t"), batch.column("starts")):
+                own = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+                lost = np.zeros(len(own), bool)
+                if starts.is_valid:
+                    at = [np.arange(s["at"], s["at"] + s["n"]) if s["ks"] is None else s["at"] + np.array(s["ks"], np.int64) for s in starts.as_py()]
+                    lost = covered(len(own), np.concatenate(at), WINDOW)
+                kept = b" ".join([w for w, gone in zip(own, lost) if not gone] if lost.any() else own)
+                words.append(len(own))
+                removed.append(int(lost.sum()))
+                digests.append(hashlib.sha256(kept).hexdigest())
+                texts.append(kept.decode("utf-8", "surrogatepass"))
+            names = [c for c in batch.schema.names if c not in ("_t", "starts")]
+            arrays = [*(batch.column(c) for c in names), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
 def dedup_windows(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
