@@ -9,13 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions.storage import scratch_path
-from sketchloom.llm import countmin, linedrain, packing, quality, simhash, suffixdedup, urlfilter, warc, winnow
+from sketchloom.llm import countmin, langid, linedrain, packing, quality, simhash, suffixdedup, urlfilter, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page (all evidence) and of every document (text and source), with its probability.
+
+    The text model is learnt from the documents' labels; ``kept`` is whether one language is likely.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    model = langid.train(docs)
+    columns = ["doc_id", "page_id", "_t", "declared", "suffix", "domain", "host"]
+    of_docs = langid.document_evidence(docs).withColumn("page_id", F.lit(None).cast("long")).select(columns)
+    of_pages = langid.page_evidence(pages).withColumn("doc_id", F.lit(None).cast("long")).select(columns)
+    found = langid.identify(of_docs.unionByName(of_pages), model, ["doc_id", "page_id"])
+    return found.withColumn("kept", F.coalesce(F.col("probability") >= 0.5, F.lit(False)))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and class of near-duplicates of each document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -77,6 +92,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
