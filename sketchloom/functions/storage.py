@@ -11,17 +11,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sketchloom.functions.workers import bounded_batches
+
 LOCAL_FALLBACK = "file:///tmp/checkpoints/sketchloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share; also arms ``checkpoint()``."""
+    """URI of the folder that driver and executors share; also arms ``checkpoint()`` and bounds Arrow batches."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found is None:
         found = LOCAL_FALLBACK
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
+    bounded_batches(spark)
     return found.rstrip("/")
 
 
