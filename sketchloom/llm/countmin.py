@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.functions.storage import join_checked, materialise
+from sketchloom.functions.workers import frugal
 from sketchloom.llm import runs
 
 WINDOW = 35
@@ -126,8 +127,8 @@ def repeated_slots(texts: DataFrame) -> tuple[list[bytes], int]:
     n_bytes = texts.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
     slots = sketch_width(n_bytes)
     width = slots // SLICES
-    pieces = texts.select("_t").mapInArrow(_sketch(slots), "slice int, once binary, twice binary")
-    merged = pieces.repartition(ROWS * SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_merge(width), "slice int, bits binary")
+    pieces = texts.select("_t").mapInArrow(frugal(_sketch(slots)), "slice int, once binary, twice binary")
+    merged = pieces.repartition(ROWS * SLICES, "slice").sortWithinPartitions("slice").mapInArrow(frugal(_merge(width)), "slice int, bits binary")
     found = dict(merged.collect())  # at most ROWS * MAX_SLOTS / 8 bytes
     empty = bytes(width // 8)
     return [b"".join(zlib.decompress(found[r * SLICES + s]) if r * SLICES + s in found else empty for s in range(SLICES)) for r in range(ROWS)], slots
@@ -170,7 +171,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     bitmaps, slots = repeated_slots(texts)
     shared = spark.sparkContext.broadcast(bitmaps)
-    found = texts.mapInArrow(_candidates(shared, slots), "x long, x_len int, at long, gram long, span long, wins array<long>")
+    found = texts.mapInArrow(frugal(_candidates(shared, slots)), "x long, x_len int, at long, gram long, span long, wins array<long>")
     found = materialise(found, "candidate-runs")
     spans = materialise(found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("copies")), "run-spans")
     kinds = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("runs")).filter("runs > 1")
@@ -226,4 +227,4 @@ def dedup_windows(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     marks = repeated_windows(base.select("x", "x_len", "_t").filter("_t is not null"))
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
     joined = base.join(marks, ["x", "x_len"], "left").select(*keep, "_t", "starts")
-    return joined.mapInArrow(_prune, types + "n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return joined.mapInArrow(frugal(_prune), types + "n_words long, n_removed long, kept_sha256 string, kept_text string")

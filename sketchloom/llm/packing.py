@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sketchloom.functions.storage import materialise, shared_dir
+from sketchloom.functions.workers import frugal
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 def default_tokenizer() -> str:
@@ -89,14 +90,14 @@ class WordCache:
             return b"".join([self.known[w] for w in words])
         except KeyError:
             pass
-        if len(self.known) > self.size:
-            self.known = {}
         known, out = self.known, []
         for w in words:
             ids = known.get(w)
             if ids is None:
                 spelt = "".join([self.characters[b] for b in w.encode("utf-8", "replace")])
-                ids = known[w] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+                ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+                if len(known) < self.size:  # frequent words come early
+                    known[w] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -135,7 +136,7 @@ def _types(df: DataFrame) -> str:
 def pieces(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(*keep, piece, start, length, ids_crc32): every document's identifiers, cut where they exceed ``capacity``."""
     out = docs.select(*keep, F.col(text).alias("_t"))
-    return out.mapInArrow(_cut(tokenizer or default_tokenizer(), capacity), _types(docs.select(*keep)) + "piece int, start long, length long, ids_crc32 long")
+    return out.mapInArrow(frugal(_cut(tokenizer or default_tokenizer(), capacity)), _types(docs.select(*keep)) + "piece int, start long, length long, ids_crc32 long")
 
 
 class _Sums:
@@ -259,7 +260,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared_dir(spark)
     columns = found.columns
     types = _types(found)
-    ranked = materialise(found.mapInArrow(_rank(capacity), types + "part long, local_rank long"), "pieces")
+    ranked = materialise(found.mapInArrow(frugal(_rank(capacity)), types + "part long, local_rank long"), "pieces")
     counts = ranked.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = materialise(counts.withColumn("before", before), "piece-counts")
@@ -267,4 +268,4 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(slots(patterns(histogram, capacity)))
     placed = ranked.join(counts.drop("n"), ["part", "length"]).select(*columns, (F.col("local_rank") + F.col("before")).alias("rank"))
-    return placed.mapInArrow(_place(shared), types + "sequence_id long, offset long")
+    return placed.mapInArrow(frugal(_place(shared)), types + "sequence_id long, offset long")

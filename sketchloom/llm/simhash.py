@@ -29,12 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.functions.storage import materialise
+from sketchloom.functions.workers import frugal
 from sketchloom.operators.components import star_components
 
 SPACES = r"[\x20\x09-\x0D]+"
 BITS = 64
 MAX_DIFFERENCE = 3
 BUCKET = 1024
+#: Representatives up to which their keys are broadcast.
+REPRESENTATIVES = 500_000
 
 
 def shingle_hashes(text: Column, size: int = 3) -> tuple[Column, Column]:
@@ -78,7 +81,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", size: int
     tokens, hashes = shingle_hashes(F.col(text), size)
     lists = docs.select(*keep, tokens.alias("_w")).select(*keep, hashes.alias("_h"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", fp bigint"
-    return lists.mapInArrow(_vote, schema)
+    return lists.mapInArrow(frugal(_vote), schema)
 
 
 def _blocks(positions: list[int], parts: int) -> list[list[int]]:
@@ -145,7 +148,7 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
             else:
                 ready = keyed.join(hot, ["mask", "key"], "left_anti")
         lists = ready.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-        found = lists.select("fps").mapInArrow(_link, "src bigint, dst bigint")
+        found = lists.select("fps").mapInArrow(frugal(_link), "src bigint, dst bigint")
         out = found if out is None else out.unionByName(found)
         if hot is None:
             break
@@ -174,7 +177,11 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``docs`` with one row of each class: the one of the smallest identifier (null last), then of the least text hash."""
     hashed = docs.withColumn("_x", F.xxhash64(F.col(text)))
     marked = near_duplicates(hashed, doc_id, text, ("_x",))
+    marked = materialise(marked, "simhash-rows")
     least = marked.groupBy("class").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_x").alias("x"))).alias("m"))
-    chosen = least.select(F.col("m.id").alias("_i"), F.col("m.x").alias("_y"))
-    kept = hashed.join(chosen, hashed[doc_id].eqNullSafe(F.col("_i")) & (hashed["_x"] == F.col("_y")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_x"]).drop("_x")
+    chosen = materialise(least.select(F.col("m.id").alias("_i"), F.col("m.x").alias("_y")), "simhash-chosen")
+    both = hashed[doc_id].eqNullSafe(F.col("_i")) & (hashed["_x"] == F.col("_y"))
+    kept = hashed.join(F.broadcast(chosen) if chosen.count() <= REPRESENTATIVES else chosen, both, "left_semi")
+    if not marked.groupBy(doc_id, "_x").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id, "_x"])  # the same row several times
+    return kept.drop("_x")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.functions.storage import join_checked, materialise
+from sketchloom.functions.workers import frugal
 from sketchloom.llm import induced, runs
 from sketchloom.llm.countmin import covered
 
@@ -38,7 +39,7 @@ LENGTH = 400
 GRAM = 200
 KINDS = 256
 PART = 16
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 _VALUE = runs.mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -190,13 +191,13 @@ def _in_shards(units: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """(grp, span, ks): repeated windows of ``units`` (grp, span, copies, n, bytes)."""
     size = units.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     dealt = units.select("grp", "span", "copies", "n", "bytes").repartition(max(1, -(-size // shard_bytes)), "grp")
-    return dealt.mapInArrow(_shard(length), "grp long, span long, ks array<int>")
+    return dealt.mapInArrow(frugal(_shard(length)), "grp long, span long, ks array<int>")
 
 
 def _refined(segments: DataFrame, length: int, shard_bytes: int, kinds: int) -> DataFrame:
     """(gram, span, ks) for the runs of grams that have too many kinds for one shard."""
     cut = "gram long, span long, k int, copies long, n int, lead int, core long, part long, bytes binary"
-    parts = materialise(segments.mapInArrow(_refine(length, PART), cut), "run-parts")
+    parts = materialise(segments.mapInArrow(frugal(_refine(length, PART)), cut), "run-parts")
     each = parts.groupBy("core", "part").agg(F.sum("copies").alias("copies"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
     met = parts.select("core", "part").distinct().groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
     each = materialise(each.join(met, "core"), "part-kinds")
@@ -204,7 +205,7 @@ def _refined(segments: DataFrame, length: int, shard_bytes: int, kinds: int) ->
     few = each.filter((F.col("kinds") > 1) & (F.col("kinds") <= kinds)).select(F.col("core").alias("grp"), F.col("part").alias("span"), "copies", "n", "bytes")
     out = whole.unionByName(_in_shards(few, length, shard_bytes).toDF("core", "part", "ks"))
     many = each.filter(F.col("kinds") > kinds).select(F.col("core").alias("gram"), F.col("part").alias("span"), "copies", "n", "lead", "bytes")
-    single = materialise(many.mapInArrow(_refine(length, 1), cut).select("gram", "span", "k", "copies", "core"), "single-windows")
+    single = materialise(many.mapInArrow(frugal(_refine(length, 1)), cut).select("gram", "span", "k", "copies", "core"), "single-windows")
     again = single.groupBy("core").agg(F.sum("copies").alias("total")).filter("total > 1").select("core")
     ones = single.filter("copies = 1").join(again, "core").groupBy("gram", "span").agg(F.collect_list("k").alias("ks")).toDF("core", "part", "ks")
     decided = materialise(out.unionByName(ones), "part-repeats")
@@ -217,7 +218,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, s
 
     ``ks`` null: all n windows from ``at``; else those at ``at`` plus each of ``ks``. ``texts``: x, x_len, _t.
     """
-    found = materialise(texts.mapInArrow(_find(length, gram), "x long, x_len int, at long, n int, gram long, span long, lead int"), "byte-runs")
+    found = materialise(texts.mapInArrow(frugal(_find(length, gram)), "x long, x_len int, at long, n int, gram long, span long, lead int"), "byte-runs")
     spans = found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("copies"))
     spans = materialise(spans, "byte-spans")
     met = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("runs")).filter("runs > 1").drop("runs")
@@ -229,7 +230,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, s
     one_each = join_checked(found, mixed, ["gram", "span"]).groupBy("gram", "span", "copies", "kinds").agg(place)
     wanted = one_each.groupBy(F.col("p.x").alias("x"), F.col("p.x_len").alias("x_len")).agg(F.collect_list(F.struct("gram", "span", "copies", "kinds", F.col("p.at").alias("at"), F.col("p.n").alias("n"), F.col("p.lead").alias("lead"))).alias("wanted"))
     holders = texts.join(materialise(wanted, "wanted-runs"), ["x", "x_len"]).dropDuplicates(["x", "x_len"]).select("_t", "wanted")
-    segments = materialise(holders.mapInArrow(_cut_runs(length), "gram long, span long, copies long, kinds long, n int, lead int, bytes binary"), "segments")
+    segments = materialise(holders.mapInArrow(frugal(_cut_runs(length)), "gram long, span long, copies long, kinds long, n int, lead int, bytes binary"), "segments")
 
     cold = segments.filter(F.col("kinds") <= kinds).select(F.col("gram").alias("grp"), "span", "copies", "n", "bytes")
     parts = _in_shards(cold, length, shard_bytes).toDF("gram", "span", "ks")
@@ -272,4 +273,4 @@ def dedup_bytes(docs: DataFrame, keep: list[str], text: str = "text", length: in
     marks = repeated_windows(base.select("x", "x_len", "_t").filter(F.octet_length("_t") >= length), length, **params)
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
     joined = base.join(marks, ["x", "x_len"], "left").select(*keep, "_t", "starts")
-    return joined.mapInArrow(_prune(length), types + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(frugal(_prune(length)), types + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions.storage import materialise, scratch_path
+from sketchloom.functions.workers import frugal
 
 CHUNK = 1 << 20
 REVISIT_FROM = 100
@@ -111,7 +112,7 @@ def write_archives(records: DataFrame, record_id: str, url: str, payload: str, f
             F.when(F.col("_type") == "response", F.substring(known, F.col("_at") * chunk_chars + 1, F.lit(chunk_chars))).otherwise("").alias("chunk"),
         )
     )
-    return materialise(rows.mapInArrow(_write_partition(folder, date), "path string, n_records long"), "warc-files")
+    return materialise(rows.mapInArrow(frugal(_write_partition(folder, date)), "path string, n_records long"), "warc-files")
 
 
 def _make_dir(spark: SparkSession, path: str) -> None:
@@ -208,7 +209,7 @@ def _read_partition(folder_uri: str, chunk_bytes: int, batch_bytes: int = 4 << 2
 def read_chunks(archives: DataFrame, folder: str, chunk_bytes: int = CHUNK) -> DataFrame:
     """One row per chunk of every record in ``archives`` (path). ``folder``: any URI of their file system."""
     n = max(1, archives.count())
-    return archives.select("path").repartition(n).mapInArrow(_read_partition(folder, chunk_bytes), CHUNK_DDL)
+    return archives.select("path").repartition(n).mapInArrow(frugal(_read_partition(folder, chunk_bytes)), CHUNK_DDL)
 
 
 def records(chunks: DataFrame) -> DataFrame:

@@ -24,10 +24,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.functions.storage import materialise
+from sketchloom.functions.storage import join_checked, materialise
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN = 10
+#: Candidate documents up to which their keys and prints are broadcast.
+CANDIDATES = 100_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -92,11 +94,12 @@ def hits(docs: DataFrame, windows: DataFrame, key: list[str], text: str, lengths
     spelled = windows.select("len", "win").distinct()
     out = None
     for length in lengths:
-        of_docs = with_minima(texts, length)
-        listed = of_docs.select(*key, F.explode(F.array_distinct("m")).alias("fp"))
+        listed = with_minima(texts, length).select(*key, F.explode(F.array_distinct("m")).alias("fp"))
         wanted = prints.filter(F.col("len") == length).select("fp")
         matched = listed.join(wanted, "fp", "left_semi").groupBy(*key).agg(F.collect_set("fp").alias("fps"))
-        pairs = texts.join(matched, key)
+        # The few documents with a match are looked at again; only if they are many do texts move to meet them.
+        pairs = join_checked(docs.select(*key, text), materialise(matched, "matched-prints"), key, max_rows=CANDIDATES)
+        pairs = pairs.select(*key, "fps", words(F.col(text)).alias("w")).withColumn("n", F.size("w"))
         starts = with_minima(pairs, length).select(
             *key,
             "w",
@@ -108,6 +111,25 @@ def hits(docs: DataFrame, windows: DataFrame, key: list[str], text: str, lengths
     return out
 
 
+KEY = ["_k", "_x"]
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with what tells its rows apart: the identifier as text, and the hash of the text."""
+    return docs.withColumn("_k", F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).withColumn("_x", F.xxhash64(text))
+
+
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs."""
+    windows = benchmark_windows(items, item_id, item_text, span)
+    if windows is None:
+        return docs
+    lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # span values at most
+    keyed = _keyed(docs, doc_id, text)
+    found = materialise(hits(keyed, windows, KEY, text, lengths).select(*KEY).distinct(), "contaminated")
+    return join_checked(keyed, found, KEY, "left_anti").drop(*KEY)
+
+
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,
@@ -119,7 +141,7 @@ def decontaminate(
 ) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, item_list (sorted), spans (start, len) and contaminated."""
     windows = benchmark_windows(items, item_id, item_text, span)
-    keyed = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).alias("_t"))
+    keyed = _keyed(docs, doc_id, text).select(F.col(doc_id).alias("_id"), *KEY, F.col(text).alias("_t"))
     totals = keyed.select("_id", "_k", "_x", F.size(words(F.col("_t"))).cast("long").alias("n_words"))
     nothing = totals.withColumns(
         {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "item_list": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<s:int,len:int>>")}
