@@ -42,6 +42,6 @@ def frugal(function: Callable, every: int = 32) -> Callable:
 def bounded_batches(spark: SparkSession, n_bytes: int = BATCH_BYTES) -> None:
     """Let the session cut Arrow batches by size, if it doesn't cut them smaller already."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(name, "0b")).rstrip("b")
-    if not now.isdigit() or not 0 < int(now) <= n_bytes:
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > n_bytes:
         spark.conf.set(name, str(n_bytes))
