@@ -124,3 +124,13 @@ def verdict(rules=RULES, q: str = "_quality") -> Column:
 def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with ``_quality``, ``base_failed`` and ``kept``."""
     return measure(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their own columns.
+
+    A filter on ``kept`` would be pushed below the projections and repeat all of their work in its condition;
+    a row that explodes into nothing is dropped just the same, after one evaluation.
+    """
+    judged = judge(docs, text, rules).withColumn("_once", F.explode(F.when(F.col("kept"), F.array(F.lit(1)))))
+    return judged.select(*docs.columns)
