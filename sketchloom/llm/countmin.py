@@ -226,5 +226,6 @@ def dedup_windows(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     base = docs.select(*keep, F.col(text).alias("_t"), F.xxhash64(text).alias("x"), F.coalesce(F.length(text), F.lit(-1)).alias("x_len"))
     marks = repeated_windows(base.select("x", "x_len", "_t").filter("_t is not null"))
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    joined = base.join(marks, ["x", "x_len"], "left").select(*keep, "_t", "starts")
+    # From a written table Spark may split the copies of a very frequent text over tasks.
+    joined = base.join(materialise(marks, "repeated-words").hint("merge"), ["x", "x_len"], "left").select(*keep, "_t", "starts")
     return joined.mapInArrow(frugal(_prune), types + "n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -59,7 +59,7 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = found.join(busy, LEAF).select("x", "x_len", "id", "at", *LEAF, F.concat_ws(" ", masked(F.col("tokens"))).alias("line"))
     near = materialise(near.withColumn("h", F.xxhash64("line")), "busy-lines")
 
-    distinct = materialise(near.groupBy(*LEAF, "h").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("weight")), "distinct-lines")
+    distinct = near.groupBy(*LEAF, "h").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("weight"))
     votes = distinct.select(*LEAF, "weight", F.posexplode(F.split("line", " ")).alias("pos", "token")).groupBy(*LEAF, "pos", "token").agg(F.sum("weight").alias("votes"))
     winners = votes.groupBy(*LEAF, "pos").agg(F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("all"))
     fixed = F.when(F.col("top.votes") >= share * F.col("all"), F.col("top.token")).otherwise(WILD)
@@ -84,7 +84,7 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """``docs`` with ``text`` rid of recurring lines, plus n_lines and n_dropped."""
     gone = recurring_lines(docs, doc_id, text, **params).groupBy("x", "x_len").agg(F.collect_list("at").alias("_gone"))
-    gone = gone.withColumnRenamed("x", "_x").withColumnRenamed("x_len", "_xl")
+    gone = materialise(gone.withColumnRenamed("x", "_x").withColumnRenamed("x_len", "_xl"), "dropped-lines")
     keyed = docs.withColumn("_x0", F.xxhash64(text)).withColumn("_xl0", F.length(text))
     # Texts move once whatever the number of dropped lines is, so cost grows with the corpus and not by jumps.
     joined = keyed.join(gone.hint("merge"), (F.col("_x0") == F.col("_x")) & (F.col("_xl0") == F.col("_xl")), "left")
