@@ -64,7 +64,11 @@ def repeated_words(grams: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_quality`` of the counts that rules are made of."""
+    """``docs`` with a struct column ``_quality`` of the counts that rules are made of.
+
+    The struct holds a row number, which is not deterministic: Spark then evaluates the struct once, and
+    doesn't push filters on it below the projections, where they would repeat all of their work.
+    """
     step = docs.withColumn("_w", words(F.col(text)))
     step = step.withColumn("_n", F.size("_w"))
     window = F.transform(
@@ -98,6 +102,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
             F.size(F.filter("_l", lambda x: x.rlike(r"^\s*[-*•]"))).cast("long").alias("n_bullet_lines"),
             F.size(F.filter("_l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines"),
+            F.monotonically_increasing_id().alias("row"),
         ),
     )
     return step.drop("_w", "_n", "_g", "_l")
@@ -127,10 +132,5 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns.
-
-    A filter on ``kept`` would be pushed below the projections and repeat all of their work in its condition;
-    a row that explodes into nothing is dropped just the same, after one evaluation.
-    """
-    judged = judge(docs, text, rules).withColumn("_once", F.explode(F.when(F.col("kept"), F.array(F.lit(1)))))
-    return judged.select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with their own columns."""
+    return judge(docs, text, rules).filter("kept").select(*docs.columns)
