@@ -104,4 +104,72 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLES: dict[str, str] = {}
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _rule(rule: quality.Rule) -> str:
+    """A line of the threshold table as SQL; a ratio over zero breaks nothing."""
+    top, _, under = rule.ratio.partition(" / ")
+    ratio = f"({top} / nullif({under}, 0))" if under else top
+    bounds = [f"{ratio} >= {rule.low}"] * (rule.low is not None) + [f"{ratio} <= {rule.high}"] * (rule.high is not None)
+    return " AND ".join(f"coalesce({b}, true)" for b in bounds)
+
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH i AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, n, s, item_id FROM dw JOIN iw USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+    "op4_line_dedup": r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+tok AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM l),
+m AS (SELECT *, len(w) AS n, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS mask FROM tok WHERE len(w) > 0),
+leaf AS (SELECT *, array_to_string(mask[1:3], ' ') AS lead, array_to_string(mask, ' ') AS masked FROM m),
+busy AS (SELECT n, lead FROM leaf GROUP BY ALL HAVING count(DISTINCT text) >= 5),
+near AS (SELECT leaf.* FROM leaf JOIN busy USING (n, lead)),
+votes AS (SELECT n, lead, pos, token, count(*) AS v FROM (SELECT n, lead, unnest(mask) AS token, generate_subscripts(mask, 1) AS pos FROM near) GROUP BY ALL),
+win AS (SELECT n, lead, pos, CASE WHEN max(v) >= 0.5 * sum(v) THEN arg_max(token, {'v': v, 't': token}) ELSE '<*>' END AS fixed FROM votes GROUP BY ALL),
+tpl AS (SELECT n, lead, list(fixed ORDER BY pos) AS t FROM win GROUP BY ALL),
+of_line AS (SELECT doc_id, text, k, n, lead, CASE WHEN list_sum(list_transform(list_zip(mask, t), lambda z: (z[1] = z[2])::INT)) >= 0.7 * n THEN '' ELSE masked END AS id FROM near JOIN tpl USING (n, lead)),
+often AS (SELECT n, lead, id, arg_min(text, doc_id) AS first FROM of_line GROUP BY ALL HAVING count(DISTINCT text) >= 5),
+gone AS (SELECT DISTINCT text, k FROM of_line JOIN often USING (n, lead, id) WHERE text <> first),
+kept AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_lines, count(gone.k) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.k) FILTER (gone.k IS NULL), '') AS t
+  FROM l LEFT JOIN gone ON gone.text = l.text AND gone.k = l.k GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, length(t) AS kept_chars, sha256(t) AS kept_sha256 FROM kept""",
+    "op7_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM win JOIN again USING (g)),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT each.doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY each.p) FILTER (gone.p IS NULL) AS t FROM each LEFT JOIN gone ON gone.doc_id = each.doc_id AND gone.p = each.p GROUP BY each.doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to, true AS intact FROM f""",
+    "op9_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM d WHERE len(w) >= 3)),
+again AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([s, s + 1, s + 2]) AS p FROM win JOIN again USING (doc_id, g)) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, (len(lines) - list_unique(lines))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+  len(lines) AS n_lines, len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stop_words,
+  len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS n_bullet_lines, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines
+  FROM d LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(_rule(r) for r in quality.RULES)} AS kept FROM b""",
+}
