@@ -5,12 +5,12 @@ it in slices of compressed slot lists. Slices are merged as streams; a slot that
 twice or more is set in a bitmap. Counts only overestimate, and a window is counted through a gram that it
 contains, so a window that occurs twice always has its slots set: none is lost. The sketch has about eight
 slots per expected gram, up to ``MAX_SLOTS`` per row; that bound is also the bound on what is broadcast.
-On corpora beyond it the sketch passes more grams, and the exact pass sorts them out.
+On corpora beyond it the sketch passes more grams, and the exact pass sorts them out: a gram that passes
+is a row of some forty bytes for about ten words.
 
-Pass 2. Runs whose gram passes go to the exact stage, with the hashes of their windows. Runs are grouped
-by gram and by everything they span: where that repeats, all windows of the run do. Only grams with
-several different spans are looked at window by window, one row per different span, weighted by its
-number of copies. Both groupings are partial aggregates, so a passage that a third of all documents share
+Pass 2. Runs whose gram passes go to the exact stage. They are grouped by gram and by everything they
+span: where that repeats, all windows of the run do. Only grams with several different spans are looked at
+window by window, one text's run per different span, weighted by its number of copies. Both groupings are partial aggregates, so a passage that a third of all documents share
 arrives as a few rows per task.
 
 What a text loses depends on its content alone, so results are keyed by hash and length of the text;
@@ -135,7 +135,8 @@ def repeated_slots(texts: DataFrame) -> tuple[list[bytes], int]:
 
 
 def _candidates(shared, slots: int):
-    schema = pa.schema([("x", pa.int64()), ("x_len", pa.int32()), ("at", pa.int64()), ("gram", pa.int64()), ("span", pa.int64()), ("wins", pa.list_(pa.int64()))])
+    """The runs whose gram the sketch has counted twice or more."""
+    schema = pa.schema([("x", pa.int64()), ("x_len", pa.int32()), ("at", pa.int64()), ("n", pa.int32()), ("gram", pa.int64()), ("span", pa.int64())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps, hasher = [np.frombuffer(b, np.uint8) for b in shared.value], runs.Hasher()
@@ -144,25 +145,34 @@ def _candidates(shared, slots: int):
             for bitmap, own in zip(bitmaps, _slots(found.gram, slots)):
                 set_ &= (bitmap[own >> np.uint64(3)] >> (np.uint64(7) - (own & np.uint64(7))).astype(np.uint8)) & 1 > 0
             first, last = found.first[set_], found.last[set_]
-            if not len(first):
-                continue
-            sizes = last - first + 1
-            ends = np.cumsum(sizes)
-            starts = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1])
-            wins = hasher.spans(found.prefix, starts, starts + WINDOW).view(np.int64)
-            rows = pa.array(part[set_])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("x").take(rows), batch.column("x_len").take(rows), pa.array(first + offset[set_]),
-                    pa.array(found.gram[set_].view(np.int64)), pa.array(found.span[set_].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(wins)),
-                ],
-                schema=schema,
-            )
+            if len(first):
+                rows = pa.array(part[set_])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("x").take(rows), batch.column("x_len").take(rows), pa.array(first + offset[set_]), pa.array((last - first + 1).astype(np.int32)),
+                        pa.array(found.gram[set_].view(np.int64)), pa.array(found.span[set_].view(np.int64)),
+                    ],
+                    schema=schema,
+                )
 
     return candidates
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the wanted runs of each text, one row each."""
+    hasher = runs.Hasher()
+    for batch in batches:
+        for text, wanted in zip(batch.column("_t"), batch.column("wanted")):
+            prefix, own = hasher.prefix(word_hashes(text.as_py() or "")), wanted.values
+            first, sizes = own.field("at").to_numpy(), own.field("n").to_numpy().astype(np.int64)
+            ends = np.cumsum(sizes)
+            k = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+            starts = np.repeat(first, sizes) + k
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            wins = hasher.spans(prefix, starts, starts + WINDOW).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(own.field(c).take(rows) for c in ("gram", "span", "copies")), pa.array(k.astype(np.int32)), pa.array(wins)], names=["gram", "span", "copies", "k", "win"])
+
+
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """(x, x_len, starts): windows of each text that occur anywhere else too, as structs (at, n, ks).
 
@@ -171,24 +181,25 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     bitmaps, slots = repeated_slots(texts)
     shared = spark.sparkContext.broadcast(bitmaps)
-    found = texts.mapInArrow(frugal(_candidates(shared, slots)), "x long, x_len int, at long, gram long, span long, wins array<long>")
-    found = materialise(found, "candidate-runs")
+    found = materialise(texts.mapInArrow(frugal(_candidates(shared, slots)), "x long, x_len int, at long, n int, gram long, span long"), "candidate-runs")
     spans = materialise(found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("copies")), "run-spans")
     kinds = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("runs")).filter("runs > 1")
     kinds = spans.join(kinds, "gram")
     whole = materialise(kinds.filter("copies > 1").select("gram", "span"), "whole-runs")
     mixed = materialise(kinds.filter("kinds > 1").select("gram", "span", "copies"), "mixed-runs")
 
-    # One row for each different run of a gram that has several, window by window.
-    one_each = join_checked(found.select("gram", "span", "wins"), mixed, ["gram", "span"]).groupBy("gram", "span", "copies").agg(F.first("wins").alias("wins"))
-    windows = materialise(one_each.select("gram", "span", "copies", F.posexplode("wins").alias("k", "win")), "mixed-windows")
+    # One text's run for each different run of a gram that has several, window by window.
+    one_each = join_checked(found, mixed, ["gram", "span"]).groupBy("gram", "span", "copies").agg(F.min(F.struct("x", "x_len", "at", "n")).alias("p"))
+    wanted = one_each.groupBy(F.col("p.x").alias("x"), F.col("p.x_len").alias("x_len")).agg(F.collect_list(F.struct("gram", "span", "copies", F.col("p.at").alias("at"), F.col("p.n").alias("n"))).alias("wanted"))
+    holders = texts.join(materialise(wanted, "wanted-runs").hint("merge"), ["x", "x_len"]).dropDuplicates(["x", "x_len"]).select("_t", "wanted")
+    windows = materialise(holders.mapInArrow(frugal(_windows), "gram long, span long, copies long, k int, win long"), "mixed-windows")
     again = windows.groupBy("gram", "win").agg(F.sum("copies").alias("n")).filter("n > 1").select("gram", "win")
     parts = windows.filter("copies = 1").join(again, ["gram", "win"]).groupBy("gram", "span").agg(F.collect_list("k").alias("ks"))
     parts = materialise(parts, "part-runs")
 
-    full = join_checked(found.select("gram", "span", "x", "x_len", "at", F.size("wins").alias("n")), whole, ["gram", "span"])
+    full = join_checked(found, whole, ["gram", "span"])
     full = full.select("x", "x_len", "at", "n", F.lit(None).cast("array<int>").alias("ks"))
-    some = join_checked(found.select("gram", "span", "x", "x_len", "at", F.size("wins").alias("n")), parts, ["gram", "span"]).select("x", "x_len", "at", "n", "ks")
+    some = join_checked(found, parts, ["gram", "span"]).select("x", "x_len", "at", "n", "ks")
     return full.unionByName(some).groupBy("x", "x_len").agg(F.collect_set(F.struct("at", "n", "ks")).alias("starts"))
 
 
