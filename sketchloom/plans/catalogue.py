@@ -260,7 +260,7 @@ def _entropy(of: str) -> str:
 ORACLES: dict[str, str] = {
     "doc_sequences": _sql("SELECT name, s AS sequence FROM seqs"),
     "kmer_profile": _sql("SELECT name, count(*) AS kmers, min(value) AS least, max(value) AS most, count(DISTINCT value) AS kinds FROM kmers GROUP BY name"),
-    "min_hashes": _sql("SELECT name, hash_idx, rank::INT AS rank, h FROM least WHERE name IN (SELECT name FROM sh)"),
+    "min_hashes": _sql("SELECT name, hash_idx, rank::INT AS rank, h FROM (SELECT *, count(*) OVER (PARTITION BY name, hash_idx) AS n FROM least) WHERE n = 2"),
     "shingles": _sql("SELECT name, shingle FROM sh"),
     "bucket_sizes": _sql("SELECT shingle, count(DISTINCT name) AS members FROM sh GROUP BY shingle"),
     "level1_edges": _sql("SELECT src, dst FROM arcs"),
