@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.config import SketchConfig
-from sketchloom.functions.hashing import ALPHABET, kmer_value, universal_hash
+from sketchloom.functions.hashing import ALPHABET, universal_hash
 from sketchloom.functions.workers import frugal
 
 SHINGLE_DDL = "name string, hash_idx int, vals array<bigint>"
@@ -66,18 +66,29 @@ def shingles(sequences: DataFrame, cfg: SketchConfig, first_hash: int = 0) -> Da
     return rows.mapInArrow(frugal(_sketch(cfg.k, cfg.c, cfg.family, cfg.prime, first_hash)), SHINGLE_DDL)
 
 
+def _codes(sequence: str = "sequence") -> Column:
+    """The letters of a sequence as digits, A being 0; found by position in constant time."""
+    return F.transform(F.split(sequence, ""), lambda x: F.ascii(x) - 65)
+
+
+def _value_at(codes: str, i: Column, k: int) -> Column:
+    """The value of the k-mer at the 0-based position i, from digits."""
+    total = F.lit(0).cast("long")
+    for j in range(k):
+        total = total * ALPHABET + F.get(F.col(codes), i + j)
+    return total
+
+
 def kmers(sequences: DataFrame, k: int) -> DataFrame:
-    """(name, pos, kmer, value): every window of k letters."""
-    count = F.length("sequence") - k + 1
-    windows = sequences.filter(count > 0).select("name", "sequence", F.explode(F.sequence(F.lit(1), count)).alias("pos"))
-    windows = windows.select("name", (F.col("pos") - 1).alias("pos"), F.substring("sequence", F.col("pos"), F.lit(k)).alias("kmer"))
-    return windows.withColumn("value", kmer_value(F.col("kmer"), k))
+    """(name, pos, value): every window of k letters; its text is ``substring(sequence, pos + 1, k)``."""
+    digits = sequences.filter(F.length("sequence") >= k).select("name", _codes().alias("c"))
+    return digits.select("name", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("c") - k), lambda i: _value_at("c", i, k))).alias("pos", "value"))
 
 
 def min_hashes(sequences: DataFrame, cfg: SketchConfig) -> DataFrame:
     """(name, hash_idx, rank, h): the c least hash values per function, in built-in functions only."""
-    count = F.length("sequence") - cfg.k + 1
-    valued = sequences.filter(count > 0).select("name", F.transform(F.sequence(F.lit(1), count), lambda i: kmer_value(F.substring("sequence", i, F.lit(cfg.k)), cfg.k)).alias("v"))
+    digits = sequences.filter(F.length("sequence") >= cfg.k).select("name", _codes().alias("c"))
+    valued = digits.select("name", F.transform(F.sequence(F.lit(0), F.size("c") - cfg.k), lambda i: _value_at("c", i, cfg.k)).alias("v"))
     family = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(cfg.family)))
     hashed = valued.select("name", "v", F.explode(family).alias("f"))
     least = F.slice(F.array_sort(F.transform("v", lambda v: universal_hash(v, F.col("f.a"), F.col("f.b")))), 1, cfg.c)

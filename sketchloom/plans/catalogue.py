@@ -203,15 +203,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 _FAMILY = "fam(hash_idx, a, b) AS (VALUES " + ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(CFG.family)) + ")"
-_VALUE = " + ".join(f"(ascii(substr(s, i + {j}, 1)) - 65) * {20 ** (5 - j)}::BIGINT" for j in range(6))
+_VALUE = " + ".join(f"c[i + {j}] * {20 ** (5 - j)}::BIGINT" for j in range(6))
 _CTES = f"""{_FAMILY},
 seqs AS (SELECT doc_id::VARCHAR || '_1' AS name, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents),
-pos AS (SELECT name, s, unnest(range(1, length(s) - 4)) AS i FROM seqs WHERE length(s) >= 6),
-kmers AS (SELECT name, {_VALUE} AS value FROM pos),
+codes AS (SELECT name, list_transform(string_split(s, ''), lambda x: ascii(x) - 65) AS c FROM seqs WHERE length(s) >= 6),
+kmers AS (SELECT name, unnest(list_transform(range(1, len(c) - 4), lambda i: {_VALUE})) AS value FROM codes),
 hashed AS (SELECT name, hash_idx, ((value % {PRIME}) * a + b) % {PRIME} AS h FROM kmers, fam),
-ranked AS (SELECT name, hash_idx, h, row_number() OVER (PARTITION BY name, hash_idx ORDER BY h) - 1 AS rank FROM hashed),
-least AS (SELECT * FROM ranked WHERE rank < 2),
-sh AS (SELECT name, hash_idx, hash_idx::VARCHAR || '$' || string_agg(h::VARCHAR, '$' ORDER BY h) AS shingle FROM least GROUP BY name, hash_idx HAVING count(*) = 2),
+least AS (SELECT name, hash_idx, min(h, 2) AS vals FROM hashed GROUP BY name, hash_idx HAVING count(*) >= 2),
+sh AS (SELECT name, hash_idx, hash_idx::VARCHAR || '$' || array_to_string(vals, '$') AS shingle FROM least),
 e1 AS (SELECT x.name AS src, y.name AS dst, min(x.hash_idx)::INT AS first_hash FROM sh x JOIN sh y USING (shingle) WHERE x.name < y.name GROUP BY ALL),
 arcs AS (SELECT src, dst FROM e1 UNION ALL SELECT dst, src FROM e1),
 vv AS (SELECT name, split_part(name, '_', 1)::BIGINT + 10000000 * (split_part(name, '_', 2)::BIGINT + 1) AS value FROM seqs),
@@ -260,7 +259,7 @@ def _entropy(of: str) -> str:
 ORACLES: dict[str, str] = {
     "doc_sequences": _sql("SELECT name, s AS sequence FROM seqs"),
     "kmer_profile": _sql("SELECT name, count(*) AS kmers, min(value) AS least, max(value) AS most, count(DISTINCT value) AS kinds FROM kmers GROUP BY name"),
-    "min_hashes": _sql("SELECT name, hash_idx, rank::INT AS rank, h FROM (SELECT *, count(*) OVER (PARTITION BY name, hash_idx) AS n FROM least) WHERE n = 2"),
+    "min_hashes": _sql("SELECT name, hash_idx, unnest([0, 1])::INT AS rank, unnest(vals) AS h FROM least"),
     "shingles": _sql("SELECT name, shingle FROM sh"),
     "bucket_sizes": _sql("SELECT shingle, count(DISTINCT name) AS members FROM sh GROUP BY shingle"),
     "level1_edges": _sql("SELECT src, dst FROM arcs"),
