@@ -67,7 +67,8 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     templates = templates.select(*LEAF, F.transform("t", lambda p: p["fixed"]).alias("template"))
 
     equal = F.size(F.filter(F.zip_with(F.split("line", " "), "template", lambda a, b: a == b), lambda same: same))
-    placed = distinct.join(templates, LEAF).select(*LEAF, "h", F.when(equal >= similar * F.col("n"), F.lit(0).cast("long")).otherwise(F.col("h")).alias("template_id"))
+    templates = materialise(templates, "leaf-templates")
+    placed = join_checked(distinct, templates, LEAF, max_rows=SMALL).select(*LEAF, "h", F.when(equal >= similar * F.col("n"), F.lit(0).cast("long")).otherwise(F.col("h")).alias("template_id"))
     placed = materialise(placed, "placed-lines")
     of_line = materialise(join_checked(near, placed, [*LEAF, "h"], max_rows=SMALL).select("x", "x_len", "id", "at", *LEAF, "template_id"), "line-templates")
 
