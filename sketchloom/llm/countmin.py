@@ -191,7 +191,8 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     # One text's run for each different run of a gram that has several, window by window.
     one_each = join_checked(found, mixed, ["gram", "span"]).groupBy("gram", "span", "copies").agg(F.min(F.struct("x", "x_len", "at", "n")).alias("p"))
     wanted = one_each.groupBy(F.col("p.x").alias("x"), F.col("p.x_len").alias("x_len")).agg(F.collect_list(F.struct("gram", "span", "copies", F.col("p.at").alias("at"), F.col("p.n").alias("n"))).alias("wanted"))
-    holders = texts.join(materialise(wanted, "wanted-runs").hint("merge"), ["x", "x_len"]).dropDuplicates(["x", "x_len"]).select("_t", "wanted")
+    once = texts.groupBy("x", "x_len").agg(F.first("_t").alias("_t"))  # copies meet within tasks first
+    holders = once.join(materialise(wanted, "wanted-runs").hint("merge"), ["x", "x_len"]).select("_t", "wanted")
     windows = materialise(holders.mapInArrow(frugal(_windows), "gram long, span long, copies long, k int, win long"), "mixed-windows")
     again = windows.groupBy("gram", "win").agg(F.sum("copies").alias("n")).filter("n > 1").select("gram", "win")
     parts = windows.filter("copies = 1").join(again, ["gram", "win"]).groupBy("gram", "span").agg(F.collect_list("k").alias("ks"))

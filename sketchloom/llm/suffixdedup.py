@@ -229,7 +229,8 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, s
     place = F.min(F.struct("x", "x_len", "at", "n", "lead")).alias("p")
     one_each = join_checked(found, mixed, ["gram", "span"]).groupBy("gram", "span", "copies", "kinds").agg(place)
     wanted = one_each.groupBy(F.col("p.x").alias("x"), F.col("p.x_len").alias("x_len")).agg(F.collect_list(F.struct("gram", "span", "copies", "kinds", F.col("p.at").alias("at"), F.col("p.n").alias("n"), F.col("p.lead").alias("lead"))).alias("wanted"))
-    holders = texts.join(materialise(wanted, "wanted-runs"), ["x", "x_len"]).dropDuplicates(["x", "x_len"]).select("_t", "wanted")
+    once = texts.groupBy("x", "x_len").agg(F.first("_t").alias("_t"))  # copies meet within tasks first
+    holders = once.join(materialise(wanted, "wanted-runs").hint("merge"), ["x", "x_len"]).select("_t", "wanted")
     segments = materialise(holders.mapInArrow(frugal(_cut_runs(length)), "gram long, span long, copies long, kinds long, n int, lead int, bytes binary"), "segments")
 
     cold = segments.filter(F.col("kinds") <= kinds).select(F.col("gram").alias("grp"), "span", "copies", "n", "bytes")
