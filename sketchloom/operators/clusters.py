@@ -51,6 +51,11 @@ def unmarked(clusters: DataFrame) -> DataFrame:
     return clusters.select(F.expr("substring(label, 2)").alias("label"), F.expr("substring(member, 2)").alias("member"))
 
 
+def unmarked_members(clusters: DataFrame) -> DataFrame:
+    """Members without a leading /; labels as they are."""
+    return clusters.select("label", F.regexp_replace("member", "^/", "").alias("member"))
+
+
 def renamed(clusters: DataFrame) -> DataFrame:
     """Members cut to the sequence they are a region of."""
     return clusters.select("label", bare_name(F.col("member")).alias("member")).distinct()
@@ -78,3 +83,16 @@ def first_of_label(clusters: DataFrame) -> DataFrame:
     """(label, member) of the first block of each label, by ``line_no``; later blocks are dropped whole."""
     first = clusters.groupBy("label").agg(F.min("line_no").alias("line_no"))
     return clusters.join(first, ["label", "line_no"], "left_semi").select("label", "member").distinct()
+
+
+def relabelled(clusters: DataFrame, prefix: str = "@") -> DataFrame:
+    """Clusters under running numbers in the order of their labels, from 0."""
+    from sketchloom.operators.graph import dense_numbers
+
+    numbers = dense_numbers(clusters.select("label").distinct(), "label", "number")
+    return clusters.join(numbers, "label").select(F.concat(F.lit(prefix), F.col("number").cast("string")).alias("label"), "member")
+
+
+def of_labels(clusters: DataFrame, labels: DataFrame) -> DataFrame:
+    """Clusters whose label is in ``labels`` (label), as after a top-k."""
+    return clusters.join(labels.select("label"), "label", "left_semi")
