@@ -6,11 +6,12 @@ a token that wins at least ``share`` of the votes stays, any other position beco
 belongs to the template if at least ``similar`` of its positions equal fixed tokens of it; a line that
 doesn't is a template of its own, digits masked. A template that occurs in at least ``min_docs`` different
 texts is recurring: its lines are dropped everywhere but in the text of the smallest identifier, so nothing
-vanishes from the corpus altogether. Texts are told apart by hash and length, and copies of one text count
-once and get the same decisions.
+vanishes from the corpus altogether. Lines of other templates that are equal but for digits, with at least
+``long`` tokens without one, recur from two different texts on. Texts are told apart by hash and
+length, and copies of one text count once and get the same decisions.
 
-Only leaves that occur in ``min_docs`` texts are looked at closely; the others cannot hold a recurring
-template. Votes are cast by distinct lines, weighted, so a line that a third of all documents share is one
+Only leaves that occur in ``min_docs`` texts vote; the others cannot hold a recurring template, and of
+their lines only the equal ones matter. Votes are cast by distinct lines, weighted, so a line that a third of all documents share is one
 row by then.
 
 Defined cases: a null text stays null and has no lines; blank lines are kept and never count. Repeated rows
@@ -27,17 +28,22 @@ from sketchloom.functions.storage import join_checked, materialise
 
 BLANKS = r"[\x20\x09-\x0D]+"
 WILD = "<*>"
+#: A token with a digit; possessive, so that each token is read once.
+DIGITS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 LEAF = ["n", "lead"]
 #: Rows of a table of templates up to which it is broadcast.
 SMALL = 200_000
+#: A line that isn't in the text that keeps it.
+OTHER = "x <> fx or x_len <> fl"
 
 
 def line_tokens(line: Column) -> Column:
     return F.array_remove(F.split(line, BLANKS), "")
 
 
-def masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
+def masked_line(line: Column) -> Column:
+    """``line`` with the wildcard for each token with a digit."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, DIGITS, WILD)).otherwise(line)
 
 
 def text_key(text: str) -> list[Column]:
@@ -45,18 +51,39 @@ def text_key(text: str) -> list[Column]:
 
 
 def lines(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
-    """(x, x_len, id, at, n, lead, tokens): the lines with a token, at their places in the tree."""
+    """(x, x_len, id, at, n, lead, tokens): the lines with a token, digits masked, at their places in the tree."""
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), *text_key(text), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    rows = rows.select("x", "x_len", "id", "at", line_tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
-    return rows.select("x", "x_len", "id", "at", F.size("tokens").alias("n"), F.concat_ws(" ", masked(F.slice("tokens", 1, depth))).alias("lead"), "tokens")
+    rows = rows.select("x", "x_len", "id", "at", line_tokens(masked_line(F.col("line"))).alias("tokens")).filter(F.size("tokens") > 0)
+    return rows.select("x", "x_len", "id", "at", F.size("tokens").alias("n"), F.concat_ws(" ", F.slice("tokens", 1, depth)).alias("lead"), "tokens")
 
 
-def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, share: float = 0.5, similar: float = 0.7) -> DataFrame:
+def smallest() -> Column:
+    """What orders texts: the smallest identifier, null last."""
+    return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("x").alias("x"), F.col("x_len").alias("x_len"))
+
+
+def equal_lines(places: DataFrame, covered: DataFrame) -> DataFrame:
+    """(x, x_len, at) of the long lines of ``places`` that other texts have too, but for the text of the smallest identifier.
+
+    ``covered`` (n, lead, h): the lines that recurring templates decide on.
+    """
+    line = [*LEAF, "h"]
+    kinds = places.filter("long").groupBy(*line).agg(*(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("x", "x_len")))
+    again = kinds.filter("min_x <> max_x or min_x_len <> max_x_len").select(*line).join(covered, line, "left_anti")
+    again = materialise(again, "equal-lines")
+    found = materialise(join_checked(places.filter("long"), again, line, max_rows=SMALL).select("x", "x_len", "id", "at", *line), "equal-line-places")
+    first = materialise(found.groupBy(*line).agg(F.min(smallest()).alias("first")).select(*line, F.col("first.x").alias("fx"), F.col("first.x_len").alias("fl")), "equal-line-firsts")
+    return join_checked(found, first, line, max_rows=SMALL).filter(OTHER).select("x", "x_len", "at")
+
+
+def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, share: float = 0.5, similar: float = 0.7, long: int = 10) -> DataFrame:
     """(x, x_len, at): the lines to drop from each distinct text."""
     found = lines(docs, doc_id, text, depth)
-    busy = found.select("x", "x_len", *LEAF).distinct().groupBy(*LEAF).agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_docs)
+    fixed = F.size(F.filter("tokens", lambda t: t != WILD))
+    places = materialise(found.select("x", "x_len", "id", "at", *LEAF, F.xxhash64(F.concat_ws(" ", "tokens")).alias("h"), (fixed >= long).alias("long")), "line-places")
+    busy = places.select("x", "x_len", *LEAF).distinct().groupBy(*LEAF).agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_docs)
     busy = materialise(busy.select(*LEAF), "busy-leaves")
-    near = found.join(busy, LEAF).select("x", "x_len", "id", "at", *LEAF, F.concat_ws(" ", masked(F.col("tokens"))).alias("line"))
+    near = found.join(busy, LEAF).select("x", "x_len", "id", "at", *LEAF, F.concat_ws(" ", "tokens").alias("line"))
     near = materialise(near.withColumn("h", F.xxhash64("line")), "busy-lines")
 
     distinct = near.groupBy(*LEAF, "h").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("weight"))
@@ -73,13 +100,13 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of_line = materialise(join_checked(near, placed, [*LEAF, "h"], max_rows=SMALL).select("x", "x_len", "id", "at", *LEAF, "template_id"), "line-templates")
 
     template = [*LEAF, "template_id"]
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("x").alias("x"), F.col("x_len").alias("x_len"))
-    per_text = of_line.groupBy(*template, "x", "x_len").agg(F.min(order).alias("first"))
+    per_text = of_line.groupBy(*template, "x", "x_len").agg(F.min(smallest()).alias("first"))
     recurring = per_text.groupBy(*template).agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).filter(F.col("texts") >= min_docs)
     recurring = recurring.select(*template, F.col("first.x").alias("fx"), F.col("first.x_len").alias("fl"))
     recurring = materialise(recurring, "recurring-templates")
-    dropped = join_checked(of_line, recurring, template, max_rows=SMALL).filter((F.col("x") != F.col("fx")) | (F.col("x_len") != F.col("fl")))
-    return dropped.select("x", "x_len", "at").distinct()
+    dropped = join_checked(of_line, recurring, template, max_rows=SMALL).filter(OTHER)
+    covered = materialise(join_checked(placed, recurring.select(*template), template, "left_semi", max_rows=SMALL).select(*LEAF, "h"), "covered-lines")
+    return dropped.select("x", "x_len", "at").unionByName(equal_lines(places, covered)).distinct()
 
 
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:

@@ -197,6 +197,13 @@ def test_line_dedup(spark, no_documents):
     assert linedrain.drop_recurring(no_documents).count() == 0
 
 
+def test_long_lines_recur_from_two_texts(spark):
+    long = "the terms of use of this site were last changed in {} by the board of trustees"
+    docs = [(1, "one story\n" + long.format(2001)), (2, "another story\nshort line\n" + long.format(1999)), (3, "short line\nthird story"), (4, "third story told\n" + " ".join(f"w{i}" for i in range(20))), (5, "fourth\n" + " ".join(f"w{i}" for i in range(1, 21)))]
+    found = dict(rows(linedrain.drop_recurring(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text")))
+    assert found == dict(docs) | {2: "another story\nshort line"}
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 
