@@ -3,8 +3,9 @@
 The tree has a fixed depth: the number of a line's tokens, then its leading tokens; a token with a digit
 counts as the wildcard <*>. Lines that meet in a leaf vote, position by position, on the leaf's template:
 a token that wins at least ``share`` of the votes stays, any other position becomes a wildcard. A line
-belongs to the template if at least ``similar`` of its positions equal fixed tokens of it; a line that
-doesn't is a template of its own, digits masked. A template that occurs in at least ``min_docs`` different
+belongs to the template if at least ``similar`` of its positions equal fixed tokens of it. Lines that don't
+vote again among themselves, in finer groups where a vote places none, until no group has ``min_docs`` lines;
+a line that is left is a template of its own, digits masked. A template that occurs in at least ``min_docs`` different
 texts is recurring: its lines are dropped everywhere but in the text of the smallest identifier, so nothing
 vanishes from the corpus altogether. Lines of other templates that are equal but for digits, with at least
 ``long`` tokens without one, recur from two different texts on. Texts are told apart by hash and
@@ -76,6 +77,43 @@ def equal_lines(places: DataFrame, covered: DataFrame) -> DataFrame:
     return join_checked(found, first, line, max_rows=SMALL).filter(OTHER).select("x", "x_len", "at")
 
 
+def placed_lines(distinct: DataFrame, min_docs: int, share: float, similar: float) -> DataFrame:
+    """(n, lead, h, template_id): the template of each line of ``distinct`` (n, lead, h, line, weight).
+
+    Each round takes one vote per group, a leaf at first. Lines that don't fit vote again among themselves; where
+    none fitted, they part at the first token in which they differ. Groups of fewer than ``min_docs`` lines or of
+    one kind are done: what is left of them are templates of their own.
+    """
+    group = [*LEAF, "g"]
+    left, placed, level = distinct.withColumn("g", F.lit(0).cast("long")), None, 0
+    while True:
+        votes = left.select(*group, "weight", F.posexplode(F.split("line", " ")).alias("pos", "token")).groupBy(*group, "pos", "token").agg(F.sum("weight").alias("votes"))
+        winners = votes.groupBy(*group, "pos").agg(F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("all"))
+        winners = winners.withColumn("fixed", F.when(F.col("top.votes") >= share * F.col("all"), F.col("top.token")).otherwise(WILD))
+        cut = F.min(F.when(F.col("top.votes") < F.col("all"), F.col("pos"))).alias("cut")
+        templates = winners.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("pos", "fixed"))).alias("t"), cut)
+        templates = materialise(templates.select(*group, F.transform("t", lambda p: p["fixed"]).alias("template"), "cut"), "leaf-templates")
+        equal = F.size(F.filter(F.zip_with(F.split("line", " "), "template", lambda a, b: a == b), lambda same: same))
+        voted = join_checked(left, templates, group, max_rows=SMALL).select(*group, "h", "line", "weight", "cut", (equal >= similar * F.col("n")).alias("fits"))
+        voted = materialise(voted, "voted-lines")
+        template_id = F.lit(0).cast("long") if level == 0 else F.xxhash64("g", F.lit(level))
+        found = voted.filter("fits").select(*LEAF, "h", template_id.alias("template_id"))
+        placed = found if placed is None else placed.unionByName(found)
+
+        moved = materialise(voted.filter("fits").select(*group).distinct().withColumn("moved", F.lit(True)), "moved-groups")
+        rest = join_checked(voted.filter("not fits"), moved, group, "left", max_rows=SMALL)
+        parted = F.xxhash64("g", "cut", F.get(F.split("line", " "), F.col("cut")))
+        rest = materialise(rest.select(*LEAF, F.when(F.col("moved"), F.col("g")).otherwise(parted).alias("g"), "h", "line", "weight"), "unplaced-lines")
+        more = rest.groupBy(*group).agg(F.sum("weight").alias("lines"), F.count(F.lit(1)).alias("kinds")).filter((F.col("lines") >= min_docs) & (F.col("kinds") > 1))
+        more = materialise(more.select(*group), "voting-groups")
+        if more.isEmpty():
+            break
+        left, level = materialise(join_checked(rest, more, group, "left_semi", max_rows=SMALL), "voting-lines"), level + 1
+    placed = materialise(placed, "template-lines")
+    own = F.coalesce("template_id", "h").alias("template_id")
+    return materialise(distinct.select(*LEAF, "h").join(placed, [*LEAF, "h"], "left").select(*LEAF, "h", own), "placed-lines")
+
+
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 5, share: float = 0.5, similar: float = 0.7, long: int = 10) -> DataFrame:
     """(x, x_len, at): the lines to drop from each distinct text."""
     found = lines(docs, doc_id, text, depth)
@@ -86,17 +124,8 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = found.join(busy, LEAF).select("x", "x_len", "id", "at", *LEAF, F.concat_ws(" ", "tokens").alias("line"))
     near = materialise(near.withColumn("h", F.xxhash64("line")), "busy-lines")
 
-    distinct = near.groupBy(*LEAF, "h").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("weight"))
-    votes = distinct.select(*LEAF, "weight", F.posexplode(F.split("line", " ")).alias("pos", "token")).groupBy(*LEAF, "pos", "token").agg(F.sum("weight").alias("votes"))
-    winners = votes.groupBy(*LEAF, "pos").agg(F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("all"))
-    fixed = F.when(F.col("top.votes") >= share * F.col("all"), F.col("top.token")).otherwise(WILD)
-    templates = winners.withColumn("fixed", fixed).groupBy(*LEAF).agg(F.array_sort(F.collect_list(F.struct("pos", "fixed"))).alias("t"))
-    templates = templates.select(*LEAF, F.transform("t", lambda p: p["fixed"]).alias("template"))
-
-    equal = F.size(F.filter(F.zip_with(F.split("line", " "), "template", lambda a, b: a == b), lambda same: same))
-    templates = materialise(templates, "leaf-templates")
-    placed = join_checked(distinct, templates, LEAF, max_rows=SMALL).select(*LEAF, "h", F.when(equal >= similar * F.col("n"), F.lit(0).cast("long")).otherwise(F.col("h")).alias("template_id"))
-    placed = materialise(placed, "placed-lines")
+    distinct = materialise(near.groupBy(*LEAF, "h").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("weight")), "distinct-lines")
+    placed = placed_lines(distinct, min_docs, share, similar)
     of_line = materialise(join_checked(near, placed, [*LEAF, "h"], max_rows=SMALL).select("x", "x_len", "id", "at", *LEAF, "template_id"), "line-templates")
 
     template = [*LEAF, "template_id"]

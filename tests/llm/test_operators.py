@@ -197,6 +197,15 @@ def test_line_dedup(spark, no_documents):
     assert linedrain.drop_recurring(no_documents).count() == 0
 
 
+def test_further_templates_of_a_leaf(spark):
+    names = [f"{a}{b}" for a in "abcdefgh" for b in "vwxyz"]
+    same = ["Posted by the editor on Monday at noon"] * 60
+    docs = list(enumerate(same + [f"Posted by the staff writer {x} for Globe" for x in names] + [f"Posted by the night desk {x} in Rome" for x in names[:30]]))
+    docs = [(i, f"{line}\nstory {'abcdefghijklm'[i % 13]} {'nopqrstuvwxyz'[i // 13]}") for i, line in docs]
+    found = rows(linedrain.drop_recurring(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_dropped"))
+    assert found == sorted(((i, int(i not in (0, 60, 100))) for i, _ in docs), key=repr)
+
+
 def test_long_lines_recur_from_two_texts(spark):
     long = "the terms of use of this site were last changed in {} by the board of trustees"
     docs = [(1, "one story\n" + long.format(2001)), (2, "another story\nshort line\n" + long.format(1999)), (3, "short line\nthird story"), (4, "third story told\n" + " ".join(f"w{i}" for i in range(20))), (5, "fourth\n" + " ".join(f"w{i}" for i in range(1, 21)))]
