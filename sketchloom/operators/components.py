@@ -8,12 +8,14 @@ may split where one node has very many edges.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.functions.storage import materialise
+from sketchloom.functions.workers import frugal
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -65,7 +67,7 @@ def propagated_components(edges: DataFrame, src: str = "src", dst: str = "dst",
 
 
 def union_find(pairs: Iterable[tuple]) -> dict:
-    """Label of each node, on the driver: only for graphs known to be small."""
+    """Label of each node of ``pairs``, all of which are held in memory."""
     parent: dict = {}
 
     def root(x):
@@ -82,11 +84,42 @@ def union_find(pairs: Iterable[tuple]) -> dict:
     return {x: root(x) for x in list(parent)}
 
 
-def union_find_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_edges: int = 1_000_000) -> DataFrame:
-    """(node, label) by union-find on the driver; refuses graphs of more than ``max_edges`` edges."""
-    pairs = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src is not null and dst is not null").distinct()
-    if pairs.limit(max_edges + 1).count() > max_edges:
+def _forests(nodes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrow function: edges to the forest that union-find makes of them, in chunks of about ``nodes`` edges."""
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, schema = [], None
+
+        def flush() -> pa.RecordBatch:
+            found = union_find(held)
+            linked = {r for x, r in found.items() if x != r}
+            rows = [(x, r) for x, r in found.items() if x != r or x not in linked]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], schema.field(i).type) for i in (0, 1)], names=["src", "dst"])
+
+        for batch in batches:
+            schema = batch.schema
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            if len(held) >= nodes:
+                yield flush()
+        if held:
+            yield flush()
+
+    return forest
+
+
+def union_find_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_edges: int | None = None, nodes: int = 100_000) -> DataFrame:
+    """(node, label): union-find inside partitions, again over merged partitions while that helps, then stars.
+
+    Each task keeps a forest of what it reads, some ``nodes`` edges at a time. ``max_edges``, if given, refuses larger graphs.
+    """
+    pairs = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src is not null and dst is not null")
+    if max_edges is not None and pairs.distinct().limit(max_edges + 1).count() > max_edges:
         raise ValueError(f"more than {max_edges} edges: use star_components")
-    found = union_find((r["src"], r["dst"]) for r in pairs.toLocalIterator())
-    kind = pairs.schema["src"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame(sorted(found.items()), f"node {kind}, label {kind}")
+    reduced = frugal(_forests(nodes))
+    forest = materialise(pairs.mapInArrow(reduced, pairs.schema), "forests")
+    before, left = None, forest.count()
+    while left > nodes and (before is None or left < 0.9 * before):
+        forest = materialise(forest.repartition(-(-left // nodes)).mapInArrow(reduced, pairs.schema), "forests")
+        before, left = left, forest.count()
+    return star_components(forest)

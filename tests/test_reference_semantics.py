@@ -124,6 +124,17 @@ def test_union_find_refuses_large_graphs(spark):
         components.union_find_components(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"), max_edges=1)
 
 
+@pytest.mark.parametrize("nodes", [7, 100_000])
+def test_union_find_stays_off_the_driver(spark, monkeypatch, nodes):
+    draw = random.Random(6)
+    pairs = [(draw.randint(0, 400), draw.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 560)] + [(900, 900), (901, None)]
+    edges = spark.createDataFrame(pairs, "src long, dst long").repartition(6)
+    with monkeypatch.context() as m:
+        m.setattr(type(edges), "toLocalIterator", None)
+        found = components.union_find_components(edges, nodes=nodes)
+    assert rows(found) == sorted(components.union_find(p for p in pairs if None not in p).items())
+
+
 def test_f_value(spark):
     x, y = clusters(spark, "abcd efg hi"), clusters(spark, "abc defg jkl")
     found = evaluate.f_value(x, y).first()
