@@ -162,7 +162,7 @@ class _Sums:
             self.pairs = np.rint(np.fft.irfft(np.fft.rfft(has, n) ** 2, n))[: len(has)] > 0
             self.stale = False
         a = np.arange(gap - 2, 0, -1)
-        for x in a[(self.have[a] > 0) & self.pairs[gap - a]][:64]:
+        for x in a[(self.have[a] > 0) & self.pairs[gap - a]]:
             self.have[x] -= 1
             rest = self.pair(gap - int(x))
             self.have[x] += 1

@@ -206,6 +206,14 @@ def test_further_templates_of_a_leaf(spark):
     assert found == sorted(((i, int(i not in (0, 60, 100))) for i, _ in docs), key=repr)
 
 
+def test_triple_behind_many_false_candidates():
+    have = np.zeros(1002, np.int64)
+    have[600:740:2], have[335], have[333] = 1, 1, 2
+    sums = packing._Sums(have)
+    sums.pairs[:], sums.stale = True, False
+    assert sums.triple(1001) == (335, 333, 333)
+
+
 def test_long_lines_recur_from_two_texts(spark):
     long = "the terms of use of this site were last changed in {} by the board of trustees"
     docs = [(1, "one story\n" + long.format(2001)), (2, "another story\nshort line\n" + long.format(1999)), (3, "short line\nthird story"), (4, "third story told\n" + " ".join(f"w{i}" for i in range(20))), (5, "fourth\n" + " ".join(f"w{i}" for i in range(1, 21)))]
