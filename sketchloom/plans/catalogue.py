@@ -188,6 +188,7 @@ def nmi(spark, sf_dir):
 
 
 def search_trace(spark, sf_dir):
+    """Two steps of the search only (4 and 5 hashes against 2 and 3), whose threshold of 1.1 no F reaches: not the defaults of SketchConfig."""
     return S.search_trace(sequences(spark, sf_dir), SEARCH)
 
 
