@@ -38,7 +38,7 @@ class Rule(NamedTuple):
 
 #: The thresholds; ratios are SQL over the measures.
 RULES = (
-    Rule("words", "n_words", 50, 1_000_000),
+    Rule("words", "n_words", 50, None),
     Rule("mean_word_chars", "word_chars / n_words", 2.0, 15.0),
     Rule("symbols_per_word", "n_symbols / n_words", None, 0.25),
     Rule("stop_word_share", "n_stop_words / n_words", 0.03, None),

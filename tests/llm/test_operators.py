@@ -214,6 +214,10 @@ def test_triple_behind_many_false_candidates():
     assert sums.triple(1001) == (335, 333, 333)
 
 
+def test_no_text_is_too_long():
+    assert {r.name: (r.low, r.high) for r in quality.RULES}["words"] == (50, None)
+
+
 def test_long_lines_recur_from_two_texts(spark):
     long = "the terms of use of this site were last changed in {} by the board of trustees"
     docs = [(1, "one story\n" + long.format(2001)), (2, "another story\nshort line\n" + long.format(1999)), (3, "short line\nthird story"), (4, "third story told\n" + " ".join(f"w{i}" for i in range(20))), (5, "fourth\n" + " ".join(f"w{i}" for i in range(1, 21)))]
