@@ -133,18 +133,30 @@ listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY ite
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN listed USING (doc_id)""",
     "op4_line_dedup": r"""
-WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+WITH RECURSIVE l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
 tok AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM l),
 m AS (SELECT *, len(w) AS n, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS mask FROM tok WHERE len(w) > 0),
 leaf AS (SELECT *, array_to_string(mask[1:3], ' ') AS lead, array_to_string(mask, ' ') AS masked FROM m),
 busy AS (SELECT n, lead FROM leaf GROUP BY ALL HAVING count(DISTINCT text) >= 5),
 near AS (SELECT leaf.* FROM leaf JOIN busy USING (n, lead)),
-votes AS (SELECT n, lead, pos, token, count(*) AS v FROM (SELECT n, lead, unnest(mask) AS token, generate_subscripts(mask, 1) AS pos FROM near) GROUP BY ALL),
-win AS (SELECT n, lead, pos, CASE WHEN max(v) >= 0.5 * sum(v) THEN arg_max(token, {'v': v, 't': token}) ELSE '<*>' END AS fixed FROM votes GROUP BY ALL),
-tpl AS (SELECT n, lead, list(fixed ORDER BY pos) AS t FROM win GROUP BY ALL),
-of_line AS (SELECT doc_id, text, k, n, lead, CASE WHEN list_sum(list_transform(list_zip(mask, t), lambda z: (z[1] = z[2])::INT)) >= 0.7 * n THEN '' ELSE masked END AS id FROM near JOIN tpl USING (n, lead)),
+dis AS (SELECT n, lead, masked, any_value(mask) AS mask, count(*) AS weight FROM near GROUP BY n, lead, masked),
+r AS (SELECT 0 AS round, *, '' AS g, NULL::VARCHAR AS tid, true AS open FROM dis
+  UNION ALL (WITH cur AS (SELECT * FROM r WHERE open),
+  votes AS (SELECT n, lead, g, pos, token, sum(weight) AS v FROM (SELECT n, lead, g, weight, unnest(mask) AS token, generate_subscripts(mask, 1) AS pos FROM cur) GROUP BY ALL),
+  win AS (SELECT n, lead, g, pos, CASE WHEN max(v) >= 0.5 * sum(v) THEN arg_max(token, {'v': v, 't': token}) ELSE '<*>' END AS fixed, max(v) < sum(v) AS mixed FROM votes GROUP BY ALL),
+  tpl AS (SELECT n, lead, g, list(fixed ORDER BY pos) AS t, min(pos) FILTER (mixed) AS cut FROM win GROUP BY ALL),
+  voted AS (SELECT cur.*, cut, list_sum(list_transform(list_zip(mask, t), lambda z: (z[1] = z[2])::INT)) >= 0.7 * n AS fits FROM cur JOIN tpl USING (n, lead, g)),
+  moved AS (SELECT n, lead, g, bool_or(fits) AS moved FROM voted GROUP BY ALL),
+  nxt AS (SELECT round + 1 AS round, n, lead, masked, mask, weight, CASE WHEN fits OR moved THEN g ELSE g || '/' || cut || ':' || mask[cut] END AS g, CASE WHEN fits THEN g || '#' || round END AS tid, fits FROM voted JOIN moved USING (n, lead, g)),
+  more AS (SELECT n, lead, g, true AS again FROM nxt WHERE NOT fits GROUP BY ALL HAVING sum(weight) >= 5 AND count(*) > 1)
+  SELECT round, n, lead, masked, mask, weight, g, tid, NOT fits AND again IS NOT NULL AS open FROM nxt LEFT JOIN more USING (n, lead, g))),
+placed AS (SELECT n, lead, masked, coalesce(tid, '=' || masked) AS id FROM r WHERE round > 0 AND NOT open),
+of_line AS (SELECT doc_id, text, k, n, lead, masked, id FROM near JOIN placed USING (n, lead, masked)),
 often AS (SELECT n, lead, id, arg_min(text, doc_id) AS first FROM of_line GROUP BY ALL HAVING count(DISTINCT text) >= 5),
-gone AS (SELECT DISTINCT text, k FROM of_line JOIN often USING (n, lead, id) WHERE text <> first),
+covered AS (SELECT n, lead, masked FROM placed JOIN often USING (n, lead, id)),
+lng AS (SELECT doc_id, text, k, masked FROM leaf ANTI JOIN covered USING (n, lead, masked) WHERE len(list_filter(mask, lambda t: t <> '<*>')) >= 10),
+twice AS (SELECT masked, arg_min(text, doc_id) AS first FROM lng GROUP BY masked HAVING count(DISTINCT text) > 1),
+gone AS (SELECT text, k FROM of_line JOIN often USING (n, lead, id) WHERE text <> first UNION SELECT text, k FROM lng JOIN twice USING (masked) WHERE text <> first),
 kept AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_lines, count(gone.k) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.k) FILTER (gone.k IS NULL), '') AS t
   FROM l LEFT JOIN gone ON gone.text = l.text AND gone.k = l.k GROUP BY doc_id)
 SELECT doc_id, n_lines, n_dropped, length(t) AS kept_chars, sha256(t) AS kept_sha256 FROM kept""",

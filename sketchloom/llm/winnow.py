@@ -9,12 +9,15 @@ the windows of a candidate document whose minimum was matched are spelled out an
 word with the benchmark's.
 
 Windows of equal words are one row, whatever number of items has them, so boilerplate of a benchmark
-doesn't multiply the hits. Sizes that drive the plan: the join of minima ships one long for about every
-third word, and nothing at all when the benchmark's side is small enough for Spark to broadcast.
+doesn't multiply the hits. The join of minima takes one row for about every third word, and ships none of
+them while the benchmark's fingerprints are few enough to be broadcast, which is checked by their bytes.
 
 Defined cases: a null, empty or wordless text has no words and no hits; a null or wordless item has no
-windows. Repeated document rows each get a result. Items with a null identifier match, but are not
-listed. An empty benchmark leaves every document clean. Columns besides the named ones are not used.
+windows. A document with a null identifier gets the result of its text like any other. Repeated document
+rows each get a result. Items with a null identifier match, but are not listed; items of equal text are all
+listed. Of equal minima it doesn't matter which is taken, as only their value counts. A text of any length
+is one row; its work grows in proportion to its words. An empty benchmark leaves every document clean.
+Columns besides the named ones are not used by ``decontaminate``; ``clean`` returns them whatever their names are.
 """
 
 from __future__ import annotations
@@ -28,8 +31,7 @@ from sketchloom.functions.storage import join_checked, materialise
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN = 10
-#: Candidate documents up to which their keys and prints are broadcast.
-CANDIDATES = 100_000
+WINDOWS = "array<struct<s:int,len:int,fp:bigint,win:string>>"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -44,79 +46,80 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def gram_hashes(tokens: Column, n_tokens: Column, k: int) -> Column:
+def gram_hashes(tokens: str, n_tokens: str, k: int) -> Column:
     """Hashes of all runs of k tokens, in order."""
-    return F.transform(
-        F.when(n_tokens >= k, F.sequence(F.lit(0), n_tokens - k)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.xxhash64(*(F.get(tokens, i + j) for j in range(k))),
-    )
+    starts = F.when(F.col(n_tokens) >= k, F.sequence(F.lit(0), F.col(n_tokens) - k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*(F.get(F.col(tokens), i + j) for j in range(k))))
 
 
-def window_minima(hashes: Column, width: int) -> Column:
-    """For each run of ``width`` hashes its least one, in order."""
-    count = F.size(hashes) - (width - 1)
-    return F.transform(
-        F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.array_min(F.slice(hashes, i, width)),
-    )
+def with_minima(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """``df`` (columns w, n) with ``m<length>`` for each length: the minima of its windows, in order.
+
+    Minima over 1, 2, 4, ... neighbours are made from each other, each in a projection of its own, so that nothing
+    is worked out twice. The ends, where windows are cut short, are taken off last.
+    """
+    grams = {(length + 1) // 2 for length in lengths}
+    df = df.select("*", *(gram_hashes("w", "n", k).alias(f"h{k}_1") for k in sorted(grams)))
+    for length in lengths:
+        k = (length + 1) // 2
+        width, done = length - k + 1, 1
+        while done < width:
+            step = min(done, width - done)
+            if f"h{k}_{done + step}" not in df.columns:
+                own = f"h{k}_{done}"
+                shifted = F.slice(own, step + 1, F.greatest(F.size(own) - step, F.lit(0)))
+                df = df.select("*", F.zip_with(own, shifted, lambda a, b: F.least(a, b)).alias(f"h{k}_{done + step}"))
+            done += step
+        df = df.select("*", F.slice(f"h{k}_{width}", 1, F.greatest(F.col("n") - length + 1, F.lit(0))).alias(f"m{length}"))
+    return df.drop(*(c for c in df.columns if c.startswith("h") and c[1:2].isdigit()))
 
 
-def with_minima(df: DataFrame, length: int) -> DataFrame:
-    """``df`` (columns w, n) with the window minima ``m`` for windows of ``length`` words."""
-    k = (length + 1) // 2
-    return df.withColumn("h", gram_hashes(F.col("w"), F.col("n"), k)).withColumn("m", window_minima(F.col("h"), length - k + 1)).drop("h")
+def spelt(length: int) -> Column:
+    """(s, len, fp, win) of each window of ``length`` words: where it starts, its fingerprint and its words."""
+    return F.transform(f"m{length}", lambda fp, i: F.struct(i.alias("s"), F.lit(length).alias("len"), fp.alias("fp"), F.array_join(F.slice("w", i + 1, F.lit(length)), " ").alias("win")))
+
+
+def printed(length: int) -> Column:
+    """(len, fp) of the distinct minima of windows of ``length`` words."""
+    return F.transform(F.array_distinct(f"m{length}"), lambda fp: F.struct(F.lit(length).alias("len"), fp.alias("fp")))
 
 
 def benchmark_windows(items: DataFrame, item_id: str, text: str, span: int = SPAN) -> DataFrame | None:
-    """(item, len, win, fp): each distinct window of each item, spelled out, and its fingerprint."""
-    base = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
-    lengths = sorted(r[0] for r in base.select(F.least("n", F.lit(span))).distinct().collect())  # span values at most
-    parts = []
-    for length in lengths:
-        own = base.filter(F.col("n") == length) if length < span else base.filter(F.col("n") >= span)
-        own = with_minima(own, length).select("item", "w", F.posexplode("m").alias("i", "fp"))
-        parts.append(own.select("item", F.lit(length).alias("len"), F.array_join(F.slice("w", F.col("i") + 1, F.lit(length)), " ").alias("win"), "fp"))
-    if not parts:
+    """(item, len, fp, win): each distinct window of each item, spelled out, and its fingerprint."""
+    base = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).withColumn("n", F.size("w"))
+    lengths = sorted(r[0] for r in base.select(F.least("n", F.lit(span))).distinct().collect() if r[0])  # span values at most
+    if not lengths:
         return None
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    own = F.concat(*(F.when((F.col("n") == x) if x < span else (F.col("n") >= x), spelt(x)).otherwise(F.array().cast(WINDOWS)) for x in lengths))
+    # Outer: a filter on what is exploded would be inferred, and would repeat the work that made it.
+    found = with_minima(base, lengths).select("item", F.explode_outer(own).alias("v")).select("item", "v.*").filter("win is not null").drop("s")
     return materialise(found.distinct(), "benchmark-windows")
 
 
 def hits(docs: DataFrame, windows: DataFrame, key: list[str], text: str, lengths: list[int]) -> DataFrame:
     """(key, s, len, win): the occurrences of benchmark windows in documents, word for word.
 
-    ``lengths``: of the windows that occur at all; each takes one pass of hashing over the words.
+    ``lengths``: of the windows that occur at all; all are hashed in one pass over the words.
     """
-    texts = docs.select(*key, words(F.col(text)).alias("w")).withColumn("n", F.size("w"))
-    prints = windows.select("len", "fp").distinct()
-    spelled = windows.select("len", "win").distinct()
-    out = None
-    for length in lengths:
-        listed = with_minima(texts, length).select(*key, F.explode(F.array_distinct("m")).alias("fp"))
-        wanted = prints.filter(F.col("len") == length).select("fp")
-        matched = listed.join(wanted, "fp", "left_semi").groupBy(*key).agg(F.collect_set("fp").alias("fps"))
-        # The few documents with a match are looked at again; only if they are many do texts move to meet them.
-        pairs = join_checked(docs.select(*key, text), materialise(matched, "matched-prints"), key, max_rows=CANDIDATES)
-        pairs = pairs.select(*key, "fps", words(F.col(text)).alias("w")).withColumn("n", F.size("w"))
-        starts = with_minima(pairs, length).select(
-            *key,
-            "w",
-            F.explode(F.filter(F.transform("m", lambda m, i: F.when(F.array_contains("fps", m), i)), lambda i: i.isNotNull())).alias("s"),
-        )
-        spelt = starts.select(*key, "s", F.array_join(F.slice("w", F.col("s") + 1, F.lit(length)), " ").alias("win"))
-        found = spelt.join(spelled.filter(F.col("len") == length), "win").select(*key, "s", "len", "win")
-        out = found if out is None else out.unionByName(found)
-    return out
+    def tokenized(rows: DataFrame) -> DataFrame:
+        return with_minima(rows.select(*key, words(F.col(text)).alias("w")).withColumn("n", F.size("w")), lengths)
+
+    prints = materialise(windows.select("len", "fp").distinct(), "benchmark-prints")
+    listed = tokenized(docs).select(*key, F.explode_outer(F.concat(*(printed(x) for x in lengths))).alias("v")).select(*key, "v.*")
+    candidates = materialise(join_checked(listed, prints, ["len", "fp"], "left_semi").select(*key).distinct(), "candidates")
+    # The documents with a match are looked at again; only if they are many do texts move to meet them.
+    again = tokenized(join_checked(docs.select(*key, text), candidates, key, "left_semi"))
+    found = again.select(*key, F.explode_outer(F.concat(*(spelt(x) for x in lengths))).alias("v")).select(*key, "v.*")
+    spelled = materialise(windows.select("len", "fp", "win").distinct(), "benchmark-spelled")
+    return join_checked(found, spelled, ["len", "fp", "win"], "left_semi").select(*key, "s", "len", "win")
 
 
 KEY = ["_k", "_x"]
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``docs`` with what tells its rows apart: the identifier as text, and the hash of the text."""
-    return docs.withColumn("_k", F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).withColumn("_x", F.xxhash64(text))
+def _keyed(doc_id: str, text: str) -> list[Column]:
+    """What tells rows apart: the identifier as text, and the hash of the text."""
+    return [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_k"), F.xxhash64(text).alias("_x")]
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN) -> DataFrame:
@@ -125,9 +128,9 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     if windows is None:
         return docs
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # span values at most
-    keyed = _keyed(docs, doc_id, text)
-    found = materialise(hits(keyed, windows, KEY, text, lengths).select(*KEY).distinct(), "contaminated")
-    return join_checked(keyed, found, KEY, "left_anti").drop(*KEY)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text).alias("_t"), *_keyed(doc_id, text))
+    found = materialise(hits(keyed, windows, KEY, "_t", lengths).select(*KEY).distinct(), "contaminated")
+    return join_checked(keyed, found, KEY, "left_anti").select("_row.*")
 
 
 def decontaminate(
@@ -141,7 +144,7 @@ def decontaminate(
 ) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, item_list (sorted), spans (start, len) and contaminated."""
     windows = benchmark_windows(items, item_id, item_text, span)
-    keyed = _keyed(docs, doc_id, text).select(F.col(doc_id).alias("_id"), *KEY, F.col(text).alias("_t"))
+    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"), *_keyed(doc_id, text))
     totals = keyed.select("_id", "_k", "_x", F.size(words(F.col("_t"))).cast("long").alias("n_words"))
     nothing = totals.withColumns(
         {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "item_list": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<s:int,len:int>>")}
