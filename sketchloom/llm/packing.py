@@ -15,11 +15,14 @@ Tokenizing keeps a bounded cache of encoded words: the vocabulary never merges a
 identifiers are those of its words in order.
 
 Defined cases: a null or empty text is the closing identifier alone. Repeated rows are packed as often as
-they occur. An empty table packs into nothing.
+they occur, and rows with a null identifier like others. Pieces of one length are alike: which of them gets which
+place depends on the partitions, the number of sequences doesn't. A text of any length is split word by word.
+An empty table packs into nothing. Columns asked for with ``keep`` pass through.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -39,7 +42,8 @@ from sketchloom.functions.workers import frugal
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 150_000
+#: Bytes of a worker's cache of words, and characters of the longest word that it keeps.
+CACHE_BYTES, CACHED_WORD = 12 << 20, 64
 
 
 def default_tokenizer() -> str:
@@ -53,6 +57,10 @@ _LETTERS = "\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _MARKS = "\u00a1\u00a7\u00ab\u00b0\u00b7\u00bb\u00bf\u00d7\u00f7\u2013\u2014\u2018-\u201e\u2020-\u2022\u2026\u20ac"
 #: The vocabulary's own split of a lower-case text into words.
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^ \t-\r0-9a-z{_LETTERS}]+")
+#: What a vocabulary must do before its model for the fast path to be its own.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _OTHER = re.compile(f"[^\x00-\x7f{_LETTERS}{_MARKS}]")
 
 
@@ -64,42 +72,42 @@ def _byte_characters() -> list[str]:
 
 
 class WordCache:
-    """Identifiers of texts as little-endian unsigned 32-bit bytes, by a bounded cache of words.
+    """Identifiers of texts as little-endian unsigned 32-bit bytes, by a cache of words of bounded size.
 
-    Texts of Latin letters and common marks are split here and looked up word by word; any other text, and
-    one that spells a special token, goes to the tokenizer as a whole. Both ways give equal identifiers.
+    Texts of Latin letters and common marks are split here and looked up word by word; any other text, one that
+    spells a special token, and all texts under a vocabulary that normalises or splits otherwise, go to the
+    tokenizer as a whole. Both ways give equal identifiers.
     """
 
-    def __init__(self, path: str, size: int = CACHED_WORDS):
+    def __init__(self, path: str, n_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.size, self.known = Tokenizer.from_file(path), size, {}
+        self.tokenizer, self.left, self.known = Tokenizer.from_file(path), n_bytes, {}
         self.model, self.characters = self.tokenizer.model, _byte_characters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        stages = [json.loads(x.__getstate__()) if x is not None else None for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.by_word = stages == [_NORMALIZER, _PRE_TOKENIZER] and self.tokenizer.post_processor is None and self.tokenizer.truncation is None and self.tokenizer.padding is None
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if not self.by_word or any(s in text for s in self.special):
             return self.whole(text)
         lowered = text if text.isascii() else unicodedata.normalize("NFC", text)
         lowered = lowered.lower()
         if not lowered.isascii() and _OTHER.search(lowered):
             return self.whole(text)
-        words = _WORDS.findall(lowered)
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            pass
-        known, out = self.known, []
-        for w in words:
-            ids = known.get(w)
+        out = array("I")
+        for found in _WORDS.finditer(lowered):  # one word at a time: a long text's words are never all held
+            w = found.group()
+            ids = self.known.get(w)
             if ids is None:
                 spelt = "".join([self.characters[b] for b in w.encode("utf-8", "replace")])
-                ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-                if len(known) < self.size:  # frequent words come early
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
+                ids = array("I", [t.id for t in self.model.tokenize(spelt)])
+                if self.left > 0 and len(w) <= CACHED_WORD:  # frequent words come early
+                    self.known[w] = ids
+                    self.left -= 300 + len(w) + 4 * len(ids)
+            out += ids
+        return out.tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
