@@ -13,7 +13,14 @@ follows from the blocks, nothing is capped or dropped, and no link is lost at an
 search emits a spanning forest of the links, so rows stay linear in the bucket's size; classes are the
 components of all forests.
 
-Defined cases: a null text is an empty one; both have no shingles and the fingerprint 0. A class of only
+Three of 64 bits find copies and all but copies. ``similar_representatives`` reaches for a Jaccard similarity of
+0.8: its fingerprints have 512 bits in 32 blocks, pairs that share one block are compared, and the bound on
+differing bits is what that similarity gives on average, 77. By pigeonhole all pairs within 31 bits are met;
+beyond, a pair of similarity 0.8 / 0.85 / 0.9 shares a block with a probability of 0.91 / 0.97 / 0.998.
+
+Defined cases: a text of any length is one row, its bits are counted in blocks of bounded size. Of rows that tie
+for the smallest identifier of a class, the one of the least text hash stays. Columns besides the named ones
+pass through whatever their names are. A null text is an empty one; both have no shingles and the fingerprint 0. A class of only
 null identifiers has a null component. Repeated rows get equal results. An empty table gives no rows.
 """
 
@@ -28,16 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.functions.storage import materialise
+from sketchloom.functions.storage import BROADCAST_BYTES, materialise, table_bytes
 from sketchloom.functions.workers import frugal
+from sketchloom.llm.runs import mix
 from sketchloom.operators.components import star_components
 
 SPACES = r"[\x20\x09-\x0D]+"
 BITS = 64
 MAX_DIFFERENCE = 3
 BUCKET = 1024
-#: Representatives up to which their keys are broadcast.
-REPRESENTATIVES = 500_000
+#: Of wide fingerprints: words in a shingle, numbers of 64 bits, and bits of a block.
+SHINGLE, WORDS, BLOCK_BITS = 5, 8, 16
 
 
 def shingle_hashes(text: Column, size: int = 3) -> tuple[Column, Column]:
@@ -51,17 +59,29 @@ def shingle_hashes(text: Column, size: int = 3) -> tuple[Column, Column]:
     return tokens, F.when(n >= size, many).when(n > 0, few).otherwise(F.array().cast("array<bigint>"))
 
 
-def majority_bits(offsets: np.ndarray, values: np.ndarray, block: int = 1 << 17) -> np.ndarray:
-    """For each list of 64-bit hashes the number whose bits are those set in over half of the list."""
+#: For each byte a number of eight bytes, the k-th of which is the byte's k-th bit.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def majority_bits(offsets: np.ndarray, values: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """For each list of 64-bit hashes the number whose bits are those set in over half of the list.
+
+    Bits are counted in byte lanes, 255 hashes at most to a lane, and lanes are summed up per list.
+    """
     counts = np.zeros((len(offsets) - 1, BITS), np.int64)
     for at in range(int(offsets[0]), int(offsets[-1]), block):
         end = min(at + block, int(offsets[-1]))
-        bits = np.unpackbits(values[at:end].view(np.uint8), bitorder="little").reshape(-1, BITS)
+        lanes = _SPREAD[values[at:end].view(np.uint8).reshape(-1, 8)]
         first = int(np.searchsorted(offsets, at, "right")) - 1
         last = int(np.searchsorted(offsets, end, "left"))
         own = np.arange(first, last)
         own = own[offsets[own + 1] > np.maximum(offsets[own], at)]
-        counts[own] += np.add.reduceat(bits, np.maximum(offsets[own], at) - at, axis=0, dtype=np.int64)
+        starts, ends = np.maximum(offsets[own], at) - at, np.minimum(offsets[own + 1], end) - at
+        parts = -(-(ends - starts) // 255)
+        before = np.cumsum(parts) - parts
+        cuts = np.repeat(starts - 255 * before, parts) + 255 * np.arange(parts.sum())
+        sums = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(-1, BITS)
+        counts[own] += np.add.reduceat(sums, before, axis=0, dtype=np.int64)
     sizes = np.diff(offsets)[:, None]
     return ((2 * counts > sizes).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
@@ -173,15 +193,132 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(materialise(of_fp, "simhash-components"), "fp").withColumnRenamed("_id", doc_id)
 
 
+def _vote_wide(words: int):
+    salts = mix(np.arange(1, words + 1, dtype=np.uint64))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_h")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).view(np.uint64)
+            fp = np.stack([majority_bits(offsets, mix(values ^ salt)) for salt in salts], axis=1)
+            node = np.zeros(len(fp), np.uint64)
+            for k in range(words):
+                node = mix(node ^ fp[:, k] ^ salts[k])
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * words), pa.array(fp.ravel().view(np.int64)))
+            kept = [c for c in batch.schema.names if c != "_h"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(node.view(np.int64)), fps], names=[*kept, "node", "fp"])
+
+    return vote
+
+
+def wide_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", size: int = SHINGLE, words: int = WORDS) -> DataFrame:
+    """The columns ``keep``, ``fp`` (SimHash of the set of shingles, in ``words`` numbers of 64 bits) and ``node``, its hash."""
+    tokens, hashes = shingle_hashes(F.col(text), size)
+    lists = docs.select(*keep, tokens.alias("_w")).select(*keep, F.array_distinct(hashes).alias("_h"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) + "node bigint, fp array<bigint>"
+    return lists.mapInArrow(frugal(_vote_wide(words)), schema)
+
+
+def bits_apart(similarity: float, words: int = WORDS) -> int:
+    """How many bits differ, on average, between fingerprints of two sets of equal size and that Jaccard similarity."""
+    return int(BITS * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _link_wide(words: int, most: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, src, dst = batch.column("members"), [], []
+            offsets, members = lists.offsets.to_numpy(), lists.values
+            nodes = members.field("node").to_numpy(zero_copy_only=False)
+            fps = members.field("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                own, left = fps[a:b], np.arange(b - a)
+                if b - a <= 64:  # most buckets hold nothing alike: one look at all of it
+                    near = np.bitwise_count(own[:, None] ^ own[None]).sum(axis=2, dtype=np.int64) <= most
+                    left = np.flatnonzero(near.sum(axis=1) > 1)
+                while len(left):
+                    queue, left = [left[0]], left[1:]
+                    while queue and len(left):
+                        at = queue.pop()
+                        near = np.bitwise_count(own[left] ^ own[at]).sum(axis=1, dtype=np.int64) <= most
+                        found, left = left[near], left[~near]
+                        src += [nodes[a + at]] * len(found)
+                        dst += nodes[a + found].tolist()
+                        queue += found.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return link
+
+
+def wide_links(distinct: DataFrame, most: int, words: int = WORDS, block: int = BLOCK_BITS, bucket: int = BUCKET) -> DataFrame:
+    """(src, dst): links between nodes of ``distinct`` (node, fp) that share a block and differ in ``most`` bits at most.
+
+    Buckets of one block with more than ``bucket`` nodes are not compared pair by pair. All of their nodes are
+    compared with a leader, the node of the least salted hash; those within half of ``most`` bits of it are linked
+    and done with in that bucket, the others are keyed anew by that block and each other one. Where such a bucket
+    is too large still, leaders are chosen again until it isn't.
+    """
+    per = BITS // block
+    parts = [F.shiftrightunsigned(F.get("fp", i // per), block * (i % per)).bitwiseAND(F.lit((1 << block) - 1)) for i in range(words * per)]
+    keyed = distinct.select("node", "fp", F.posexplode(F.array(*parts)).alias("b", "v")).select("node", "fp", F.col("b").cast("long").alias("b"), F.col("v").alias("v"))
+    key, out, level = ["b", "v"], [], 0
+    link = frugal(_link_wide(words, most))
+    apart = F.aggregate(F.zip_with("fp", "lead_fp", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    while True:
+        hot = materialise(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select(*key), "hot-blocks")
+        none = hot.isEmpty()
+        ready = keyed if none else keyed.join(hot, key, "left_anti")
+        lists = ready.groupBy(*key).agg(F.collect_list(F.struct("node", "fp")).alias("members")).filter(F.size("members") > 1)
+        out.append(materialise(lists.select("members").mapInArrow(link, "src bigint, dst bigint").distinct(), "wide-links"))
+        if none:
+            break
+        inside = materialise(keyed.join(hot, key, "left_semi"), "hot-rows")
+        order = F.struct(F.xxhash64("node", F.lit(level)).alias("o"), F.col("node").alias("lead"), F.col("fp").alias("lead_fp"))
+        leaders = materialise(inside.groupBy(*key).agg(F.min(order).alias("l")).select(*key, "l.lead", "l.lead_fp"), "hot-leaders")
+        met = materialise(inside.join(leaders, key).filter("node <> lead").withColumn("apart", apart), "hot-distances")
+        out.append(met.filter(F.col("apart") <= most).select(F.col("node").alias("src"), F.col("lead").alias("dst")).distinct())
+        rest = met.filter(F.col("apart") > most // 2).select("node", "fp", *key)
+        if level == 0:
+            n = words * per
+            rest = rest.select("node", "fp", "b", "v", F.posexplode(F.array(*parts)).alias("c", "u")).filter("c <> b")
+            low, high = F.least("b", F.col("c").cast("long")), F.greatest("b", F.col("c").cast("long"))
+            both = F.when(F.col("c") > F.col("b"), F.shiftleft("v", block).bitwiseOR(F.col("u"))).otherwise(F.shiftleft("u", block).bitwiseOR(F.col("v")))
+            rest = rest.select("node", "fp", (low * n + high + n).alias("b"), both.alias("v")).distinct()
+        keyed, level = materialise(rest, "hot-rest"), level + 1
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def similar_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = 0.8, words: int = WORDS, block: int = BLOCK_BITS) -> DataFrame:
+    """``docs`` with one row of each class of texts whose shingle sets are alike: of the smallest identifier (null last), then of the least text hash.
+
+    Texts are alike if their wide fingerprints differ in no more bits than sets of Jaccard ``similarity`` do on average.
+    """
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_t"), F.xxhash64(text).alias("_x"))
+    marked = materialise(wide_fingerprints(held, ["_id", "_x"], "_t", size, words), "wide-simhash")
+    distinct = materialise(marked.groupBy("node").agg(F.first("fp").alias("fp")), "wide-distinct")
+    edges = materialise(wide_links(distinct, bits_apart(similarity, words), words, block).distinct(), "wide-edges")
+    parts = star_components(edges).withColumnsRenamed({"node": "_n", "label": "class"})
+    rows = marked.select("_id", "_x", "node").join(parts, F.col("node") == F.col("_n"), "left").select("_id", "_x", F.coalesce("class", "node").alias("class"))
+    return _one_each(held, materialise(rows, "wide-rows")).select("_row.*")
+
+
+def _one_each(held: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``held`` (_id, _x) that come first in their class of ``marked`` (_id, _x, class)."""
+    least = marked.groupBy("class").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_x").alias("x"))).alias("m"))
+    chosen = materialise(least.select(F.col("m.id").alias("_i"), F.col("m.x").alias("_y")), "simhash-chosen")
+    both = held["_id"].eqNullSafe(chosen["_i"]) & (held["_x"] == chosen["_y"])
+    kept = held.join(F.broadcast(chosen) if table_bytes(chosen) <= BROADCAST_BYTES else chosen, both, "left_semi")
+    if not marked.groupBy("_id", "_x").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_x"])  # the same row several times
+    return kept
+
+
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one of the smallest identifier (null last), then of the least text hash."""
-    hashed = docs.withColumn("_x", F.xxhash64(F.col(text)))
-    marked = near_duplicates(hashed, doc_id, text, ("_x",))
-    marked = materialise(marked, "simhash-rows")
-    least = marked.groupBy("class").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_x").alias("x"))).alias("m"))
-    chosen = materialise(least.select(F.col("m.id").alias("_i"), F.col("m.x").alias("_y")), "simhash-chosen")
-    both = hashed[doc_id].eqNullSafe(F.col("_i")) & (hashed["_x"] == F.col("_y"))
-    kept = hashed.join(F.broadcast(chosen) if chosen.count() <= REPRESENTATIVES else chosen, both, "left_semi")
-    if not marked.groupBy(doc_id, "_x").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
-        kept = kept.dropDuplicates([doc_id, "_x"])  # the same row several times
-    return kept.drop("_x")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_t"), F.xxhash64(text).alias("_x"))
+    marked = materialise(near_duplicates(held, "_id", "_t", ("_x",)).select("_id", "_x", "class"), "simhash-rows")
+    return _one_each(held, marked).select("_row.*")

@@ -98,6 +98,84 @@ def test_simhash_without_identifiers(spark):
     assert rows(found.select("doc_id", "component_id")) == [(4, 4), (None, None), (None, None)]
 
 
+def wide(text):
+    words = ASCII_WORDS.findall((text or "").translate(LOWER))
+    shingles = {" ".join(words[a : a + 5]) for a in range(max(1, len(words) - 4))} if words else set()
+    hashes = np.array([xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles], np.uint64)
+    salts = runs.mix(np.arange(1, 9, dtype=np.uint64))
+    return tuple(sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in runs.mix(hashes ^ salt)) > len(hashes)) for salt in salts)
+
+
+def alike(a, b):
+    differing = [x ^ y for x, y in zip(a, b)]
+    return sum(x.bit_count() for x in differing) <= 77 and any((x >> s & 0xFFFF) == 0 for x in differing for s in (0, 16, 32, 48))
+
+
+def kept_of_similar(docs):
+    """Identifiers that come first in their class."""
+    prints = {i: wide(t) for i, t in docs}
+    parent = {i: i for i in prints}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    order = sorted(prints)
+    for a in order:
+        for b in order:
+            if a < b and root(a) != root(b) and alike(prints[a], prints[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i for i in order if root(i) == i}
+
+
+def test_similar_representatives(documents, no_documents):
+    texts = dict(CORPUS)
+    found = simhash.similar_representatives(documents)
+    assert found.columns == documents.columns
+    assert rows(found.select("doc_id", "text", "fp")) == sorted(((i, texts[i], "q") for i in kept_of_similar(CORPUS)), key=repr)
+    assert simhash.similar_representatives(no_documents).count() == 0
+
+
+def test_similarity_of_0_8_is_reached(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    docs, near, apart = [], 0, 0
+    for k in range(150):
+        words = [word() for _ in range(300)]
+        other = list(words)
+        for at in draw.sample(range(300), 4 if k % 2 else 60):  # 20 or most of some 296 shingles change
+            other[at] = word()
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    left = {r[0] for r in rows(simhash.similar_representatives(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id"))}
+    near = sum(2 * k + 1 not in left for k in range(150) if k % 2)
+    apart = sum(2 * k + 1 in left for k in range(150) if not k % 2)
+    assert all(2 * k in left for k in range(150)) and near >= 0.95 * 75 and apart == 75
+
+
+@pytest.mark.parametrize("bucket", [4, 1000])
+def test_wide_links_of_large_buckets(spark, bucket):
+    draw = random.Random(9)
+    values = []
+    for _ in range(3):
+        centre = [draw.getrandbits(64) for _ in range(8)]
+        values += [tuple(c ^ sum(1 << draw.randrange(64) for _ in range(draw.randint(0, 3))) & (2**64 - 1) for c in centre) for _ in range(60)]
+    values = sorted(set(values))
+    signed = [(i, [v - 2**64 if v >> 63 else v for v in fp]) for i, fp in enumerate(values)]
+    links = simhash.wide_links(spark.createDataFrame(signed, "node long, fp array<long>"), 77, bucket=bucket).collect()
+    assert all(sum((x ^ y).bit_count() for x, y in zip(values[a], values[b])) <= 77 for a, b in links)
+    parent = list(range(len(values)))
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert len({root(i) for i in range(len(values))}) == 3
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 ITEM_WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -266,8 +344,13 @@ def test_patterns_use_all_lengths_up(seed):
     assert bins <= 1.03 * max(floor, big) + 2
 
 
-def test_word_cache_equals_the_tokenizer():
-    cache = packing.WordCache(packing.default_tokenizer(), size=50)
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("n_bytes", [5000, packing.CACHE_BYTES])
+def test_word_cache_equals_the_tokenizer(vocabulary, n_bytes):
+    import public_tokenizers
+
+    cache = packing.WordCache(public_tokenizers.path(vocabulary), n_bytes)
+    assert cache.by_word == (vocabulary == "word_bpe_49k.json")
     draw = random.Random(2)
     odd = ["Hello, world's I'LL can't <|endoftext|> x", "½ ² ①2 中文 \x1c\x1d\x85\xa0 ok", "ΣΑΣ ẞ İ", "a'b''s 's'S don'T x_y_z 12a3", "“quoted”—dash…", "e\u0301 \u0345", "ǅ Ǆ ŉ ﬁ"]
     pool = "aB'sStTéÉ1²½ \n\t.,!<|>_-—’“Σßẞİ\u0301"

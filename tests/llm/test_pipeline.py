@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from sketchloom.llm.quality import RULES, STOP_WORDS
 from tests.llm.conftest import corpus
-from tests.llm.test_operators import ASCII_WORDS, assert_packed, classes, contamination, drained, fingerprint, items, measures, rows
+from tests.llm.test_operators import ASCII_WORDS, assert_packed, contamination, drained, items, kept_of_similar, measures, rows
 
 
 def accepted(text):
@@ -51,7 +51,7 @@ def test_stages(spark, tables, tmp_path):
     left = drained(now)
     check("line_dedup", [(i, left[i]) for i, t in now if left[i] == t or ASCII_WORDS.search(left[i])])
     assert docs.filter("n_chars <> length(text)").count() == 0
-    ids = set(classes({i: fingerprint(t) for i, t in now}).values())
+    ids = kept_of_similar(now)
     check("near_dedup", sorted({(i, t) for i, t in now if i in ids}))
     dirty = {r[0] for r in contamination(now, items()) if r[-1]}
     check("decontamination", [(i, t) for i, t in now if i not in dirty])
