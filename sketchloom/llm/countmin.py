@@ -17,8 +17,9 @@ What a text loses depends on its content alone, so results are keyed by hash and
 copies count as often as they occur.
 
 Defined cases: a null or empty text has no words, and the hash of no bytes. Texts shorter than a window
-lose nothing. Repeated rows count as occurrences of their own and get equal results. Columns besides the
-named ones pass through as asked for.
+lose nothing. Repeated rows, with or without an identifier, count as occurrences of their own and get equal
+results. A text of any length is hashed word by word and cut into blocks of windows. Columns asked for pass
+through whatever their names are; only one that is named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from sketchloom.functions.storage import join_checked, materialise
 from sketchloom.functions.workers import frugal
 from sketchloom.llm import runs
+from sketchloom.llm.columns import held, released, schema_with
 
 WINDOW = 35
 GRAM = 18
@@ -235,9 +237,9 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_windows(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """(*keep, n_words, n_removed, kept_sha256, kept_text): texts without the words of repeated windows."""
-    base = docs.select(*keep, F.col(text).alias("_t"), F.xxhash64(text).alias("x"), F.coalesce(F.length(text), F.lit(-1)).alias("x_len"))
+    base = docs.select(held(keep), F.col(text).alias("_t"), F.xxhash64(text).alias("x"), F.coalesce(F.length(text), F.lit(-1)).alias("x_len"))
     marks = repeated_windows(base.select("x", "x_len", "_t").filter("_t is not null"))
-    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
     # From a written table Spark may split the copies of a very frequent text over tasks.
-    joined = base.join(materialise(marks, "repeated-words").hint("merge"), ["x", "x_len"], "left").select(*keep, "_t", "starts")
-    return joined.mapInArrow(frugal(_prune), types + "n_words long, n_removed long, kept_sha256 string, kept_text string")
+    joined = base.join(materialise(marks, "repeated-words").hint("merge"), ["x", "x_len"], "left").select("_held", "_t", "starts")
+    pruned = joined.mapInArrow(frugal(_prune), schema_with(joined, ["_held"], "n_words long, n_removed long, kept_sha256 string, kept_text string"))
+    return pruned.select(*released(keep, ["n_words", "n_removed", "kept_sha256", "kept_text"]))

@@ -8,8 +8,10 @@ popping buckets in turn is popping a priority queue of (character, rank) keys. A
 popped at once and handled with array operations. Queue entries carry the suffix and its common prefix with
 its forerunner: one more than the least prefix value popped between the two suffixes that induced them.
 
-Queues and text move to unnamed temporary files once they exceed ``memory`` bytes, so a shard may be far
-larger than memory. Common prefixes are only told up to ``cap``.
+Queues move to unnamed temporary files once they exceed ``memory`` bytes, and texts beyond ``TEXT_BYTES`` do as
+well. Full production shards (2 MiB) spill their queues and recurse on their names once. What stays in memory
+beside the queues, types, places of S* suffixes and names, is some 60 bytes for each byte of a shard, so a
+worker's memory decides how large shards may be. Common prefixes are only told up to ``cap``.
 """
 
 from __future__ import annotations
@@ -19,14 +21,18 @@ import tempfile
 import numpy as np
 
 #: Names are recursed on down to so many; fewer are sorted in memory by prefix doubling.
-SMALL = 1 << 21
+SMALL = 1 << 19
 DIRECT = 512
+#: Bytes of a queue from which on it is kept in a file.
+QUEUE_BYTES = 8 << 20
+#: Bytes of a text from which on it is kept in a file.
+TEXT_BYTES = 256 << 20
 
 
 class BucketQueue:
     """First in, first out queues of (suffix, prefix value) batches, one per character; spills to a file."""
 
-    def __init__(self, memory: int = 256 << 20):
+    def __init__(self, memory: int = QUEUE_BYTES):
         self.memory, self.held, self.file = memory, 0, None
         self.parts: dict[int, list] = {}
 
@@ -235,11 +241,11 @@ def star_order(induction: Induction, memory: int) -> np.ndarray:
     is_star[stars] = True
     down = [items[is_star[items]] for _, items, _ in induction.run(seeds, None, naming=True)]
     order = np.concatenate(down)[::-1]
-    following = np.full(len(text), len(text) - 1)
-    following[stars[:-1]] = stars[1:]
+    place = np.searchsorted(stars, order)
+    sizes = np.diff(stars, append=len(text) - 1)
     a, b = order[:-1], order[1:]
-    size = following[b] - b
-    same = following[a] - a == size
+    size = sizes[place[1:]]
+    same = sizes[place[:-1]] == size
     left, at = np.flatnonzero(same), 0
     while len(left):
         equal = text[a[left] + at] == text[b[left] + at]
@@ -250,9 +256,9 @@ def star_order(induction: Induction, memory: int) -> np.ndarray:
     names = np.r_[0, np.cumsum(~same)]
     if names[-1] == len(order) - 1:
         return order
-    by_place = np.empty(len(text), np.int64)
-    by_place[order] = names
-    return stars[sorted_suffixes(by_place[stars], int(names[-1]) + 1, memory)]
+    in_order = np.empty(len(stars), np.int64)
+    in_order[place] = names
+    return stars[sorted_suffixes(in_order, int(names[-1]) + 1, memory)]
 
 
 def sorted_suffixes(text: np.ndarray, kinds: int, memory: int) -> np.ndarray:
@@ -266,14 +272,14 @@ def sorted_suffixes(text: np.ndarray, kinds: int, memory: int) -> np.ndarray:
         found = sorted_suffixes(digits, base + 1 if base + 1 <= DIRECT else DIRECT, memory)
         found = found[1:]
         return found[found % 2 == 0] // 2
-    induction = Induction(stored(text, memory), memory)
+    induction = Induction(stored(text, max(memory, TEXT_BYTES)), memory)
     seeds = star_order(induction, memory)
     return np.concatenate([items for _, items, _ in induction.run(seeds, None)])
 
 
-def suffixes_with_prefixes(text: np.ndarray, cap: int, memory: int = 256 << 20):
+def suffixes_with_prefixes(text: np.ndarray, cap: int, memory: int = QUEUE_BYTES):
     """Yield (suffixes, common prefix with the one before, up to ``cap``) in ascending order, in batches."""
-    induction = Induction(stored(text, memory), memory, cap)
+    induction = Induction(stored(text, max(memory, TEXT_BYTES)), memory, cap)
     seeds = star_order(induction, memory)
     for _, items, prefixes in induction.run(seeds, adjacent_common(induction.text, seeds, cap)):
         yield items, prefixes

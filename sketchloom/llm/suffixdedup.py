@@ -16,7 +16,9 @@ common; what still has too many kinds is cut into single windows, which are coun
 at every step and drops nothing.
 
 Defined cases: a null or empty text has no bytes and loses none. Texts shorter than a window lose nothing.
-Repeated rows count as occurrences of their own and get equal results. Other columns pass as asked for.
+Repeated rows, with or without an identifier, count as occurrences of their own and get equal results. A text
+of any length is cut into blocks of half a million bytes for finding, and pruned as one array. Columns asked
+for pass through whatever their names are; only one that is named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from sketchloom.functions.storage import join_checked, materialise
 from sketchloom.functions.workers import frugal
 from sketchloom.llm import induced, runs
+from sketchloom.llm.columns import held, released, schema_with
 from sketchloom.llm.countmin import covered
 
 LENGTH = 400
@@ -270,9 +273,9 @@ def _prune(length: int):
 
 def dedup_bytes(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENGTH, **params) -> DataFrame:
     """(*keep, n_bytes, n_removed, n_spans, kept_sha256, kept): UTF-8 texts without the bytes of repeated windows."""
-    base = docs.select(*keep, F.col(text).alias("_t"), F.xxhash64(text).alias("x"), F.coalesce(F.length(text), F.lit(-1)).alias("x_len"))
+    base = docs.select(held(keep), F.col(text).alias("_t"), F.xxhash64(text).alias("x"), F.coalesce(F.length(text), F.lit(-1)).alias("x_len"))
     marks = repeated_windows(base.select("x", "x_len", "_t").filter(F.octet_length("_t") >= length), length, **params)
-    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
     # From a written table Spark may split the copies of a very frequent text over tasks.
-    joined = base.join(materialise(marks, "repeated-bytes").hint("merge"), ["x", "x_len"], "left").select(*keep, "_t", "starts")
-    return joined.mapInArrow(frugal(_prune(length)), types + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = base.join(materialise(marks, "repeated-bytes").hint("merge"), ["x", "x_len"], "left").select("_held", "_t", "starts")
+    pruned = joined.mapInArrow(frugal(_prune(length)), schema_with(joined, ["_held"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+    return pruned.select(*released(keep, ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]))
