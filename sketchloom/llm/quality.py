@@ -5,8 +5,10 @@ whole table into a single boolean column, so a filter on it stays inside one pro
 functions: no user function, no shuffle, one pass over the text.
 
 Defined cases: a null or empty text has no words, so every count is 0 and the base rule (at least 50
-words) rejects it. Extra columns pass through untouched; columns of the same name as a measure are
-not overwritten, because measures live in one struct column. Repeated rows get equal results.
+words) rejects it. Extra columns pass through whatever their names are; measures live in one struct column, and
+``judge`` replaces only columns named ``_quality``, ``base_failed`` and ``kept``. Repeated rows, and rows without an
+identifier, get the result of their text. A ratio that equals its bound breaks no rule. A text of any length is
+one row: its windows are hashed, and sorted as texts only if two hashes agree.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sketchloom.llm.columns import held, released
+
 SPACES = r"[\x20\x09-\x0D]+"
 
 # Frequent function words of the four supported languages.
@@ -69,27 +73,21 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     The struct holds a row number, which is not deterministic: Spark then evaluates the struct once, and
     doesn't push filters on it below the projections, where they would repeat all of their work.
     """
-    step = docs.withColumn("_w", words(F.col(text)))
+    known = F.coalesce(F.col("_t"), F.lit(""))
+    step = docs.select(held(docs.columns), F.col(text).alias("_t")).withColumn("_w", words(F.col("_t")))
     step = step.withColumn("_n", F.size("_w"))
-    window = F.transform(
-        F.when(F.col("_n") >= 3, F.sequence(F.lit(0), F.col("_n") - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.concat_ws(" ", F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)),
-    )
-    step = step.withColumn("_g", window)
-    pairs = F.when(
-        F.size(F.array_distinct("_g")) < F.size("_g"),
-        F.array_sort(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))),
-    ).otherwise(F.array().cast("array<struct<g:string,i:int>>"))
-    step = step.withColumn("_g", pairs)
+    starts = F.when(F.col("_n") >= 3, F.sequence(F.lit(0), F.col("_n") - 3)).otherwise(F.array().cast("array<int>"))
+    # Equal windows have equal hashes; only texts in which a hash occurs twice compare the windows themselves.
+    step = step.withColumn("_g", F.transform(starts, lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
+    window = F.transform("_g", lambda g, i: F.struct(F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("g"), i.alias("i")))
+    step = step.withColumn("_g", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.array_sort(window)).otherwise(F.array().cast("array<struct<g:string,i:int>>")))
     step = step.withColumn("_g", repeated_words(F.col("_g")))
-    starts = F.col("_g")
     covered = F.aggregate(
-        F.transform(starts, lambda p, k: F.coalesce(F.least(F.lit(3), F.get(starts, k + 1) - p), F.lit(3))),
+        F.transform("_g", lambda p, k: F.coalesce(F.least(F.lit(3), F.get("_g", k + 1) - p), F.lit(3))),
         F.lit(0).cast("long"),
         lambda total, n: total + n,
     )
-    step = step.withColumn("_l", F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0))
-    known = F.coalesce(F.col(text), F.lit(""))
+    step = step.withColumn("_l", F.filter(F.split(known, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     step = step.withColumn(
         "_quality",
         F.struct(
@@ -105,7 +103,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             F.monotonically_increasing_id().alias("row"),
         ),
     )
-    return step.drop("_w", "_n", "_g", "_l")
+    return step.select(*released(docs.columns, ["_quality"]))
 
 
 def base_failed(q: str = "_quality") -> Column:
@@ -133,4 +131,5 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns."""
-    return judge(docs, text, rules).filter("kept").select(*docs.columns)
+    judged = judge(docs.select(held(docs.columns), F.col(text).alias("_text")), "_text", rules).filter("kept")
+    return judged.select(*released(docs.columns, []))
