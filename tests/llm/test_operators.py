@@ -411,6 +411,23 @@ def test_induced_sorting(monkeypatch, memory):
             assert value == common
 
 
+def test_production_shards_spill_and_recurse(monkeypatch):
+    draw = np.random.default_rng(4)
+    base = draw.integers(2, 40, suffixdedup.SHARD_BYTES // 4).astype(np.uint16)
+    text = np.r_[base, base[::-1], base[1000:], base[: len(base) // 2], 1, 0].astype(np.uint16)
+    spills, sorted_names = [], []
+    spill, names = induced.BucketQueue._spill, induced.sorted_suffixes
+    monkeypatch.setattr(induced.BucketQueue, "_spill", lambda self: (spills.append(self.held), spill(self)))
+    monkeypatch.setattr(induced, "sorted_suffixes", lambda *a: (sorted_names.append(len(a[0])), names(*a))[1])
+    found = list(induced.suffixes_with_prefixes(text, 400))
+    order = np.concatenate([s for s, _ in found])
+    assert len(order) == len(text) and len(spills) > 0 and len(sorted_names) > 1
+    assert (np.sort(order) == np.arange(len(text))).all()
+    plain = text.astype(">u2").tobytes()
+    for k in draw.integers(1, len(order), 300).tolist():
+        assert plain[2 * order[k - 1] :] < plain[2 * order[k] :]
+
+
 # 7 ------------------------------------------------------------------------------------------------
 
 
@@ -445,6 +462,26 @@ def test_runs_cover_every_window_once(block):
     assert sorted(seen) == [(0, k) for k in range(266)] + [(2, k) for k in range(166)]
 
 
+def test_columns_named_like_results(spark):
+    text = "so many words " * 40
+    table = spark.createDataFrame([(1, text, 7, "q", 5, "r", 2.0, "w")], "doc_id long, text string, kept int, x string, n_removed int, n_lines string, _w double, starts string")
+    keep = ["doc_id", "kept", "x", "n_removed", "_w", "starts"]
+    bytes_ = suffixdedup.dedup_bytes(table, keep)
+    assert bytes_.columns == ["doc_id", "x", "_w", "starts", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    assert tuple(bytes_.first()[:5]) == (1, "q", 2.0, "w", len(text))
+    words = countmin.dedup_windows(table, keep)
+    assert words.columns == ["doc_id", "kept", "x", "_w", "starts", "n_words", "n_removed", "kept_sha256", "kept_text"]
+    assert tuple(words.first()[:6]) == (1, 7, "q", 2.0, "w", 120)
+    lines = linedrain.drop_recurring(table)
+    assert lines.columns == ["doc_id", "text", "kept", "x", "n_removed", "_w", "starts", "n_lines", "n_dropped"]
+    assert tuple(lines.first()) == (1, text, 7, "q", 5, 2.0, "w", 1, 0)
+    judged = quality.judge(table)
+    assert [c for c in judged.columns if not c.startswith(("base", "_q", "kept"))] == ["doc_id", "text", "x", "n_removed", "n_lines", "_w", "starts"]
+    assert judged.first()["_w"] == 2.0 and judged.first()["kept"] is False
+    rules = (quality.Rule("words", "n_words", 1, None),)
+    assert quality.keep(table.withColumn("text", F.lit(" ".join(map(str, range(60))))), rules=rules).columns == table.columns
+
+
 # 8 ------------------------------------------------------------------------------------------------
 
 
