@@ -1,7 +1,7 @@
 """WARC archives as a chunked record table.
 
 Writing: payloads are cut into chunk rows by the scan itself, and each task streams its chunks into one
-archive of gzip members, one member per record. Of records with equal payloads of some length, the one
+archive of gzip members, one member per record. A payload is whole only in the row that Spark reads. Of records with equal payloads of some length, the one
 with the smallest identifier is a ``response``; the others are ``revisit`` records, which carry the
 HTTP header and the digest but no payload. Reading: each archive is a row; a task inflates it as a
 stream and yields one row per chunk with the bytes and the digest of the payload so far. Neither side
@@ -12,7 +12,9 @@ the attempts that Spark accepted, so a task that runs twice leaves no record twi
 
 Defined cases: a null payload is an empty one; empty payloads give one chunk row of no bytes. A null
 identifier stays null and never is referred to. Rows that repeat the smallest identifier of equal
-payloads are all responses. Line breaks in an address are percent-encoded in the header.
+payloads are all responses. Line breaks in an address are percent-encoded in the header. A payload of any length
+becomes as many chunk rows as it needs, cut in one pass. Columns besides the named ones are not used, so their
+names can't clash with any.
 """
 
 from __future__ import annotations
@@ -99,18 +101,14 @@ def write_archives(records: DataFrame, record_id: str, url: str, payload: str, f
     folder = folder or scratch_path(records.sparkSession, "warc")
     fs_path = folder
     _make_dir(records.sparkSession, fs_path)
-    known = F.coalesce(F.col(payload), F.lit(""))
-    pieces = F.greatest(F.lit(1), F.ceil(F.length(known) / F.lit(chunk_chars))).cast("int")
-    rows = (
-        classified(records, record_id, payload)
-        .withColumn("_pieces", pieces)
-        .withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
-        .select(
-            F.col(record_id).cast("string").alias("rid"), F.col(url).cast("string").alias("url"), F.col("_type").alias("type"),
-            F.col("_refers").cast("string").alias("refers"), F.col("_bytes").alias("n_bytes"), F.col("_digest").alias("digest"),
-            F.col("_at").alias("chunk_no"), (F.col("_at") == F.col("_pieces") - 1).alias("last"),
-            F.when(F.col("_type") == "response", F.substring(known, F.col("_at") * chunk_chars + 1, F.lit(chunk_chars))).otherwise("").alias("chunk"),
-        )
+    plain = records.select(F.col(record_id).alias("rid"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("known"))
+    # One pass over a payload cuts it, however many chunks it has. Outer: no filter on the chunks is inferred.
+    cut = F.when((F.col("_type") == "response") & (F.length("known") > chunk_chars), F.regexp_extract_all("known", F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0)))
+    whole = F.array(F.when(F.col("_type") == "response", F.col("known")).otherwise(""))
+    chunks = classified(plain, "rid", "known").withColumn("_chunks", F.coalesce(cut, whole)).withColumn("_pieces", F.size("_chunks"))
+    rows = chunks.select("rid", "url", "_type", "_refers", "_bytes", "_digest", "_pieces", F.posexplode_outer("_chunks").alias("_at", "chunk")).select(
+        F.col("rid").cast("string").alias("rid"), "url", F.col("_type").alias("type"), F.col("_refers").cast("string").alias("refers"),
+        F.col("_bytes").alias("n_bytes"), F.col("_digest").alias("digest"), F.col("_at").alias("chunk_no"), (F.col("_at") == F.col("_pieces") - 1).alias("last"), "chunk",
     )
     return materialise(rows.mapInArrow(frugal(_write_partition(folder, date)), "path string, n_records long"), "warc-files")
 
