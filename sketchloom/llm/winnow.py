@@ -153,7 +153,7 @@ def decontaminate(
         return nothing.select(F.col("_id").alias(doc_id), "n_words", "n_hit", "n_items", "item_list", "spans", F.lit(False).alias("contaminated"))
     key = ["_k", "_x"]
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # span values at most
-    found = hits(keyed, windows, key, "_t", lengths)
+    found = materialise(hits(keyed, windows, key, "_t", lengths), "benchmark-hits")
     spans = found.select(*key, "s", "len").distinct().groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("s", "len"))).alias("spans"))
     listed = (
         found.select(*key, "len", "win").distinct()
