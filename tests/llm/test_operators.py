@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -575,6 +576,52 @@ def test_mined_rules(spark):
     assert urlfilter.mine(table.limit(5)) is None
 
 
+def url_tokens(url):
+    host, _, rest = url.split("://")[1].partition("/")
+    found = {"scheme:" + url.split("://")[0], "host:" + host, "domain:" + ".".join(host.split(".")[-2:])}
+    found |= {"word:" + w for x in host.split(".")[:-1] for w in re.split("[-_0-9]+", x) if w}
+    path, _, query = rest.partition("?")
+    found |= {"segment:" + x for x in path.split("/") if x}
+    return found | {"key:" + q.split("=")[0] for q in query.split("&") if q}
+
+
+def test_mined_rules_are_all_rules(spark):
+    draw = random.Random(12)
+    labelled = {}
+    for i in range(300):
+        host = draw.choice(["free-bets.example.org", "m.free-bets.example.org", "news.example.org", "bets-news.example.net"])
+        url = f"http://{host}/{draw.choice('ab')}/{draw.choice('cd')}{i}?" + draw.choice(["k1=1&k2=2&k3=3&k4=4", "page=1"])
+        labelled[url] = draw.random() < (0.9 if "free" in host and "/a/" in url else 0.5 if "k1" in url else 0.1)
+    table = spark.createDataFrame(list(labelled.items()), "url string, bad boolean")
+    found = {frozenset({r.pivot, *r.others}): (r.confidence, r.support) for r in urlfilter.mine(table).collect()}
+    baskets = {u: url_tokens(u) for u in labelled}
+    where = collections.defaultdict(set)
+    for u, own in baskets.items():
+        for t in own:
+            where[t].add(u)
+    same = collections.defaultdict(list)
+    for t, urls in where.items():
+        if len(urls) >= 20:
+            same[frozenset(urls)].append(t)
+    tokens, bad = sorted(min(x, key=lambda t: (not t.startswith("host:"), t)) for x in same.values()), {u for u, b in labelled.items() if b}
+    expected = {}
+    for size in range(1, len(tokens) + 1):
+        for chosen in itertools.combinations(tokens, size):
+            urls = set.intersection(*(where[t] for t in chosen))
+            hits = len(urls & bad)
+            if hits >= 20 and hits / len(urls) >= 0.6 and hits / len(urls) >= 1.5 * len(bad) / len(labelled):
+                expected[frozenset(chosen)] = (hits / len(urls), hits / len(labelled))
+    assert set(found) == set(expected) and len(found) > 2
+    assert all(abs(x - y) < 1e-9 for k in found for x, y in zip(found[k], expected[k]))
+    pages = [(i, u, "h", 1.0) for i, u in enumerate(["http://x.free-bets.example.org/a/z", "http://x.free-bets.example.org/b/z", "http://free-bets.example.com/a/z"])]
+    judged = urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, host string, _tail double"), table)
+    assert judged.columns == ["page_id", "url", "_tail", "host", "path", "rule", "verdict", "mined_rule", "confidence"]
+    best = lambda u: max(((v, "\n".join(sorted(k))) for k, v in expected.items() if k <= url_tokens(u)), default=None)
+    for r in judged.collect():
+        mined = None if r.rule else best(r.url)
+        assert r.verdict == ("allow" if r.rule or not mined else "block") and r.mined_rule == (mined and mined[1])
+
+
 # 1 ------------------------------------------------------------------------------------------------
 
 
@@ -609,3 +656,56 @@ def test_language_evidence_beyond_the_text(spark):
     assert all(found[i].lang == ("en" if i % 2 else "de") for i in range(40))
     assert all(0 < r.probability <= 1 for r in found.values())
     del draw
+
+
+def fused(rows, langs, table, trusted=200.0, temper=4.0, strength=20.0):
+    """{key: (lang, probability)} by the definition, for rows (key, text, declared, suffix, domain, host)."""
+    says, loglik = [], []
+    for _, text, *_ in rows:
+        data = (text or "").lower().encode()
+        grams = [data[a : a + 4] for a in range(len(data) - 3)]
+        buckets = [int.from_bytes(g, "little") * 2654435761 % 2**32 >> 17 for g in grams]
+        own = np.array([sum(float(np.float32(table[k][b])) for b in buckets) for k in range(len(langs))])
+        own = own / (temper * max(1.0, len(grams) / trusted) ** 0.5)
+        loglik.append(own)
+        says.append(np.exp(own - own.max()) / np.exp(own - own.max()).sum())
+    out = {}
+    for i, (key, _, *place) in enumerate(rows):
+        other = [j for j in range(len(rows)) if j != i]
+        count = lambda test: sum((says[j] for j in other if test(rows[j][2:])), np.zeros(len(langs)))
+        rest = count(lambda p: True)
+        base = (rest + 1) / (rest.sum() + len(langs))
+        domain = count(lambda p: p[2] == place[2])
+        domain = (domain + strength * base) / (domain.sum() + strength)
+        host = count(lambda p: list(p[2:]) == place[2:])
+        score = loglik[i] + np.log((host + strength * domain) / (host.sum() + strength))
+        for at in (0, 1):
+            share = strength * sum(r[2 + at] == place[at] for r in rows) / len(rows)
+            score = score + np.log((count(lambda p, at=at: p[at] == place[at]) + share) / (rest + strength))
+        out[key] = langs[int(score.argmax())], float(1 / np.exp(score - score.max()).sum())
+    return out
+
+
+def test_fusion_by_its_definition(spark):
+    draw = random.Random(11)
+    stems = {"en": "the and ing tion", "de": "der und ung heit", "fr": "le et ment eau"}
+    text = lambda lang, n: " ".join(draw.choice(stems[lang].split()) for _ in range(n))
+    train = spark.createDataFrame([(text(lang, 40), lang) for lang in stems for _ in range(30)] + [("x", None)], "text string, lang string")
+    langs, table = langid.train(train)
+    rows = []
+    for i in range(60):
+        lang = draw.choice(list(stems))
+        domain = draw.choice(["x.com", "y.de", "z.fr", None])
+        words = text(lang, draw.choice([0, 1, 3, 200]))
+        rows.append((i, draw.choice([words, words, None]) if i % 7 else "Ünïcode \0 " + words.upper(), draw.choice([lang, "en", None]), domain and domain[2:], domain, domain and draw.choice(["a.", "b."]) + domain))
+    rows = [(k, None if t is None else t.replace("\0", " "), *p) for k, t, *p in rows]
+    frame = spark.createDataFrame(rows, "k int, _t string, declared string, suffix string, domain string, host string")
+    found = {r.k: (r.lang, r.probability) for r in langid.identify(frame, (langs, table), ["k"]).collect()}
+    expected = fused(rows, langs, table)
+    assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in expected.items()}
+    assert all(abs(found[k][1] - expected[k][1]) < 1e-4 for k in found)
+
+
+def test_rare_labels_are_not_learnt(spark):
+    rows = [("the and ing", "en")] * 1000 + [("der und ung", "de")] * 1000 + [("x", f"junk{i}") for i in range(3)]
+    assert langid.train(spark.createDataFrame(rows, "text string, lang string"))[0] == ["de", "en"]
