@@ -79,10 +79,12 @@ def annotation_ordinals(rows: DataFrame, whole: bool = False) -> DataFrame:
     return rows.select(F.col("family").alias("label"), member.alias("member")).distinct()
 
 
-def first_of_label(clusters: DataFrame) -> DataFrame:
-    """(label, member) of the first block of each label, by ``line_no``; later blocks are dropped whole."""
-    first = clusters.groupBy("label").agg(F.min("line_no").alias("line_no"))
-    return clusters.join(first, ["label", "line_no"], "left_semi").select("label", "member").distinct()
+def first_of_label(clusters: DataFrame, floor: int = 0) -> DataFrame:
+    """(label, member, position) of each label's first block, by ``line_no``, of ``floor`` members or more; its other blocks are dropped whole."""
+    each = clusters.select("label", "line_no", "member").distinct()
+    blocks = each.groupBy("label", "line_no").agg(F.count(F.lit(1)).alias("size"))
+    first = blocks.filter(F.col("size") >= (max(floor, 2) if floor else 1)).groupBy("label").agg(F.min("line_no").alias("line_no"))
+    return each.join(first, ["label", "line_no"], "left_semi").select("label", "member", F.col("line_no").alias("position"))
 
 
 def relabelled(clusters: DataFrame, prefix: str = "@") -> DataFrame:
@@ -93,6 +95,12 @@ def relabelled(clusters: DataFrame, prefix: str = "@") -> DataFrame:
     return clusters.join(numbers, "label").select(F.concat(F.lit(prefix), F.col("number").cast("string")).alias("label"), "member")
 
 
+def numbers_to_names(clusters: DataFrame, table: DataFrame) -> DataFrame:
+    """Clusters whose members are numbers, with the names that ``table`` (name, id) has for them; unknown ones stay numbers."""
+    joined = clusters.join(table.select(F.col("name").alias("_n"), F.col("id").cast("string").alias("_i")), F.col("member") == F.col("_i"), "left")
+    return joined.select("label", F.coalesce("_n", "member").alias("member"))
+
+
 def of_labels(clusters: DataFrame, labels: DataFrame) -> DataFrame:
     """Clusters whose label is in ``labels`` (label), as after a top-k."""
     return clusters.join(labels.select("label"), "label", "left_semi")

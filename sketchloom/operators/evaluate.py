@@ -1,8 +1,9 @@
 """How alike two clusterings are: weighted best-match F, and normalised mutual information for overlapping covers.
 
 Both work on the pairs of clusters that share a member. For mutual information, where disjoint pairs count
-too, all disjoint partners of one size are alike: a cluster needs to know only whether some partner of
-that size is disjoint from it, so pairs are made with distinct sizes, not with clusters.
+too, all disjoint partners of one size are alike for all clusters of one size: pairs are made of distinct sizes,
+of which there are fewer than the square root of twice the memberships on either side. Only a cluster that meets
+every partner of some size looks at the sizes by itself.
 """
 
 from __future__ import annotations
@@ -78,10 +79,13 @@ def _entropies(test: DataFrame, base: DataFrame, n: int) -> tuple[DataFrame, Dat
     # A partner of some size is disjoint if more partners have that size than meet the cluster.
     by_size = ys.groupBy("y_size").agg(F.count(F.lit(1)).alias("all"))
     meeting = met.groupBy("x_label", "y_size").agg(F.count(F.lit(1)).alias("meeting"))
-    apart = xs.crossJoin(by_size).join(meeting, ["x_label", "y_size"], "left").filter(F.col("all") > F.coalesce("meeting", F.lit(0)))
     zero, b, c = F.lit(0.0), F.col("y_size").cast("double"), F.col("x_size").cast("double")
-    of_apart = apart.select("x_label", conditional_entropy(total - b - c, b, c, zero, total).alias("h"))
-    least = of_met.unionByName(of_apart).groupBy("x_label").agg(F.min("h").alias("h"))
+    apart = xs.select("x_size").distinct().crossJoin(by_size).withColumn("h", conditional_entropy(total - b - c, b, c, zero, total))
+    full = meeting.join(by_size, "y_size").filter("meeting = all").select("x_label", "y_size")
+    exceptional = full.select("x_label").distinct()
+    usual = xs.join(exceptional, "x_label", "left_anti").join(apart.groupBy("x_size").agg(F.min("h").alias("h")), "x_size").select("x_label", "h")
+    unusual = xs.join(exceptional, "x_label", "left_semi").join(apart, "x_size").join(full, ["x_label", "y_size"], "left_anti").select("x_label", "h")
+    least = of_met.unionByName(usual).unionByName(unusual).groupBy("x_label").agg(F.min("h").alias("h"))
     return own, least.agg(F.sum("h").alias("h"))
 
 

@@ -101,12 +101,22 @@ def closed_neighbourhoods(edges: DataFrame) -> DataFrame:
     return arcs.select(F.col("src").alias("label"), F.col("dst").alias("member")).unionByName(arcs.select(F.col("src").alias("label"), F.col("src").alias("member")).distinct())
 
 
+def vertices(shingles: DataFrame) -> DataFrame:
+    """(name) of the level-1 graph's vertices, without its edges: whoever shares a shingle."""
+    return shared(shingles).select("name").distinct()
+
+
 def vertex_ids(edges: DataFrame) -> DataFrame:
     """(id, name): 0-based numbers by name. Numbers come from counts of ranges, so no task sees all names."""
     names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).distinct()
     return dense_numbers(names, "name", "id")
 
 
+def difference(edges: DataFrame, without: DataFrame) -> DataFrame:
+    """(src, dst) of ``edges`` that ``without`` has not."""
+    return edges.select("src", "dst").distinct().join(without.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
 def dense_numbers(df: DataFrame, by: str, number: str) -> DataFrame:
     """``df`` (distinct ``by``) with 0-based numbers in the order of ``by``: a range partitioning, then local ranks."""
     from sketchloom.functions.storage import materialise

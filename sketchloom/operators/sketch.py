@@ -18,6 +18,7 @@ from sketchloom.config import SketchConfig
 from sketchloom.functions.hashing import ALPHABET, universal_hash
 from sketchloom.functions.workers import frugal
 
+NOT_LETTERS = "characters other than A to Z: normalise it first"
 SHINGLE_DDL = "name string, hash_idx int, vals array<bigint>"
 
 
@@ -44,8 +45,8 @@ def _sketch(k: int, c: int, family: list[tuple[int, int]], prime: int, first: in
             for name, sequence in zip(batch.column("name").to_pylist(), batch.column("sequence").to_pylist()):
                 own = (sequence or "").encode("utf-8")
                 data = np.frombuffer(own, np.uint8)
-                if len(data) and (data.min() < 65 or data.max() > 122):
-                    raise ValueError(f"sequence {name!r} has characters other than letters: normalise it first")
+                if len(data) and (data.min() < 65 or data.max() > 90):
+                    raise ValueError(f"sequence {name!r} has {NOT_LETTERS}")
                 found = kmer_values(data, k) % prime
                 if len(found) < c:
                     continue
@@ -66,9 +67,12 @@ def shingles(sequences: DataFrame, cfg: SketchConfig, first_hash: int = 0) -> Da
     return rows.mapInArrow(frugal(_sketch(cfg.k, cfg.c, cfg.family, cfg.prime, first_hash)), SHINGLE_DDL)
 
 
-def _codes(sequence: str = "sequence") -> Column:
-    """The letters of a sequence as digits, A being 0; found by position in constant time."""
-    return F.transform(F.split(sequence, ""), lambda x: F.ascii(x) - 65)
+def _coded(sequences: DataFrame, k: int) -> DataFrame:
+    """(name, c): the letters of sequences of at least k as digits, A being 0; found by position in constant time."""
+    wrong = F.raise_error(F.concat(F.lit("sequence "), F.coalesce("name", F.lit("null")), F.lit(f" has {NOT_LETTERS}"))).cast("string")
+    letters = F.when(F.coalesce("sequence", F.lit("")).rlike(r"\A[A-Z]*\z"), F.col("sequence")).otherwise(wrong)
+    checked = sequences.select("name", letters.alias("s")).filter(F.length("s") >= k)
+    return checked.select("name", F.transform(F.split("s", ""), lambda x: F.ascii(x) - 65).alias("c"))
 
 
 def _value_at(codes: str, i: Column, k: int) -> Column:
@@ -81,13 +85,13 @@ def _value_at(codes: str, i: Column, k: int) -> Column:
 
 def kmers(sequences: DataFrame, k: int) -> DataFrame:
     """(name, pos, value): every window of k letters; its text is ``substring(sequence, pos + 1, k)``."""
-    digits = sequences.filter(F.length("sequence") >= k).select("name", _codes().alias("c"))
+    digits = _coded(sequences, k)
     return digits.select("name", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("c") - k), lambda i: _value_at("c", i, k))).alias("pos", "value"))
 
 
 def min_hashes(sequences: DataFrame, cfg: SketchConfig) -> DataFrame:
     """(name, hash_idx, rank, h): the c least hash values per function, in built-in functions only."""
-    digits = sequences.filter(F.length("sequence") >= cfg.k).select("name", _codes().alias("c"))
+    digits = _coded(sequences, cfg.k)
     valued = digits.select("name", F.transform(F.sequence(F.lit(0), F.size("c") - cfg.k), lambda i: _value_at("c", i, cfg.k)).alias("v"))
     family = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(cfg.family)))
     hashed = valued.select("name", "v", F.explode(family).alias("f"))

@@ -8,18 +8,21 @@ the definition of its operator over the same tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.config import SketchConfig
 from sketchloom.functions.hashing import PRIME, letters_only, vertex_value
+from sketchloom.functions.storage import materialise
 from sketchloom.operators import clusters as C
 from sketchloom.operators import components as CC
 from sketchloom.operators import evaluate as E
 from sketchloom.operators import graph as G
 from sketchloom.operators import search as S
 from sketchloom.operators import sketch as K
+from sketchloom.plans import files
 from sketchloom.sources import writers as W
 
 CFG = SketchConfig(k=6, c=2, rounds=2, hashes=4, seed=7)
@@ -36,7 +39,8 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.shingles(sequences(spark, sf_dir), CFG)
+    """Written once: several branches of a plan read them."""
+    return materialise(K.shingles(sequences(spark, sf_dir), CFG), "sketches")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +115,15 @@ def closed_neighbourhoods(spark, sf_dir):
 
 
 def vertex_ids(spark, sf_dir):
-    return G.vertex_ids(edges(spark, sf_dir)).select("id", "name")
+    return G.dense_numbers(G.vertices(sketches(spark, sf_dir)), "name", "id").select("id", "name")
+
+
+def merged_sketches(spark, sf_dir):
+    """Sketches of whole languages, from those of their documents: stored rows updated by new ones."""
+    lang = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("_1")).alias("name"), "doc_id", F.coalesce("lang", F.lit("none")).alias("lang"))
+    rows = sketches(spark, sf_dir).join(lang, "name").select(F.col("lang").alias("name"), "doc_id", "hash_idx", "vals")
+    old, new = rows.filter("doc_id % 2 = 0").drop("doc_id"), rows.filter("doc_id % 2 = 1").drop("doc_id")
+    return K.merge_sketches(old, new, CFG.c).select("name", K.display().alias("shingle"))
 
 
 def metis_rows(spark, sf_dir):
@@ -189,21 +201,25 @@ def nmi(spark, sf_dir):
 
 def search_trace(spark, sf_dir):
     """Two steps of the search only (4 and 5 hashes against 2 and 3), whose threshold of 1.1 no F reaches: not the defaults of SketchConfig."""
-    return S.search_trace(sequences(spark, sf_dir), SEARCH)
+    return rounded(S.search_trace(sequences(spark, sf_dir), SEARCH), "f")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         doc_sequences, kmer_profile, min_hashes, shingles, bucket_sizes, level1_edges, level1_degree, edges_first_hash, vertex_values,
-        level2_shingles, level2_edges, closed_neighbourhoods, vertex_ids, metis_rows, metis_header, components_min_label,
+        level2_shingles, level2_edges, closed_neighbourhoods, vertex_ids, merged_sketches, metis_rows, metis_header, components_min_label,
         components_hash_to_min, components_union_find, finalised_anti_join, label_blacklist, dictionary_encoding, annotation_ordinals,
         cluster_floor, largest_cluster, top_k_clusters, renamed_members, intersections, best_matches, f_value, nmi, search_trace,
     )
-}
+} | files.QUERIES
+
 
+def _family(cfg: SketchConfig, n: int) -> str:
+    return "fam(hash_idx, a, b) AS (VALUES " + ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(replace(cfg, hashes=n).family)) + ")"
 
-_FAMILY = "fam(hash_idx, a, b) AS (VALUES " + ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(CFG.family)) + ")"
+
+_FAMILY = _family(CFG, CFG.hashes)
 _VALUE = " + ".join(f"c[i + {j}] * {20 ** (5 - j)}::BIGINT" for j in range(6))
 _CTES = f"""{_FAMILY},
 seqs AS (SELECT doc_id::VARCHAR || '_1' AS name, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents),
@@ -253,6 +269,24 @@ def _conditional(mine: str, other: str) -> str:
         FROM {mine} m CROSS JOIN {other} o LEFT JOIN pairs p ON {match}, (SELECT count(*)::DOUBLE AS n FROM part)) GROUP BY label))"""
 
 
+def _searched(h: int) -> str:
+    """The refined graph and the components of the first ``h`` functions."""
+    return f"""arcs_of_{h} AS (SELECT DISTINCT x.name AS src, y.name AS dst FROM sh x JOIN sh y USING (shingle) WHERE x.name <> y.name AND x.hash_idx < {h}),
+hashed_of_{h} AS (SELECT src AS name, hash_idx, dst, ((value % {PRIME}) * a + b) % {PRIME} AS h FROM arcs_of_{h} JOIN vv ON vv.name = dst, fam WHERE hash_idx < {h}),
+ranked_of_{h} AS (SELECT *, row_number() OVER (PARTITION BY name, hash_idx ORDER BY h, dst) AS r FROM hashed_of_{h}),
+again_of_{h} AS (SELECT name, hash_idx::VARCHAR || '$' || string_agg(h::VARCHAR, '$' ORDER BY h) AS shingle FROM ranked_of_{h} WHERE r <= 2 GROUP BY name, hash_idx HAVING count(*) = 2),
+refined_of_{h} AS (SELECT DISTINCT x.name AS src, y.name AS dst FROM again_of_{h} x JOIN again_of_{h} y USING (shingle) WHERE x.name <> y.name),
+reach_of_{h}(node, seen) AS (SELECT src, src FROM refined_of_{h} UNION SELECT node, dst FROM reach_of_{h} JOIN refined_of_{h} ON seen = src),
+part_of_{h} AS (SELECT node AS member, min(seen) AS label FROM reach_of_{h} GROUP BY node), size_of_{h} AS (SELECT label, count(*) AS size FROM part_of_{h} GROUP BY label)"""
+
+
+def _step(h: int, base: int) -> str:
+    met = f"(SELECT x.label AS xl, y.label AS yl, count(*) AS n FROM part_of_{h} x JOIN part_of_{base} y USING (member) GROUP BY ALL)"
+    score = f"(SELECT xl, yl, sx.size AS sx, sy.size AS sy, 2 * (n / sx.size) * (n / sy.size) / ((n / sx.size) + (n / sy.size)) AS f FROM {met} JOIN size_of_{h} sx ON sx.label = xl JOIN size_of_{base} sy ON sy.label = yl)"
+    side = lambda own, label: f"(SELECT sum(size * best) / sum(size) FROM (SELECT s.label, s.size, coalesce(max(f), 0) AS best FROM {own} s LEFT JOIN {score} ON {label} = s.label GROUP BY ALL))"
+    return f"SELECT {h} AS hashes, {base} AS base_hashes, (SELECT count(*) FROM refined_of_{h}) AS arcs, (SELECT count(*) FROM refined_of_{base}) AS base_arcs, round(({side(f'size_of_{h}', 'xl')} + {side(f'size_of_{base}', 'yl')}) / 2, 9) AS f"
+
+
 def _entropy(of: str) -> str:
     return f"(SELECT sum({_h('size')} + {_h('n - size')}) FROM {of}, (SELECT count(*)::DOUBLE AS n FROM part))"
 
@@ -271,6 +305,10 @@ ORACLES: dict[str, str] = {
     "level2_edges": _sql("SELECT DISTINCT x.name AS src, y.name AS dst FROM sh2 x JOIN sh2 y USING (shingle) WHERE x.name <> y.name"),
     "closed_neighbourhoods": _sql("SELECT '@' || src AS label, '/' || dst AS member FROM arcs UNION SELECT '@' || src, '/' || src FROM arcs"),
     "vertex_ids": _sql("SELECT id, name FROM ids"),
+    "merged_sketches": _sql(
+        "SELECT name, hash_idx || '$' || array_to_string(min(v, 2), '$') AS shingle FROM (SELECT coalesce(lang, 'none') AS name, hash_idx, unnest(vals) AS v FROM least l JOIN documents d ON d.doc_id::VARCHAR || '_1' = l.name) GROUP BY name, hash_idx"
+    ),
+    "search_trace": "WITH RECURSIVE " + _CTES.replace(_FAMILY, _family(SEARCH, SEARCH.max_hashes - 1)) + ", " + ", ".join(_searched(h) for h in (2, 3, 4, 5)) + " " + _step(4, 2) + " UNION ALL " + _step(5, 3),
     "metis_rows": _sql("SELECT s.id + 1 AS row_no, string_agg((d.id + 1)::VARCHAR, ' ' ORDER BY d.id) || ' ' AS line FROM arcs JOIN ids s ON s.name = src JOIN ids d ON d.name = dst GROUP BY s.id"),
     "metis_header": _sql("SELECT count(DISTINCT src) AS vertices, count(*) AS arcs, 0::BIGINT AS self_loops, count(*) // 2 AS undirected_edges FROM arcs"),
     "components_min_label": _COMPONENTS,
@@ -294,4 +332,4 @@ ORACLES: dict[str, str] = {
         f"SELECT round(hx, 9) AS h_x, round(hy, 9) AS h_y, round(hxy, 9) AS h_x_given_y, round(hyx, 9) AS h_y_given_x, round((hx - hxy + hy - hyx) / 2 / greatest(hx, hy), 9) AS nmi_max, "
         f"round(1 - (hxy / hx + hyx / hy) / 2, 9) AS nmi_lfk FROM (SELECT {_entropy('bs')} AS hx, {_entropy('ts')} AS hy, {_conditional('bs', 'ts')} AS hxy, {_conditional('ts', 'bs')} AS hyx)"
     ),
-}
+} | files.ORACLES

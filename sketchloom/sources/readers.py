@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sketchloom.functions.hashing import bare_name
-from sketchloom.operators.clusters import annotation_ordinals, first_of_label, with_floor
+from sketchloom.operators.clusters import annotation_ordinals, first_of_label, largest, with_floor
 
 NAME_LIMIT = 199
 
@@ -51,17 +51,23 @@ def names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("name")).filter("name <> ''").distinct()
 
 
-def kmv_clusters(spark: SparkSession, path: str, rename: bool = False, floor: int = 0) -> DataFrame:
+def raw(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content): whole files as they are."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+
+
+def kmv_clusters(spark: SparkSession, path: str, rename: bool = False, floor: int = 0, position: bool = False) -> DataFrame:
     """(label, member) from ``KMV pair:`` lines: the label is token 10 without its comma, members follow token 11.
 
-    Of lines with one label the first counts. ``rename`` cuts members to their sequence.
+    Of lines with one label the first that reaches ``floor`` counts. ``rename`` cuts members to their sequence.
+    ``position`` adds the number of the line.
     """
     tokens = numbered_lines(spark, path).filter(F.startswith("value", F.lit("KMV pair:"))).select("line_no", F.split(F.trim("value"), r"\s+").alias("t"))
     rows = tokens.select("line_no", F.regexp_replace(F.get("t", 10), ",$", "").alias("label"), F.explode(F.slice("t", 13, F.greatest(F.size("t") - 12, F.lit(0)))).alias("member"))
-    clusters = first_of_label(rows)
     if rename:
-        clusters = clusters.select("label", bare_name(F.col("member")).alias("member")).distinct()
-    return with_floor(clusters, floor) if floor else clusters
+        rows = rows.withColumn("member", bare_name(F.col("member")))
+    clusters = first_of_label(rows, floor)
+    return clusters if position else clusters.drop("position")
 
 
 def kv_edges(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
@@ -85,14 +91,26 @@ def kv_edge_counts(edges: DataFrame) -> DataFrame:
     return counted.select("vertices", half.alias("edges"))
 
 
-def annotations(spark: SparkSession, path: str, whole: bool = False, floor: int = 0) -> DataFrame:
-    """(label, member) from a tab-separated table: column 0 names the sequence, column 5 the family."""
+def annotations(spark: SparkSession, path: str, whole: bool = False, floor: int = 0, position: bool = False) -> DataFrame:
+    """(label, member) from a tab-separated table: column 0 names the sequence, column 5 the family.
+
+    ``position`` adds the number of the family's first line.
+    """
     columns = numbered_lines(spark, path).select("line_no", F.split("value", "\t").alias("c")).filter(F.size("c") >= 6)
-    clusters = annotation_ordinals(columns.select("line_no", F.get("c", 0).alias("seq"), F.get("c", 5).alias("family")), whole)
-    return with_floor(clusters, floor) if floor else clusters
+    rows = columns.select("line_no", F.get("c", 0).alias("seq"), F.get("c", 5).alias("family"))
+    clusters = annotation_ordinals(rows, whole)
+    clusters = with_floor(clusters, floor) if floor else clusters
+    if not position:
+        return clusters
+    return clusters.join(rows.groupBy(F.col("family").alias("label")).agg(F.min("line_no").alias("position")), "label").select("label", "member", "position")
+
+
+def largest_block(spark: SparkSession, path: str, rename: bool = False) -> int:
+    """The size of the largest ``Cluster:`` block, before any floor; 0 without blocks."""
+    return largest(cluster_blocks(spark, path, rename)).first()["largest"] or 0
 
 
-def cluster_blocks(spark: SparkSession, path: str, rename: bool = False, floor: int = 0) -> DataFrame:
+def cluster_blocks(spark: SparkSession, path: str, rename: bool = False, floor: int = 0, position: bool = False) -> DataFrame:
     """(label, member) from blocks under ``Cluster:`` lines; labels are block numbers from 0.
 
     A member is what follows the first blank, without ``>``; ``rename`` cuts it at the first underscore,
@@ -107,7 +125,8 @@ def cluster_blocks(spark: SparkSession, path: str, rename: bool = False, floor:
     member = F.regexp_replace(F.when(F.contains(text, F.lit(" ")), F.expr("substring(trim(value), instr(trim(value), ' ') + 1)")).otherwise(text), "^>", "")
     member = F.regexp_extract(member, "^([^_]*)", 1) if rename else F.concat(F.lit("/"), member)
     clusters = placed.select(F.col("_c").cast("string").alias("label"), member.alias("member")).distinct()
-    return with_floor(clusters, floor) if floor else clusters
+    clusters = with_floor(clusters, floor) if floor else clusters
+    return clusters.withColumn("position", F.col("label").cast("long")) if position else clusters
 
 
 def vertex_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.functions.hashing import split_name
+from sketchloom.operators.clusters import dictionary
 from sketchloom.operators.graph import adjacency, both_ways, graph_counts, vertex_ids
 
 
@@ -62,12 +63,25 @@ def conversion_lines(table: DataFrame) -> DataFrame:
     return table.select("id", F.concat_ws("\t", "name", F.col("id").cast("string")).alias("line"))
 
 
+def _annotation_rows(lines: DataFrame) -> DataFrame:
+    rows = lines.filter(~F.startswith("value", F.lit("#")) & (F.col("value") != ""))
+    return rows.select("line_no", F.split("value", "\t", 2).alias("c"))
+
+
+def grown_table(lines: DataFrame, table: DataFrame) -> DataFrame:
+    """(name, id): ``table`` and the names of annotation lines that it lacks, numbered on from its size in file order."""
+    names = _annotation_rows(lines).groupBy(F.get("c", 0).alias("name")).agg(F.min("line_no").alias("position"))
+    new = names.join(table.select("name").distinct(), "name", "left_anti")
+    size = table.select("name").distinct().agg(F.count(F.lit(1)).alias("size"))
+    numbered = dictionary(new).join(size).select("name", (F.col("id") + F.col("size")).alias("id"))
+    return table.select("name", F.col("id").cast("long").alias("id")).unionByName(numbered)
+
+
 def renumbered_annotations(lines: DataFrame, table: DataFrame) -> DataFrame:
-    """(line_no, line): column 0 becomes its number; comment lines are skipped and unknown names an error."""
-    rows = lines.filter(~F.startswith("value", F.lit("#"))).select("line_no", F.split("value", "\t", 2).alias("c"))
-    joined = rows.join(table.select(F.col("name").alias("_n"), F.col("id").alias("_i")), F.get("c", 0) == F.col("_n"), "left")
-    number = F.when(F.col("_i").isNull(), F.raise_error(F.concat(F.lit("no number for "), F.get("c", 0)))).otherwise(F.col("_i").cast("string"))
-    return joined.select("line_no", F.concat_ws("\t", number, F.get("c", 1)).alias("line"))
+    """(line_no, line): column 0 becomes its number in ``grown_table``; comments and empty lines are skipped."""
+    known = grown_table(lines, table).select(F.col("name").alias("_n"), F.col("id").alias("_i"))
+    joined = _annotation_rows(lines).join(known, F.get("c", 0) == F.col("_n"))
+    return joined.select("line_no", F.concat_ws("\t", F.col("_i").cast("string"), F.get("c", 1)).alias("line"))
 
 
 def numbered_fasta_lines(sequences: DataFrame, table: DataFrame) -> DataFrame:
@@ -80,3 +94,8 @@ def numbered_fasta_lines(sequences: DataFrame, table: DataFrame) -> DataFrame:
 def graph_name(prefix: str, fasta: str, hashes: int, rounds: int, k: int) -> str:
     """The name under which a graph of these parameters is kept."""
     return f"{prefix}{fasta}_hash{hashes}_m{rounds}_kmer{k}"
+
+
+def cluster_name(prefix: str, k: int, c: int, rounds: int, component_rounds: int, hashes: int) -> str:
+    """The name under which clusters of these parameters are kept."""
+    return f"{prefix}_k{k}sh{c}m{rounds}cc{component_rounds}h{hashes}"

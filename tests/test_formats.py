@@ -1,9 +1,13 @@
 """Round trips and awkward files of the text formats."""
 
+import os
+
 import pytest
 
 from sketchloom.config import SketchConfig
+from sketchloom.functions import storage
 from sketchloom.operators import graph, sketch
+from sketchloom.operators.clusters import numbers_to_names
 from sketchloom.sources import readers, writers
 from sketchloom.streaming.sketches import stream_shingles
 
@@ -98,3 +102,59 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("name", "hash_idx", "vals")) == rows(sketch.shingles(base, cfg))
+
+
+def test_floor_before_the_label_rule(spark, tmp_path):
+    line = "KMV pair: proc 0, nvalues 2, sizes 9 4679, key @0, values "
+    path = put(tmp_path, f"{line}/5_1\n{line}/1_1 /3_1\n{line}/7_1 /8_1\n")
+    assert rows(readers.kmv_clusters(spark, path, floor=2, position=True)) == [("@0", "/1_1", 1), ("@0", "/3_1", 1)]
+    assert rows(readers.kmv_clusters(spark, path)) == [("@0", "/5_1")]
+    regions = put(tmp_path, f"{line}/5_1 /5_2\n{line}/1_1 /3_1\n", "regions")
+    assert rows(readers.kmv_clusters(spark, regions, rename=True, floor=2)) == [("@0", "1"), ("@0", "3")]
+
+
+def test_renumbering_grows_its_table(spark, tmp_path):
+    path = put(tmp_path, "# head\n9\ta\n7\tb\n9\tc\n8\td\n\n3\n")
+    table = spark.createDataFrame([("7", 1), ("1", 2)], "name string, id long")
+    lines = writers.renumbered_annotations(readers.numbered_lines(spark, path), table).orderBy("line_no").collect()
+    assert [r.line for r in lines] == ["3\ta", "1\tb", "3\tc", "4\td", "5"]
+    assert rows(writers.grown_table(readers.numbered_lines(spark, path), table)) == [("1", 2), ("3", 5), ("7", 1), ("8", 4), ("9", 3)]
+
+
+def test_names_and_sizes(spark, tmp_path):
+    path = put(tmp_path, "Cluster: 1\n1 >a_1\nCluster: 2\n1 >b_1\n2 >c_1\n3 >c_2\n")
+    assert readers.largest_block(spark, path) == 3 and readers.largest_block(spark, path, rename=True) == 2
+    assert readers.largest_block(spark, put(tmp_path, "nothing\n", "none")) == 0
+    assert writers.cluster_name("out/x", 6, 2, 2, 1, 41) == "out/x_k6sh2m2cc1h41"
+    clusters = spark.createDataFrame([("x", "1"), ("x", "2")], "label string, member string")
+    table = spark.createDataFrame([("a", 1)], "name string, id long")
+    assert rows(numbers_to_names(clusters, table)) == [("x", "2"), ("x", "a")]
+    assert bytes(readers.raw(spark, path).first().content).startswith(b"Cluster: 1\n")
+
+
+def test_shared_folder_off_local_masters(spark, monkeypatch):
+    class Elsewhere:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Elsewhere
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session)
+
+
+def test_tables_of_a_scope_go(spark, tmp_path):
+    with storage.scratch_scope(spark):
+        table = storage.materialise(spark.range(3), "scoped")
+        path = table.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    many = storage.materialise(spark.range(10).selectExpr("id", "array_repeat(id, 1000) as a", "repeat('x', 500) as s", "struct(id as i, 'abc' as t) as u"), "wide")
+    assert 10 * 8500 < storage.table_bytes(many) < 10 * 9500
+    plan = lambda bound: storage.join_checked(spark.range(5), many, ["id"], max_bytes=bound)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(1 << 20) and "strategy=broadcast" not in plan(1000)

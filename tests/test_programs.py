@@ -54,3 +54,12 @@ def test_compare(spark, tmp_path):
 def test_relabelling(spark):
     clusters = spark.createDataFrame([("b", "x"), ("a", "y"), ("b", "z")], "label string, member string")
     assert rows(C.relabelled(clusters)) == [("@0", "y"), ("@1", "x"), ("@1", "z")]
+
+
+def test_ties_of_top_clusters_by_place_in_the_file(spark, tmp_path):
+    line = "KMV pair: proc 0, nvalues 2, sizes 9 4679, key @{}, values /{}_1 /{}_1\n"
+    test = put(tmp_path, "tied", "".join(line.format(k, 2 * k, 2 * k + 1) for k in range(11)))
+    base = put(tmp_path, "last", line.format(0, 20, 21))
+    assert programs.compare_files(spark, test, base, floor=2, top=1).first().f_avg == 1
+    found = programs.compare_files(spark, test, test, floor=2, mutual=True).first()
+    assert abs(found.nmi_max - 1) < 1e-9 and abs(found.nmi_lfk - 1) < 1e-9

@@ -192,3 +192,63 @@ def test_config():
     for wrong in ({"k": 13}, {"k": 0}, {"c": 0}, {"hashes": 2, "params": ((1, 1),)}, {"hashes": 1, "params": ((2**31, 1),)}):
         with pytest.raises(ValueError):
             SketchConfig(**wrong)
+
+
+@pytest.mark.parametrize("wrong", ["AB_^[\\CDEFGH", "abcdefghij", "AB12 34?CDEF", "ABCDE\n", "É" * 8])
+def test_both_sketches_refuse_what_is_no_letter(spark, wrong):
+    odd = spark.createDataFrame([("1_1", wrong)], "name string, sequence string")
+    for found in (sketch.shingles(odd, CFG), sketch.shingles_sql(odd, CFG), sketch.kmers(odd, 3)):
+        with pytest.raises(Exception, match="A to Z"):
+            found.collect()
+
+
+def test_growing_sketches_equal_those_from_scratch(sequences, monkeypatch):
+    cfg = SketchConfig(k=3, c=2, hashes=3, difference=2, max_hashes=30, seed=5)
+    asked = []
+    made = search.shingles
+    monkeypatch.setattr(search, "shingles", lambda s, c, first=0: (asked.append((first, c.hashes)), made(s, c, first))[1])
+    growing = search.GrowingSketches(sequences, cfg, 29)
+    for h in (1, 3, 4, 9, 2):
+        assert rows(growing.of(h)) == rows(made(sequences, replace(cfg, hashes=h)))
+    assert asked[0] == (0, 1) and all(a[1] == b[0] for a, b in zip(asked, asked[1:])) and asked[-1][1] <= 12
+
+
+def test_search_reads_stored_graphs(spark, sequences, tmp_path, monkeypatch):
+    cfg = SketchConfig(k=3, c=2, rounds=1, hashes=3, difference=2, max_hashes=6, threshold=1.1, min_cluster_size=2, params=FAMILY * 2)
+    plain = list(search.hash_growth(sequences, cfg))
+    first = list(search.hash_growth(sequences, cfg, store=tmp_path.as_uri()))
+    monkeypatch.setattr(search, "refined_edges", None)  # nothing is built again
+    assert plain == first == list(search.hash_growth(sequences, cfg, store=tmp_path.as_uri())) and len(plain) == 3
+
+
+def test_nmi_of_clusters_that_meet_all_partners_of_a_size(spark):
+    draw = random.Random(3)
+    cover = lambda n: [(str(k), str(m)) for k in range(n) for m in draw.sample(range(14), draw.randint(1, 9))]
+    for _ in range(4):
+        x, y = cover(5), cover(4)
+        got = evaluate.nmi(*(spark.createDataFrame(c, "label string, member string") for c in (x, y)), 14).first()
+
+        def h(*ws):
+            return sum(-w * np.log2(w / 14) if w > 0 else 0.0 for w in ws)
+
+        def given(mine, other):
+            sets = [[{m for k, m in side if k == label} for label in {k for k, _ in side}] for side in (mine, other)]
+            total = 0.0
+            for s in sets[0]:
+                best = []
+                for t in sets[1]:
+                    d, c, b = len(s & t), len(s - t), len(t - s)
+                    a = 14 - d - c - b
+                    joint = h(a, b, c, d) - h(b + d) - h(a + c)
+                    best.append((0.0 if joint < 2.220446049250313e-16 else joint) if h(a, d) >= h(b, c) else h(c + d, a + b))
+                total += min(best)
+            return total
+
+        assert abs(got.h_x_given_y - given(x, y)) < 1e-9 and abs(got.h_y_given_x - given(y, x)) < 1e-9
+
+
+def test_vertices_without_edges(sequences):
+    found = sketch.shingles(sequences, CFG)
+    edges = graph.edges_first_hash(found)
+    assert rows(graph.vertices(found)) == rows(graph.vertex_ids(edges).select("name"))
+    assert rows(graph.difference(edges, edges.filter("first_hash > 0"))) == rows(edges.filter("first_hash = 0").select("src", "dst"))
