@@ -17,7 +17,8 @@ identifiers are those of its words in order.
 Defined cases: a null or empty text is the closing identifier alone. Repeated rows are packed as often as
 they occur, and rows with a null identifier like others. Pieces of one length are alike: which of them gets which
 place depends on the partitions, the number of sequences doesn't. A text of any length is split word by word.
-An empty table packs into nothing. Columns asked for with ``keep`` pass through.
+An empty table packs into nothing. Columns asked for with ``keep`` pass through
+whatever their names are; only one that is named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from pyspark.sql.window import Window
 
 from sketchloom.functions.storage import materialise, shared_dir
 from sketchloom.functions.workers import frugal
+from sketchloom.llm.columns import held, released, schema_with
 
 CAPACITY = 4096
 END_ID = 1
@@ -137,14 +139,11 @@ def _cut(path: str, capacity: int):
     return cut
 
 
-def _types(df: DataFrame) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
-
-
 def pieces(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(*keep, piece, start, length, ids_crc32): every document's identifiers, cut where they exceed ``capacity``."""
-    out = docs.select(*keep, F.col(text).alias("_t"))
-    return out.mapInArrow(frugal(_cut(tokenizer or default_tokenizer(), capacity)), _types(docs.select(*keep)) + "piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(held(keep), F.col(text).alias("_t"))
+    cut = rows.mapInArrow(frugal(_cut(tokenizer or default_tokenizer(), capacity)), schema_with(rows, ["_held"], "piece int, start long, length long, ids_crc32 long"))
+    return cut.select(*released(keep, ["piece", "start", "length", "ids_crc32"]))
 
 
 class _Sums:
@@ -266,14 +265,14 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``found`` (with a column length, 1 to ``capacity``) plus sequence_id and offset."""
     spark = found.sparkSession
     shared_dir(spark)
-    columns = found.columns
-    types = _types(found)
-    ranked = materialise(found.mapInArrow(frugal(_rank(capacity)), types + "part long, local_rank long"), "pieces")
+    rows = found.select(held(found.columns), "length")
+    ranked = materialise(rows.mapInArrow(frugal(_rank(capacity)), schema_with(rows, ["_held", "length"], "part long, local_rank long")), "pieces")
     counts = ranked.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = materialise(counts.withColumn("before", before), "piece-counts")
     # At most ``capacity`` rows, however large the corpus is.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(slots(patterns(histogram, capacity)))
-    placed = ranked.join(counts.drop("n"), ["part", "length"]).select(*columns, (F.col("local_rank") + F.col("before")).alias("rank"))
-    return placed.mapInArrow(frugal(_place(shared)), types + "sequence_id long, offset long")
+    placed = ranked.join(counts.drop("n"), ["part", "length"]).select("_held", "length", (F.col("local_rank") + F.col("before")).alias("rank"))
+    sequenced = placed.mapInArrow(frugal(_place(shared)), schema_with(placed, ["_held", "length"], "sequence_id long, offset long"))
+    return sequenced.select(*released(found.columns, ["sequence_id", "offset"]))

@@ -20,7 +20,7 @@ beyond, a pair of similarity 0.8 / 0.85 / 0.9 shares a block with a probability
 
 Defined cases: a text of any length is one row, its bits are counted in blocks of bounded size. Of rows that tie
 for the smallest identifier of a class, the one of the least text hash stays. Columns besides the named ones
-pass through whatever their names are. A null text is an empty one; both have no shingles and the fingerprint 0. A class of only
+pass through whatever their names are; only one asked for that is named like a result is replaced. A null text is an empty one; both have no shingles and the fingerprint 0. A class of only
 null identifiers has a null component. Repeated rows get equal results. An empty table gives no rows.
 """
 
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions.storage import BROADCAST_BYTES, materialise, table_bytes
 from sketchloom.functions.workers import frugal
+from sketchloom.llm.columns import held, released, schema_with
 from sketchloom.llm.runs import mix
 from sketchloom.operators.components import star_components
 
@@ -100,8 +101,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", size: int
     """The columns ``keep`` and ``fp``, the SimHash as a signed 64-bit number."""
     tokens, hashes = shingle_hashes(F.col(text), size)
     lists = docs.select(*keep, tokens.alias("_w")).select(*keep, hashes.alias("_h"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", fp bigint"
-    return lists.mapInArrow(frugal(_vote), schema)
+    return lists.mapInArrow(frugal(_vote), schema_with(docs, keep, "fp bigint"))
 
 
 def _blocks(positions: list[int], parts: int) -> list[list[int]]:
@@ -180,9 +180,9 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, fp, component_id) per row; the component is the smallest identifier that links reach."""
-    base = docs.select(F.col(doc_id).alias("_id"), *keep, F.col(text).alias("_t"))
-    marked = materialise(fingerprints(base, ["_id", *keep], "_t"), "simhash")
+    """(doc_id, *keep, fp, component_id, class) per row; the component is the smallest identifier that links reach."""
+    base = docs.select(F.col(doc_id).alias("_id"), held(list(keep)), F.col(text).alias("_t"))
+    marked = materialise(fingerprints(base, ["_id", "_held"], "_t"), "simhash")
     distinct = materialise(marked.groupBy("fp").agg(F.min("_id").alias("least")), "simhash-distinct")
     edges = materialise(links(distinct.select("fp")).distinct(), "simhash-links")
     parts = star_components(edges)
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = materialise(classes, "simhash-classes")
     smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     of_fp = classes.select("fp", "label").join(smallest, "label").select("fp", "component_id", F.col("label").alias("class"))
-    return marked.join(materialise(of_fp, "simhash-components"), "fp").withColumnRenamed("_id", doc_id)
+    return marked.join(materialise(of_fp, "simhash-components"), "fp").select(F.col("_id").alias(doc_id), *released(list(keep), ["fp", "component_id", "class"]))
 
 
 def _vote_wide(words: int):
@@ -216,8 +216,7 @@ def wide_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", size
     """The columns ``keep``, ``fp`` (SimHash of the set of shingles, in ``words`` numbers of 64 bits) and ``node``, its hash."""
     tokens, hashes = shingle_hashes(F.col(text), size)
     lists = docs.select(*keep, tokens.alias("_w")).select(*keep, F.array_distinct(hashes).alias("_h"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) + "node bigint, fp array<bigint>"
-    return lists.mapInArrow(frugal(_vote_wide(words)), schema)
+    return lists.mapInArrow(frugal(_vote_wide(words)), schema_with(docs, keep, "node bigint, fp array<bigint>"))
 
 
 def bits_apart(similarity: float, words: int = WORDS) -> int:

@@ -476,6 +476,11 @@ def test_columns_named_like_results(spark):
     lines = linedrain.drop_recurring(table)
     assert lines.columns == ["doc_id", "text", "kept", "x", "n_removed", "_w", "starts", "n_lines", "n_dropped"]
     assert tuple(lines.first()) == (1, text, 7, "q", 5, 2.0, "w", 1, 0)
+    packed = packing.pack(packing.pieces(table.withColumn("part", F.lit("p")).withColumn("offset", F.lit("o")), ["doc_id", "part", "offset", "x"]))
+    assert packed.columns == ["doc_id", "part", "x", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert packed.first()["part"] == "p" and packed.first()["offset"] == 0
+    marked = simhash.near_duplicates(table.withColumn("fp", F.lit("f")).withColumn("_t", F.lit("t")), keep=("fp", "_t", "x"))
+    assert marked.columns == ["doc_id", "_t", "x", "fp", "component_id", "class"] and tuple(marked.first()[:3]) == (1, "t", "q")
     judged = quality.judge(table)
     assert [c for c in judged.columns if not c.startswith(("base", "_q", "kept"))] == ["doc_id", "text", "x", "n_removed", "n_lines", "_w", "starts"]
     assert judged.first()["_w"] == 2.0 and judged.first()["kept"] is False
