@@ -45,7 +45,9 @@ from sketchloom.llm.columns import held, released, schema_with
 CAPACITY = 4096
 END_ID = 1
 #: Bytes of a worker's cache of words, and characters of the longest word that it keeps.
-CACHE_BYTES, CACHED_WORD = 12 << 20, 64
+CACHE_BYTES, CACHED_WORD = 48 << 20, 64
+#: Characters of a text that are split into words at once, or a few more: blocks end at white space, which no word has.
+BLOCK = 1 << 16
 
 
 def default_tokenizer() -> str:
@@ -63,6 +65,7 @@ _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^ \t-\r0-9
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 _PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_SPACE = re.compile("[ \t-\r]")
 _OTHER = re.compile(f"[^\x00-\x7f{_LETTERS}{_MARKS}]")
 
 
@@ -73,6 +76,23 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class _Known(dict):
+    """Identifiers of words, spelt by the vocabulary's model when first asked for; kept within ``n_bytes``."""
+
+    def __init__(self, model, n_bytes: int):
+        super().__init__()
+        self.model, self.left, self.characters = model, n_bytes, _byte_characters()
+
+    def __missing__(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable()  # its bytes are their own characters
+        spelt = word if plain else "".join([self.characters[b] for b in word.encode("utf-8", "replace")])
+        ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        if self.left > 0 and len(word) <= CACHED_WORD:  # frequent words come early
+            self[word] = ids
+            self.left -= 300 + len(word) + len(ids)
+        return ids
+
+
 class WordCache:
     """Identifiers of texts as little-endian unsigned 32-bit bytes, by a cache of words of bounded size.
 
@@ -85,8 +105,8 @@ class WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.left, self.known = Tokenizer.from_file(path), n_bytes, {}
-        self.model, self.characters = self.tokenizer.model, _byte_characters()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known = _Known(self.tokenizer.model, n_bytes)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         stages = [json.loads(x.__getstate__()) if x is not None else None for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
         self.by_word = stages == [_NORMALIZER, _PRE_TOKENIZER] and self.tokenizer.post_processor is None and self.tokenizer.truncation is None and self.tokenizer.padding is None
@@ -98,18 +118,13 @@ class WordCache:
         lowered = lowered.lower()
         if not lowered.isascii() and _OTHER.search(lowered):
             return self.whole(text)
-        out = array("I")
-        for found in _WORDS.finditer(lowered):  # one word at a time: a long text's words are never all held
-            w = found.group()
-            ids = self.known.get(w)
-            if ids is None:
-                spelt = "".join([self.characters[b] for b in w.encode("utf-8", "replace")])
-                ids = array("I", [t.id for t in self.model.tokenize(spelt)])
-                if self.left > 0 and len(w) <= CACHED_WORD:  # frequent words come early
-                    self.known[w] = ids
-                    self.left -= 300 + len(w) + 4 * len(ids)
-            out += ids
-        return out.tobytes()
+        out, at = [], 0
+        while at < len(lowered):  # block by block: a long text's words are never all held
+            space = _SPACE.search(lowered, at + BLOCK)
+            end = space.start() if space else len(lowered)
+            out.append(b"".join(map(self.known.__getitem__, _WORDS.findall(lowered, at, end))))
+            at = end
+        return b"".join(out)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

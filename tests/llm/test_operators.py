@@ -360,6 +360,14 @@ def test_word_cache_equals_the_tokenizer(vocabulary, n_bytes):
         assert cache.encode(text) == np.array(cache.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("block", [1, 7])
+def test_word_cache_splits_long_texts_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(packing, "BLOCK", block)
+    cache = packing.WordCache(packing.default_tokenizer())
+    for text in ["", " ", "\n\n a", "no\tspace\rat\x0ball", "unbroken" * 20, "Don't  'split 's here, 12 é—é " * 9]:
+        assert cache.encode(text) == np.array(cache.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
