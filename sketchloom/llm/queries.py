@@ -5,11 +5,13 @@ Each query applies one operator, with production parameters, to its whole table.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions.storage import scratch_path
-from sketchloom.llm import countmin, langid, linedrain, packing, quality, simhash, suffixdedup, urlfilter, warc, winnow
+from sketchloom.llm import countmin, importance, langid, linedrain, packing, quality, simhash, suffixdedup, urlfilter, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +93,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark texts by their words and pairs of words."""
+    return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -102,12 +109,14 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
+    "op13_importance": op13_importance,
 }
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CRC = ", ".join(str(t) for t in (functools.reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), i) for i in range(256)))
 
 
 def _rule(rule: quality.Rule) -> str:
@@ -184,4 +193,21 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
   FROM d LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(_rule(r) for r in quality.RULES)} AS kept FROM b""",
+    "op13_importance": f"""
+WITH crc AS (SELECT [{_CRC}]::BIGINT[] AS t),
+d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents), i AS (SELECT {_ITEM_WORDS} AS w FROM benchmark),
+df AS (SELECT doc_id, unnest(w) AS f FROM d UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) FROM d),
+tf AS (SELECT unnest(w) AS f FROM i UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) FROM i),
+kinds AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM tf)),
+bytes AS (SELECT f, list_transform(range(0, length(h) // 2), lambda k: ('0x' || h[2 * k + 1:2 * k + 2])::BIGINT) AS y FROM kinds),
+bucket AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, y), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 10000 AS b FROM bytes, crc),
+s AS (SELECT b, count(*) AS s FROM df JOIN bucket USING (f) GROUP BY b), t AS (SELECT b, count(*) AS t FROM tf JOIN bucket USING (f) GROUP BY b),
+total AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS ss, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS tt),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (ss + 10000) / ((s::DOUBLE + 1) * (tt + 10000)))) AS g FROM s LEFT JOIN t USING (b), total),
+w AS (SELECT doc_id, count(*) AS n, floor(sum(g) / count(*))::BIGINT AS weight FROM df JOIN bucket USING (f) JOIN gain USING (b) GROUP BY doc_id),
+sc AS (SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc WHERE words >= 20),
+m AS (SELECT 25 * count(*) // 100 AS most FROM sc WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= most THEN rank END AS rank FROM sc LEFT JOIN r USING (doc_id), m""",
 }
