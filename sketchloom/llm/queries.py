@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions.storage import scratch_path
-from sketchloom.llm import countmin, importance, langid, linedrain, packing, quality, simhash, suffixdedup, urlfilter, warc, winnow
+from sketchloom.llm import countmin, importance, langid, linedrain, packing, quality, simhash, suffixdedup, superminhash, urlfilter, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of each document, by Jaccard similarity of three-word shingles."""
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the documents, drawn towards the benchmark texts by their words and pairs of words."""
     return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -109,6 +114,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
+    "op12_minhash": op12_minhash,
     "op13_importance": op13_importance,
 }
 
@@ -193,6 +199,18 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
   FROM d LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(_rule(r) for r in quality.RULES)} AS kept FROM b""",
+    "op12_minhash": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+prefix AS (SELECT doc_id, n, g FROM (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY often, g) AS r FROM sh JOIN n USING (doc_id) JOIN (SELECT g, count(*) AS often FROM sh GROUP BY g) USING (g)) WHERE r <= n - (85 * n + 99) // 100 + 1),
+cand AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb FROM prefix x JOIN prefix y USING (g) WHERE x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)),
+met AS (SELECT a, b, na, nb, count(*) AS c FROM cand JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b AND y.g = x.g GROUP BY ALL),
+link AS (SELECT a, b FROM met WHERE 100 * c >= 85 * (na + nb - c)), arcs AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM arcs UNION SELECT reach.a, arcs.b FROM reach JOIN arcs ON arcs.a = reach.b),
+least AS (SELECT a AS doc_id, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(component, doc_id), doc_id) AS component_id, coalesce(least(component, doc_id), doc_id) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)""",
     "op13_importance": f"""
 WITH crc AS (SELECT [{_CRC}]::BIGINT[] AS t),
 d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents), i AS (SELECT {_ITEM_WORDS} AS w FROM benchmark),
