@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.functions.hashing import entropy_term
+from sketchloom.functions.storage import materialise
 from sketchloom.operators.clusters import renamed, sizes, with_floor
 
 EPSILON = sys.float_info.epsilon
@@ -67,12 +68,10 @@ def conditional_entropy(a: Column, b: Column, c: Column, d: Column, n: Column) -
     return F.when(h(a) + h(d) >= h(b) + h(c), joint).otherwise(h(c + d) + h(a + b))
 
 
-def _entropies(test: DataFrame, base: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """One-row frames of H(X) and H(X | Y)."""
+def _entropies(xs: DataFrame, ys: DataFrame, met: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """One-row frames of H(X) and H(X | Y) from (x_label, x_size), (y_label, y_size) and their intersections."""
     total = F.lit(float(n))
-    xs, ys = sizes(test).toDF("x_label", "x_size"), sizes(base).toDF("y_label", "y_size")
     own = xs.agg(F.sum(entropy_term(F.col("x_size").cast("double"), total) + entropy_term(total - F.col("x_size"), total)).alias("h"))
-    met = intersections(test, base)
     d = F.col("common").cast("double")
     b, c = F.col("y_size") - d, F.col("x_size") - d
     of_met = met.select("x_label", conditional_entropy(total - b - c - d, b, c, d, total).alias("h"))
@@ -91,9 +90,14 @@ def _entropies(test: DataFrame, base: DataFrame, n: int) -> tuple[DataFrame, Dat
 
 def nmi(test: DataFrame, base: DataFrame, n: int) -> DataFrame:
     """One row (h_x, h_y, h_x_given_y, h_y_given_x, nmi_max, nmi_lfk) for covers of n members; empty sides give nulls."""
-    hx, hxy = _entropies(test, base, n)
-    hy, hyx = _entropies(base, test, n)
+    xs, ys = materialise(sizes(test).toDF("x_label", "x_size"), "sizes"), materialise(sizes(base).toDF("y_label", "y_size"), "sizes")
+    met = materialise(intersections(test, base), "met")  # read six times, from either side
+    turned = {"x_label": "y_label", "x_size": "y_size", "y_label": "x_label", "y_size": "x_size"}
+    hx, hxy = _entropies(xs, ys, met, n)
+    hy, hyx = _entropies(*(t.select(*(F.col(c).alias(turned.get(c, c)) for c in t.columns)) for t in (ys, xs, met)), n)
     row = hx.toDF("h_x").crossJoin(hy.toDF("h_y")).crossJoin(hxy.toDF("h_x_given_y")).crossJoin(hyx.toDF("h_y_given_x"))
-    best = F.try_divide((F.col("h_x") - F.col("h_x_given_y") + F.col("h_y") - F.col("h_y_given_x")) / 2, F.greatest("h_x", "h_y"))
+    # What one side tells of the other is never negative; rounding of sums in another order must not make it so.
+    told = F.greatest(F.col("h_x") - F.col("h_x_given_y"), F.lit(0.0)) + F.greatest(F.col("h_y") - F.col("h_y_given_x"), F.lit(0.0))
+    best = F.when(F.col("h_x").isNotNull() & F.col("h_y").isNotNull(), F.try_divide(told / 2, F.greatest("h_x", "h_y")))
     lfk = 1 - (F.try_divide(F.col("h_x_given_y"), F.col("h_x")) + F.try_divide(F.col("h_y_given_x"), F.col("h_y"))) / 2
     return row.withColumn("nmi_max", best).withColumn("nmi_lfk", lfk)

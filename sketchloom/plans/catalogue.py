@@ -329,7 +329,7 @@ ORACLES: dict[str, str] = {
         "sum(size * best) FILTER (side = 'Y') / sum(size) FILTER (side = 'Y') AS b FROM best)"
     ),
     "nmi": _sql(
-        f"SELECT round(hx, 9) AS h_x, round(hy, 9) AS h_y, round(hxy, 9) AS h_x_given_y, round(hyx, 9) AS h_y_given_x, round((hx - hxy + hy - hyx) / 2 / greatest(hx, hy), 9) AS nmi_max, "
+        f"SELECT round(hx, 9) AS h_x, round(hy, 9) AS h_y, round(hxy, 9) AS h_x_given_y, round(hyx, 9) AS h_y_given_x, round((greatest(hx - hxy, 0) + greatest(hy - hyx, 0)) / 2 / greatest(hx, hy), 9) AS nmi_max, "
         f"round(1 - (hxy / hx + hyx / hy) / 2, 9) AS nmi_lfk FROM (SELECT {_entropy('bs')} AS hx, {_entropy('ts')} AS hy, {_conditional('bs', 'ts')} AS hxy, {_conditional('ts', 'bs')} AS hyx)"
     ),
 } | files.ORACLES
