@@ -12,6 +12,7 @@ import atexit
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ LOCAL_FALLBACK = "file:///tmp/checkpoints/sketchloom"
 #: Bytes of rows up to which a counted table is broadcast.
 BROADCAST_BYTES = 32 << 20
 
-_paths: list[str] = []
+#: The tables made in the innermost scope of this thread or task; scopes of other threads have lists of their own.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when this Python process ends."""
     path = f"{shared_dir(spark)}/sketchloom-{label}-{uuid.uuid4().hex}"
-    _paths.append(path)
+    if (own := _scope.get()) is not None:
+        own.append(path)
     atexit.register(remove, spark, path)
     return path
 
@@ -61,13 +64,14 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Remove the tables made inside when it ends; results must have been written or collected by then."""
-    before = len(_paths)
+    own: list[str] = []
+    token = _scope.set(own)
     try:
         yield
     finally:
-        for path in _paths[before:]:
+        _scope.reset(token)
+        for path in own:
             remove(spark, path)
-        del _paths[before:]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
