@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sketchloom.config import SketchConfig
 from sketchloom.functions.hashing import ALPHABET, universal_hash
@@ -105,10 +106,20 @@ def shingles_sql(sequences: DataFrame, cfg: SketchConfig) -> DataFrame:
     return found.filter(F.size("vals") >= cfg.c)
 
 
+def bottom_of_groups(rows: DataFrame, keys: list[str], value: str, c: int) -> DataFrame:
+    """``rows`` (*keys, value) without all but the c least values of each key, repeats included.
+
+    A rank filter that Spark also applies before it shuffles: no task sends more than c rows of a key, whatever it holds.
+    """
+    order = Window.partitionBy(*keys).orderBy(value)
+    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= c).drop("_r")
+
+
 def merge_sketches(old: DataFrame, new: DataFrame, c: int) -> DataFrame:
     """Sketch rows of both, c least values of their union as multisets: the update of stored sketches."""
-    both = old.unionByName(new).groupBy("name", "hash_idx").agg(F.flatten(F.collect_list("vals")).alias("vals"))
-    return both.select("name", "hash_idx", F.slice(F.array_sort("vals"), 1, c).alias("vals"))
+    each = old.unionByName(new).select("name", "hash_idx", F.explode("vals").alias("h"))
+    least = bottom_of_groups(each, ["name", "hash_idx"], "h", c)
+    return least.groupBy("name", "hash_idx").agg(F.array_sort(F.collect_list("h")).alias("vals"))  # c values at most
 
 
 def display(vals: str = "vals", hash_idx: str = "hash_idx"):
