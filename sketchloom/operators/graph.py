@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sketchloom.config import SketchConfig
+from sketchloom.functions.blocks import blocked, left_of_groups, right_of_groups
 from sketchloom.functions.hashing import universal_hash, vertex_value
+from sketchloom.functions.storage import materialise
 
 KEY = ["hash_idx", "vals"]
+#: Members of a bucket from which it is cut into blocks.
+BUCKET = 1024
 
 
 def shared(shingles: DataFrame) -> DataFrame:
@@ -29,11 +33,17 @@ def bucket_sizes(shingles: DataFrame) -> DataFrame:
     return shingles.groupBy(*KEY).agg(F.count_distinct("name").alias("members"))
 
 
-def edges_first_hash(shingles: DataFrame) -> DataFrame:
-    """(src, dst, first_hash) with src < dst: pairs that share a shingle."""
-    a = shared(shingles).select(*KEY, F.col("name").alias("src")).distinct()
-    b = a.withColumnRenamed("src", "dst")
-    return a.join(b, KEY).filter("src < dst").groupBy("src", "dst").agg(F.min("hash_idx").alias("first_hash"))
+def edges_first_hash(shingles: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(src, dst, first_hash) with src < dst: pairs that share a shingle.
+
+    A bucket of more than ``bucket`` members is cut into blocks, and pairs of blocks are joined as keys of their own, so
+    that a bucket with most of all members is many even tasks. The result is the same for any ``bucket``.
+    """
+    members = materialise(shared(shingles).select(*KEY, "name").distinct(), "members")
+    dealt = blocked(members, KEY, F.xxhash64("name"), bucket)
+    a, b = left_of_groups(dealt).withColumnRenamed("name", "a"), right_of_groups(dealt).withColumnRenamed("name", "b")
+    met = a.join(b, [*KEY, "_i", "_j"]).filter("_i < _j or a < b")
+    return met.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.min("hash_idx").alias("first_hash"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -119,8 +129,6 @@ def difference(edges: DataFrame, without: DataFrame) -> DataFrame:
 
 def dense_numbers(df: DataFrame, by: str, number: str) -> DataFrame:
     """``df`` (distinct ``by``) with 0-based numbers in the order of ``by``: a range partitioning, then local ranks."""
-    from sketchloom.functions.storage import materialise
-
     dealt = materialise(df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()), "numbers")
     counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
