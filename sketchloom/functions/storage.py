@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
@@ -81,6 +81,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As ``materialise``, with the number of rows, which is observed while they are written."""
+    seen = Observation()
+    return materialise(df.observe(seen, F.count(F.lit(1)).alias("n")), label), seen.get["n"]
+
+
 def value_bytes(value: Column, kind: DataType) -> Column:
     """About how many bytes a value takes in memory."""
     if isinstance(kind, (StringType, BinaryType)):

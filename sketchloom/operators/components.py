@@ -11,15 +11,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sketchloom.functions.storage import materialise
+from sketchloom.functions.storage import counted, materialise
 from sketchloom.functions.workers import frugal
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2_147_483_647)))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges (u, v), written, and their number and a sum of their hashes, observed on the way."""
+    seen = Observation()
+    found = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2_147_483_647))).alias("s")), "stars")
+    return found, (seen.get["n"], seen.get["s"])
 
 
 def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -30,8 +33,7 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     # Each edge is held once, from its larger node u to its smaller node v.
-    state = materialise(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    before = _fingerprint(state)
+    state, before = _written(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         if not before[0]:
             break
@@ -42,8 +44,7 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         joined = larger.join(least, "u")
         smaller = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        state = materialise(smaller, "stars")
-        after = _fingerprint(state)
+        state, after = _written(smaller)
         if after == before:
             break
         before = after
@@ -59,9 +60,10 @@ def propagated_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     labels = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "propagate")
     for _ in range(max_rounds):
         heard = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("heard"))
-        moved = materialise(labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("moved")), "propagate")
-        labels = moved.select("node", "label")
-        if moved.filter("moved").isEmpty():
+        seen = Observation()
+        next_ = labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("moved"))
+        labels = materialise(next_.observe(seen, F.count_if("moved").alias("n")).select("node", "label"), "propagate")
+        if not seen.get["n"]:
             return labels
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
@@ -109,17 +111,21 @@ def _forests(nodes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def union_find_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_edges: int | None = None, nodes: int = 100_000) -> DataFrame:
-    """(node, label): union-find inside partitions, again over merged partitions while that helps, then stars.
+    """(node, label): union-find inside partitions, again over merged partitions while that helps; stars finish what is left.
 
-    Each task keeps a forest of what it reads, some ``nodes`` edges at a time. ``max_edges``, if given, refuses larger graphs.
+    Each task keeps a forest of what it reads, some ``nodes`` edges at a time. Where no more than ``nodes`` edges are left, one
+    task's forest has all labels. ``max_edges``, if given, refuses larger graphs.
     """
     pairs = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src is not null and dst is not null")
     if max_edges is not None and pairs.distinct().limit(max_edges + 1).count() > max_edges:
         raise ValueError(f"more than {max_edges} edges: use star_components")
     reduced = frugal(_forests(nodes))
-    forest = materialise(pairs.mapInArrow(reduced, pairs.schema), "forests")
-    before, left = None, forest.count()
+    forest, left = counted(pairs.mapInArrow(reduced, pairs.schema), "forests")
+    before = None
     while left > nodes and (before is None or left < 0.9 * before):
-        forest = materialise(forest.repartition(-(-left // nodes)).mapInArrow(reduced, pairs.schema), "forests")
-        before, left = left, forest.count()
-    return star_components(forest)
+        before = left
+        forest, left = counted(forest.repartition(-(-left // nodes)).mapInArrow(reduced, pairs.schema), "forests")
+    if left > nodes:
+        return star_components(forest)
+    stars = materialise(forest.repartition(1).mapInArrow(frugal(_forests(nodes + 1)), pairs.schema), "forests")
+    return stars.select(F.col("src").alias("node"), F.col("dst").alias("label")).unionByName(stars.select(F.col("dst").alias("node"), F.col("dst").alias("label"))).distinct()

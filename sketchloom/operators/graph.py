@@ -8,7 +8,7 @@ c + 1 rows per function, and rank filters let Spark drop the rest before it shuf
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,8 +64,10 @@ def star_edges(shingles: DataFrame) -> DataFrame:
     return shingles.join(busy, KEY).filter("name <> dst").select(F.col("name").alias("src"), "dst").distinct()
 
 
-def _hashed(cfg: SketchConfig):
-    return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(cfg.family))))
+def hashed_by(cfg: SketchConfig, first: int = 0, end: int | None = None) -> Column:
+    """A row (i, a, b) for each function of the family from ``first`` to before ``end``."""
+    family = list(enumerate(cfg.family))[first:end]
+    return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in family)))
 
 
 def _bottom_per_vertex(candidates: DataFrame, c: int) -> DataFrame:
@@ -79,7 +81,7 @@ def _bottom_per_vertex(candidates: DataFrame, c: int) -> DataFrame:
 def neighbour_shingles(edges: DataFrame, cfg: SketchConfig) -> DataFrame:
     """Sketches of each vertex's neighbour set, from the edges themselves."""
     arcs = both_ways(edges).select(F.col("src").alias("name"), F.col("dst").alias("member"), vertex_value(F.col("dst")).alias("v"))
-    hashed = arcs.select("name", "member", "v", _hashed(cfg).alias("f"))
+    hashed = arcs.select("name", "member", "v", hashed_by(cfg).alias("f"))
     hashed = hashed.select("name", "member", F.col("f.i").alias("hash_idx"), universal_hash(F.col("v"), F.col("f.a"), F.col("f.b")).alias("h"))
     return _bottom_per_vertex(hashed, cfg.c)
 
@@ -87,7 +89,7 @@ def neighbour_shingles(edges: DataFrame, cfg: SketchConfig) -> DataFrame:
 def neighbour_shingles_of_buckets(shingles: DataFrame, cfg: SketchConfig) -> DataFrame:
     """As ``neighbour_shingles(level1_edges(shingles))``, without the edges."""
     members = shared(shingles).select(F.struct(*KEY).alias("bucket"), F.col("name").alias("member")).distinct()
-    hashed = members.select("bucket", "member", vertex_value(F.col("member")).alias("v"), _hashed(cfg).alias("f"))
+    hashed = members.select("bucket", "member", vertex_value(F.col("member")).alias("v"), hashed_by(cfg).alias("f"))
     hashed = hashed.select("bucket", "member", F.col("f.i").alias("hash_idx"), universal_hash(F.col("v"), F.col("f.a"), F.col("f.b")).alias("h"))
     order = Window.partitionBy("bucket", "hash_idx").orderBy("h", "member")
     least = hashed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= cfg.c + 1).drop("_r")
