@@ -23,16 +23,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.functions.blocks import blocked
+from sketchloom.functions.blocks import blocked, met_in_groups
 from sketchloom.functions.storage import join_checked, materialise
 from sketchloom.functions.workers import frugal
 from sketchloom.llm.runs import RADIX, mix
 from sketchloom.operators.components import star_components, union_find_components
 
+#: Nodes of a bucket from which it is cut into blocks.
+BUCKET = 1024
 #: Shingles that one group of compared sets holds, about.
 WEIGHT = 1 << 18
 
 
+def bucket_links(keyed: DataFrame, payload: DataFrame, link, bucket: int = BUCKET) -> DataFrame:
+    """(src, dst) from the Arrow function ``link`` over lists ``members`` of nodes that share a key, whatever ``bucket`` is.
+
+    ``keyed`` (k, v, node): the keys of each node, k naming their kind; ``payload``: node and what ``link`` compares.
+    """
+    busy = materialise(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("k", "v"), "busy-keys")
+    rows = materialise(join_checked(keyed, busy, ["k", "v"], "left_semi"), "busy-rows")
+    groups = met_in_groups(blocked(rows, ["k", "v"], F.xxhash64("node", "k"), bucket)).join(payload, "node")
+    lists = groups.groupBy("k", "v", "_i", "_j").agg(F.collect_list(F.struct(*payload.columns)).alias("members"))
+    return materialise(lists.select("members").mapInArrow(frugal(link), "src long, dst long").distinct(), "candidate-links")
+
+
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles of ``size`` words; A-Z are lower-cased first."""
     words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
@@ -126,6 +140,8 @@ def _forest(size: int, percent: int):
                 node, role, settled = rows.field("node").to_numpy(), rows.field("role").to_numpy(), rows.field("settled").to_numpy(zero_copy_only=False)
                 texts = rows.field("_t").to_pylist()
                 everyone, probes = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+                if not len(everyone) or not len(probes):
+                    continue  # hashing may leave a block empty
                 sets = shingle_sets([texts[k] for k in everyone], size)
                 place = {int(node[k]): n for n, k in enumerate(everyone)}
                 known = np.where(settled[everyone], 0, 1 + np.arange(len(everyone)))  # what the component's name has linked is one group

@@ -14,9 +14,11 @@ search emits a spanning forest of the links, so rows stay linear in the bucket's
 components of all forests.
 
 Three of 64 bits find copies and all but copies. ``similar_representatives`` reaches for a Jaccard similarity of
-0.8: its fingerprints have 512 bits in 32 blocks, pairs that share one block are compared, and the bound on
-differing bits is what that similarity gives on average, 77. By pigeonhole all pairs within 31 bits are met;
-beyond, a pair of similarity 0.8 / 0.85 / 0.9 shares a block with a probability of 0.91 / 0.97 / 0.998.
+0.8: its fingerprints have 512 bits in 39 blocks of 13, pairs that share one block are compared, and those within 96 bits,
+which 99 of 100 pairs of that similarity are, become candidates; their sets decide. By pigeonhole all pairs within 38
+bits are met; a pair that differs in 77 bits, the average of similarity 0.8, shares a block with a probability of 0.99,
+one of 88 bits with 0.97. A bucket holds about one in 8,192 different texts besides the alike ones, so beyond some ten
+million texts comparisons grow with the square of their number; tasks stay even, and wider blocks trade recall for it.
 
 Defined cases: a text of any length is one row, its bits are counted in blocks of bounded size. Of rows that tie
 for the smallest identifier of a class, the one of the least text hash stays. Columns besides the named ones
@@ -39,6 +41,7 @@ from sketchloom.functions.storage import BROADCAST_BYTES, materialise, table_byt
 from sketchloom.functions.workers import frugal
 from sketchloom.llm.columns import held, released, schema_with
 from sketchloom.llm.runs import mix
+from sketchloom.llm.setlinks import bucket_links, components_of, set_names, shingle_sets
 from sketchloom.operators.components import star_components
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -46,7 +49,7 @@ BITS = 64
 MAX_DIFFERENCE = 3
 BUCKET = 1024
 #: Of wide fingerprints: words in a shingle, numbers of 64 bits, and bits of a block.
-SHINGLE, WORDS, BLOCK_BITS = 5, 8, 16
+SHINGLE, WORDS, KEY_BITS = 5, 8, 13
 
 
 def shingle_hashes(text: Column, size: int = 3) -> tuple[Column, Column]:
@@ -193,47 +196,51 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(materialise(of_fp, "simhash-components"), "fp").select(F.col("_id").alias(doc_id), *released(list(keep), ["fp", "component_id", "class"]))
 
 
-def _vote_wide(words: int):
+def _vote_wide(size: int, words: int, key_bits: int):
     salts = mix(np.arange(1, words + 1, dtype=np.uint64))
+    n_keys = BITS * words // key_bits
+    place = 1 << np.arange(key_bits, dtype=np.int32)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("_h")
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).view(np.uint64)
-            fp = np.stack([majority_bits(offsets, mix(values ^ salt)) for salt in salts], axis=1)
-            node = np.zeros(len(fp), np.uint64)
-            for k in range(words):
-                node = mix(node ^ fp[:, k] ^ salts[k])
-            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * words), pa.array(fp.ravel().view(np.int64)))
-            kept = [c for c in batch.schema.names if c != "_h"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(node.view(np.int64)), fps], names=[*kept, "node", "fp"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = shingle_sets(batch.column("_t").to_pylist(), size)
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                values = np.concatenate(sets)
+                fp = np.stack([majority_bits(offsets, mix(values ^ salt)) for salt in salts], axis=1)
+                bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, : n_keys * key_bits]
+                keys = (bits.reshape(len(sets), n_keys, key_bits) * place).sum(axis=2, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n_keys), pa.array(keys.ravel()))
+                kept = [c for c in batch.schema.names if c != "_t"]
+                sizes, prints = pa.array(np.diff(offsets)), pa.array([row.tobytes() for row in fp], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sizes, pa.array(set_names(sets)), prints, lists], names=[*kept, "n", "node", "fp", "keys"])
 
     return vote
 
 
-def wide_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", size: int = SHINGLE, words: int = WORDS) -> DataFrame:
-    """The columns ``keep``, ``fp`` (SimHash of the set of shingles, in ``words`` numbers of 64 bits) and ``node``, its hash."""
-    tokens, hashes = shingle_hashes(F.col(text), size)
-    lists = docs.select(*keep, tokens.alias("_w")).select(*keep, F.array_distinct(hashes).alias("_h"))
-    return lists.mapInArrow(frugal(_vote_wide(words)), schema_with(docs, keep, "node bigint, fp array<bigint>"))
+def wide_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", size: int = SHINGLE, words: int = WORDS, key_bits: int = KEY_BITS) -> DataFrame:
+    """The columns ``keep``, ``n`` and ``node`` (size and name of the set of shingles), ``fp`` (its SimHash of 64 * ``words`` bits) and ``keys`` (the blocks of that)."""
+    plain = docs.select(*keep, F.col(text).alias("_t"))
+    return plain.mapInArrow(frugal(_vote_wide(size, words, key_bits)), schema_with(docs, keep, "n bigint, node bigint, fp binary, keys array<int>"))
 
 
-def bits_apart(similarity: float, words: int = WORDS) -> int:
-    """How many bits differ, on average, between fingerprints of two sets of equal size and that Jaccard similarity."""
-    return int(BITS * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def bits_within(similarity: float, words: int = WORDS, sigmas: float = 2.33) -> int:
+    """How many bits differ between fingerprints of sets of equal size and that Jaccard similarity, at most, in 99 of 100 pairs."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(BITS * words * p + sigmas * (BITS * words * p * (1 - p)) ** 0.5)
 
 
 def _link_wide(words: int, most: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, src, dst = batch.column("members"), [], []
-            offsets, members = lists.offsets.to_numpy(), lists.values
-            nodes = members.field("node").to_numpy(zero_copy_only=False)
-            fps = members.field("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
-            for a, b in zip(offsets[:-1], offsets[1:]):
-                own, left = fps[a:b], np.arange(b - a)
-                if b - a <= 64:  # most buckets hold nothing alike: one look at all of it
+            src, dst = [], []
+            for members in batch.column("members"):
+                rows = members.values
+                nodes = rows.field("node").to_numpy()
+                own = np.frombuffer(b"".join(rows.field("fp").to_pylist()), np.uint64).reshape(-1, words)
+                left = np.arange(len(own))
+                if len(own) <= 64:  # most buckets hold nothing alike: one look at all of it
                     near = np.bitwise_count(own[:, None] ^ own[None]).sum(axis=2, dtype=np.int64) <= most
                     left = np.flatnonzero(near.sum(axis=1) > 1)
                 while len(left):
@@ -242,65 +249,36 @@ def _link_wide(words: int, most: int):
                         at = queue.pop()
                         near = np.bitwise_count(own[left] ^ own[at]).sum(axis=1, dtype=np.int64) <= most
                         found, left = left[near], left[~near]
-                        src += [nodes[a + at]] * len(found)
-                        dst += nodes[a + found].tolist()
+                        src += [nodes[at]] * len(found)
+                        dst += nodes[found].tolist()
                         queue += found.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     return link
 
 
-def wide_links(distinct: DataFrame, most: int, words: int = WORDS, block: int = BLOCK_BITS, bucket: int = BUCKET) -> DataFrame:
-    """(src, dst): links between nodes of ``distinct`` (node, fp) that share a block and differ in ``most`` bits at most.
+def wide_links(nodes: DataFrame, most: int, words: int = WORDS, bucket: int = BUCKET) -> DataFrame:
+    """(src, dst): links that join all nodes of ``nodes`` (node, fp, keys) that share a block and differ in ``most`` bits at most.
 
-    Buckets of one block with more than ``bucket`` nodes are not compared pair by pair. All of their nodes are
-    compared with a leader, the node of the least salted hash; those within half of ``most`` bits of it are linked
-    and done with in that bucket, the others are keyed anew by that block and each other one. Where such a bucket
-    is too large still, leaders are chosen again until it isn't.
+    Buckets of more than ``bucket`` nodes are cut, and all pairs of their parts are compared, each by itself: the components are the
+    same for any ``bucket``, in one round. A node is sent once per block, times the parts of its bucket.
     """
-    per = BITS // block
-    parts = [F.shiftrightunsigned(F.get("fp", i // per), block * (i % per)).bitwiseAND(F.lit((1 << block) - 1)) for i in range(words * per)]
-    keyed = distinct.select("node", "fp", F.posexplode(F.array(*parts)).alias("b", "v")).select("node", "fp", F.col("b").cast("long").alias("b"), F.col("v").alias("v"))
-    key, out, level = ["b", "v"], [], 0
-    link = frugal(_link_wide(words, most))
-    apart = F.aggregate(F.zip_with("fp", "lead_fp", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    while True:
-        hot = materialise(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select(*key), "hot-blocks")
-        none = hot.isEmpty()
-        ready = keyed if none else keyed.join(hot, key, "left_anti")
-        lists = ready.groupBy(*key).agg(F.collect_list(F.struct("node", "fp")).alias("members")).filter(F.size("members") > 1)
-        out.append(materialise(lists.select("members").mapInArrow(link, "src bigint, dst bigint").distinct(), "wide-links"))
-        if none:
-            break
-        inside = materialise(keyed.join(hot, key, "left_semi"), "hot-rows")
-        order = F.struct(F.xxhash64("node", F.lit(level)).alias("o"), F.col("node").alias("lead"), F.col("fp").alias("lead_fp"))
-        leaders = materialise(inside.groupBy(*key).agg(F.min(order).alias("l")).select(*key, "l.lead", "l.lead_fp"), "hot-leaders")
-        met = materialise(inside.join(leaders, key).filter("node <> lead").withColumn("apart", apart), "hot-distances")
-        out.append(met.filter(F.col("apart") <= most).select(F.col("node").alias("src"), F.col("lead").alias("dst")).distinct())
-        rest = met.filter(F.col("apart") > most // 2).select("node", "fp", *key)
-        if level == 0:
-            n = words * per
-            rest = rest.select("node", "fp", "b", "v", F.posexplode(F.array(*parts)).alias("c", "u")).filter("c <> b")
-            low, high = F.least("b", F.col("c").cast("long")), F.greatest("b", F.col("c").cast("long"))
-            both = F.when(F.col("c") > F.col("b"), F.shiftleft("v", block).bitwiseOR(F.col("u"))).otherwise(F.shiftleft("u", block).bitwiseOR(F.col("v")))
-            rest = rest.select("node", "fp", (low * n + high + n).alias("b"), both.alias("v")).distinct()
-        keyed, level = materialise(rest, "hot-rest"), level + 1
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
-
-
-def similar_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = 0.8, words: int = WORDS, block: int = BLOCK_BITS) -> DataFrame:
-    """``docs`` with one row of each class of texts whose shingle sets are alike: of the smallest identifier (null last), then of the least text hash.
-
-    Texts are alike if their wide fingerprints differ in no more bits than sets of Jaccard ``similarity`` do on average.
+    return bucket_links(nodes.select("node", F.posexplode("keys").alias("k", "v")), nodes.select("node", "fp"), _link_wide(words, most), bucket)
+
+
+def similar_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 80, words: int = WORDS, key_bits: int = KEY_BITS, bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with one row of each class of texts alike in their shingles: of the smallest identifier (null last), then of the least text hash.
+
+    Texts are alike if their sets of shingles, A-Z lower-cased, have a Jaccard similarity of ``percent`` or more, or are equal; pairs to look at
+    come from wide fingerprints. A text of fewer words than a shingle is one shingle; texts without words are equal.
     """
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_t"), F.xxhash64(text).alias("_x"))
-    marked = materialise(wide_fingerprints(held, ["_id", "_x"], "_t", size, words), "wide-simhash")
-    distinct = materialise(marked.groupBy("node").agg(F.first("fp").alias("fp")), "wide-distinct")
-    edges = materialise(wide_links(distinct, bits_apart(similarity, words), words, block).distinct(), "wide-edges")
-    parts = star_components(edges).withColumnsRenamed({"node": "_n", "label": "class"})
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_t"), F.xxhash64(text).alias("_x"), F.coalesce(F.length(text), F.lit(0)).alias("_l"))
+    marked = materialise(wide_fingerprints(held, ["_id", "_x", "_l"], "_t", size, words, key_bits), "wide-simhash")
+    nodes = marked.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct(F.col("_x").alias("x"), F.col("_l").alias("x_len"))).alias("p"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = materialise(nodes.select("node", "n", "p.x", "p.x_len", "fp", "keys"), "wide-distinct")
+    candidates = wide_links(nodes, bits_within(percent / 100, words), words, bucket)
+    texts = held.select(F.col("_x").alias("x"), F.col("_l").alias("x_len"), "_t")
+    parts = components_of(candidates, nodes.select("node", "n", "x", "x_len"), texts, size, percent).withColumnsRenamed({"node": "_n", "label": "class"})
     rows = marked.select("_id", "_x", "node").join(parts, F.col("node") == F.col("_n"), "left").select("_id", "_x", F.coalesce("class", "node").alias("class"))
     return _one_each(held, materialise(rows, "wide-rows")).select("_row.*")
 

@@ -27,16 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.functions.blocks import blocked, met_in_groups
-from sketchloom.functions.storage import join_checked, materialise
+from sketchloom.functions.storage import materialise
 from sketchloom.functions.workers import frugal
 from sketchloom.llm.columns import held, released, schema_with
 from sketchloom.llm.runs import RADIX, mix
-from sketchloom.llm.setlinks import components_of, set_names, shingle_sets
+from sketchloom.llm.setlinks import BUCKET, bucket_links, components_of, set_names, shingle_sets
 
 SIZE, PERCENT = 3, 85
 BANDS, ROWS = 42, 6
-BUCKET = 1024
 #: Shingles that are signed at once.
 PART = 1 << 16
 UNSEEN = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -138,18 +136,6 @@ def _candidates(m: int, least: int):
     return link
 
 
-def bucket_links(keyed: DataFrame, payload: DataFrame, link, bucket: int = BUCKET) -> DataFrame:
-    """(src, dst) from the Arrow function ``link`` over lists ``members`` of nodes that share a key, whatever ``bucket`` is.
-
-    ``keyed`` (k, v, node): the keys of each node, k naming their kind; ``payload``: node and what ``link`` compares.
-    """
-    busy = materialise(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("k", "v"), "busy-keys")
-    rows = materialise(join_checked(keyed, busy, ["k", "v"], "left_semi"), "busy-rows")
-    groups = met_in_groups(blocked(rows, ["k", "v"], F.xxhash64("node", "k"), bucket)).join(payload, "node")
-    lists = groups.groupBy("k", "v", "_i", "_j").agg(F.collect_list(F.struct(*payload.columns)).alias("members"))
-    return materialise(lists.select("members").mapInArrow(frugal(link), "src long, dst long").distinct(), "candidate-links")
-
-
 def near_duplicates(
     docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET
 ) -> DataFrame:

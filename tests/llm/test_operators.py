@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sketchloom.llm import countmin, induced, langid, linedrain, packing, quality, runs, simhash, suffixdedup, urlfilter, warc, winnow
+from sketchloom.functions import storage
+from sketchloom.llm import countmin, induced, langid, linedrain, packing, quality, runs, setlinks, simhash, suffixdedup, urlfilter, warc, winnow
 from tests.llm.conftest import corpus
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -99,35 +100,31 @@ def test_simhash_without_identifiers(spark):
     assert rows(found.select("doc_id", "component_id")) == [(4, 4), (None, None), (None, None)]
 
 
-def wide(text):
+def shingle_set(text, size):
     words = ASCII_WORDS.findall((text or "").translate(LOWER))
-    shingles = {" ".join(words[a : a + 5]) for a in range(max(1, len(words) - 4))} if words else set()
-    hashes = np.array([xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles], np.uint64)
-    salts = runs.mix(np.arange(1, 9, dtype=np.uint64))
-    return tuple(sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in runs.mix(hashes ^ salt)) > len(hashes)) for salt in salts)
+    return {" ".join(words[a : a + size]) for a in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def alike(a, b):
-    differing = [x ^ y for x, y in zip(a, b)]
-    return sum(x.bit_count() for x in differing) <= 77 and any((x >> s & 0xFFFF) == 0 for x in differing for s in (0, 16, 32, 48))
-
-
-def kept_of_similar(docs):
-    """Identifiers that come first in their class."""
-    prints = {i: wide(t) for i, t in docs}
-    parent = {i: i for i in prints}
+def components_of_sets(docs, size, percent, empty_alike):
+    """The smallest identifier that links reach, per identifier."""
+    sets = {i: shingle_set(t, size) for i, t in docs}
+    parent = {i: i for i in sets}
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    order = sorted(prints)
-    for a in order:
-        for b in order:
-            if a < b and root(a) != root(b) and alike(prints[a], prints[b]):
-                parent[max(root(a), root(b))] = min(root(a), root(b))
-    return {i for i in order if root(i) == i}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if (100 * len(x & y) >= percent * len(x | y)) if x or y else empty_alike:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in sets}
+
+
+def kept_of_similar(docs):
+    """Identifiers that come first in their class."""
+    return {i for i, first in components_of_sets(docs, 5, 80, True).items() if i == first}
 
 
 def test_similar_representatives(documents, no_documents):
@@ -154,27 +151,38 @@ def test_similarity_of_0_8_is_reached(spark):
     assert all(2 * k in left for k in range(150)) and near >= 0.95 * 75 and apart == 75
 
 
-@pytest.mark.parametrize("bucket", [4, 1000])
-def test_wide_links_of_large_buckets(spark, bucket):
-    draw = random.Random(9)
-    values = []
-    for _ in range(3):
-        centre = [draw.getrandbits(64) for _ in range(8)]
-        values += [tuple(c ^ sum(1 << draw.randrange(64) for _ in range(draw.randint(0, 3))) & (2**64 - 1) for c in centre) for _ in range(60)]
-    values = sorted(set(values))
-    signed = [(i, [v - 2**64 if v >> 63 else v for v in fp]) for i, fp in enumerate(values)]
-    links = simhash.wide_links(spark.createDataFrame(signed, "node long, fp array<long>"), 77, bucket=bucket).collect()
-    assert all(sum((x ^ y).bit_count() for x, y in zip(values[a], values[b])) <= 77 for a, b in links)
-    parent = list(range(len(values)))
+def crowded_prints(draw):
+    """Fingerprints of 512 bits that all share their first block: far apart from each other but for 30 pairs of 60 to 77 bits."""
+    first = draw.getrandbits(13)
+    one = lambda: draw.getrandbits(512) >> 13 << 13 | first
+    out = [one() for _ in range(90)]
+    for k in range(30):
+        a = one()
+        out += [a, a ^ sum(1 << b for b in draw.sample(range(13, 512), 60 + k % 18))]
+    return out
+
 
-    def root(v):
-        while parent[v] != v:
-            v = parent[v]
-        return v
+@pytest.mark.parametrize("bucket", [4, 16, 1000])
+def test_wide_links_whatever_the_bucket(spark, bucket):
+    prints = crowded_prints(random.Random(9))
+    nodes = [(i, v.to_bytes(64, "little"), [v >> 13 * k & 0x1FFF for k in range(39)]) for i, v in enumerate(prints)]
+    links = simhash.wide_links(spark.createDataFrame(nodes, "node long, fp binary, keys array<int>"), 77, bucket=bucket).collect()
+    expected = {(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 77}
+    assert {tuple(sorted(x)) for x in links} == expected and len(expected) == 30
 
-    for a, b in links:
-        parent[max(root(a), root(b))] = min(root(a), root(b))
-    assert len({root(i) for i in range(len(values))}) == 3
+
+def test_wide_links_take_one_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(setlinks, "materialise", lambda df, label: made.append(label) or storage.materialise(df, label))
+    nodes = [(i, v.to_bytes(64, "little"), [v >> 13 * k & 0x1FFF for k in range(39)]) for i, v in enumerate(crowded_prints(random.Random(3)))]
+    simhash.wide_links(spark.createDataFrame(nodes, "node long, fp binary, keys array<int>"), 77, bucket=4)
+    assert made == ["busy-keys", "busy-rows", "candidate-links"]
+
+
+def test_fingerprint_blocks_cover_bits_once(spark):
+    found = simhash.wide_fingerprints(spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string"), ["doc_id"]).first()
+    value = int.from_bytes(found["fp"], "little")
+    assert found["keys"] == [value >> 13 * k & 0x1FFF for k in range(39)] and found["n"] == 4
 
 
 # 3 ------------------------------------------------------------------------------------------------
