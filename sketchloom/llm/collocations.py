@@ -80,13 +80,37 @@ def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[by
     yield from held.items()
 
 
-_GUARD_HASH = np.uint64(xxhash.xxh3_64_intdigest(GUARD))
+class _Vocabulary(dict):
+    """Numbers of the words that a task has met, the guard being 0, and their hashes."""
 
+    MOST = 1 << 19
 
-def _hashed(lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each token, salted with the language, and which tokens are guards."""
-    plain = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return mix(plain ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))), plain == _GUARD_HASH
+    def __init__(self):
+        super().__init__()
+        self.words, self.hashes, self.n_hashed = [], np.zeros(1 << 12, np.uint64), 0
+        self[GUARD]
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        return n
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        new = self.words[self.n_hashed :]
+        if new:
+            if len(self.words) > len(self.hashes):
+                self.hashes = np.resize(self.hashes, 2 * len(self.words))
+            self.hashes[self.n_hashed : len(self.words)] = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+            self.n_hashed = len(self.words)
+        return out
+
+    def full(self) -> bool:
+        return len(self.words) > self.MOST
+
+    def hashed(self, lang: str, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each token, salted with the language, and which tokens are guards."""
+        return mix(self.hashes[numbers] ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))), numbers == 0
 
 
 def _grams(values: np.ndarray, guards: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -117,50 +141,64 @@ _PARTS = pa.schema([("slice", pa.int32()), ("at", pa.binary()), ("times", pa.bin
 _PARTS_DDL = "slice int, at binary, times binary, lang string, phrase string, n long"
 
 
-def _phrases(lang: str, phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
-    none = [None] * len(phrases)
-    return pa.RecordBatch.from_pydict({"slice": none, "at": none, "times": none, "lang": [lang] * len(phrases), "phrase": [p.decode("utf-8", "surrogatepass") for p in phrases], "n": counts}, schema=_PARTS)
+def _phrases(lang: str, phrases: list[bytes] | pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    n = len(phrases)
+    text = phrases if isinstance(phrases, pa.Array) else pa.array(phrases, pa.binary()).cast(pa.string(), safe=False)
+    blank = [pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.binary())]
+    return pa.RecordBatch.from_arrays([*blank, pa.repeat(pa.scalar(lang, pa.string()), n), text, pa.array(counts, pa.int64())], schema=_PARTS)
 
 
 def _sketched(grams: list[np.ndarray], slots: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slot counts of some grams, in slices; counts above ``most`` say no more than it."""
-    for row, own in enumerate(_slots(np.concatenate(grams), slots)):
-        found, times = np.unique(own.astype(np.int64), return_counts=True)
+    kinds, often = np.unique(np.concatenate(grams), return_counts=True)
+    for row, own in enumerate(_slots(kinds, slots)):
+        if row:  # the first row's slots are in order already
+            order = np.argsort(own)
+            own, often = own[order], often[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        found, times = own[first].astype(np.int64), np.add.reduceat(often, first)
         edges = np.searchsorted(found, np.arange(SLICES + 1) * (slots // SLICES))
         for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
             if a < b:
-                often = zlib.compress(np.minimum(times[a:b], most).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+                counts = zlib.compress(np.minimum(times[a:b], most).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
                 blank = {"lang": [None], "phrase": [None], "n": [None]}
-                yield pa.RecordBatch.from_pydict({"slice": [row * SLICES + s], "at": [_squeeze(found[a:b] - s * (slots // SLICES))], "times": [often]} | blank, schema=_PARTS)
+                yield pa.RecordBatch.from_pydict({"slice": [row * SLICES + s], "at": [_squeeze(found[a:b] - s * (slots // SLICES))], "times": [counts]} | blank, schema=_PARTS)
 
 
 def _first(slots: int, least: int):
     """Counts of words, and the sketch of pairs."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, collections.Counter] = collections.defaultdict(collections.Counter)
-        grams, size = [], 0
+        counts: dict[str, np.ndarray] = {}
+        known, grams, size = _Vocabulary(), [], 0
         for lang, words in _stretched(batches):
-            counts[lang].update(words)
-            for _, gram, whole in _grams(*_hashed(lang, words), 2):
+            numbers = known.numbers(words)
+            own = np.bincount(numbers, minlength=len(known.words))
+            before = counts.get(lang)
+            if before is not None:
+                own[: len(before)] += before
+            counts[lang] = own
+            for _, gram, whole in _grams(*known.hashed(lang, numbers), 2):
                 grams.append(gram[whole])
                 size += len(grams[-1])
             if size >= HELD:
                 yield from _sketched(grams, slots, least)
                 grams, size = [], 0
-            if sum(map(len, counts.values())) > 1 << 20:
-                yield from _counted(counts)
+            if known.full():
+                yield from _counted(counts, known)
+                known = _Vocabulary()
         if size:
             yield from _sketched(grams, slots, least)
-        yield from _counted(counts)
+        yield from _counted(counts, known)
 
     return first
 
 
-def _counted(counts: dict[str, collections.Counter]) -> Iterator[pa.RecordBatch]:
+def _counted(counts: dict[str, np.ndarray], known: _Vocabulary) -> Iterator[pa.RecordBatch]:
     for lang, own in counts.items():
-        own.pop(GUARD, None)
-        yield _phrases(lang, list(own), list(own.values()))
+        own[0] = 0  # guards
+        met = np.flatnonzero(own)
+        yield _phrases(lang, [known.words[i] for i in met.tolist()], own[met])
     counts.clear()
 
 
@@ -187,10 +225,10 @@ def _second(pairs, pair_slots: int, slots: int, least: int, longest: int):
     """Pairs that pass, and the sketch of longer phrases all of whose pairs pass."""
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, unseen, grams, size = _Bitmaps(pairs.value, pair_slots), _Unseen(), [], 0
+        often, unseen, known, grams, size = _Bitmaps(pairs.value, pair_slots), _Unseen(), _Vocabulary(), [], 0
         for lang, words in _stretched(batches):
-            passing = None
-            for n, gram, whole in _grams(*_hashed(lang, words), longest):
+            passing, known = None, _Vocabulary() if known.full() else known
+            for n, gram, whole in _grams(*known.hashed(lang, known.numbers(words)), longest):
                 if n == 2:
                     ok = pair_ok = whole & often(gram)
                     passing = unseen.spelled(words, 2, gram, ok)
@@ -199,7 +237,7 @@ def _second(pairs, pair_slots: int, slots: int, least: int, longest: int):
                     grams.append(gram[ok])
                     size += len(grams[-1])
             if passing:
-                yield _phrases(lang, passing, [0] * len(passing))
+                yield _phrases(lang, passing, np.zeros(len(passing), np.int64))
             if size >= HELD:
                 yield from _sketched(grams, slots, least)
                 grams, size = [], 0
@@ -213,10 +251,10 @@ def _third(pairs, pair_slots: int, rest, slots: int, longest: int):
     """Longer phrases that pass both sketches."""
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, more, unseen = _Bitmaps(pairs.value, pair_slots), _Bitmaps(rest.value, slots), _Unseen()
+        often, more, unseen, known = _Bitmaps(pairs.value, pair_slots), _Bitmaps(rest.value, slots), _Unseen(), _Vocabulary()
         for lang, words in _stretched(batches):
-            passing = []
-            for n, gram, whole in _grams(*_hashed(lang, words), longest):
+            passing, known = [], _Vocabulary() if known.full() else known
+            for n, gram, whole in _grams(*known.hashed(lang, known.numbers(words)), longest):
                 if n == 2:
                     ok = pair_ok = whole & often(gram)
                 else:
@@ -224,7 +262,7 @@ def _third(pairs, pair_slots: int, rest, slots: int, longest: int):
                     ok[ok] = more(gram[ok])  # a phrase is no more frequent than its beginning
                     passing += unseen.spelled(words, n, gram, ok)
             if passing:
-                yield _phrases(lang, passing, [0] * len(passing))
+                yield _phrases(lang, passing, np.zeros(len(passing), np.int64))
 
     return third
 
@@ -262,7 +300,7 @@ def _frequent_slots(parts: DataFrame, slots: int, least: int) -> list[bytes]:
 _compiled: dict[str, dict] = {}
 
 
-def _automata(pack) -> dict[str, tuple[list[str], ahocorasick.Automaton]]:
+def _automata(pack) -> dict[str, tuple[pa.Array, ahocorasick.Automaton]]:
     """The automata of a pack, compiled once per worker."""
     uid, blob = pack.value
     if uid not in _compiled:
@@ -274,7 +312,7 @@ def _automata(pack) -> dict[str, tuple[list[str], ahocorasick.Automaton]]:
             for i, phrase in enumerate(phrases):
                 automaton.add_word(f" {phrase} ", i)
             automaton.make_automaton()
-            own[lang] = phrases, automaton
+            own[lang] = pa.array(phrases, pa.string()), automaton
         _compiled[uid] = own
     return _compiled[uid]
 
@@ -293,8 +331,7 @@ def _scan(pack):
             met = np.flatnonzero(own)
             for at in range(0, len(met), 1 << 16):
                 some = met[at : at + (1 << 16)]
-                phrases = [automata[lang][0][i].encode("utf-8", "surrogatepass") for i in some]
-                yield _phrases(lang, phrases, own[some].tolist())
+                yield _phrases(lang, automata[lang][0].take(pa.array(some)), own[some])
 
     return scan
 
