@@ -45,12 +45,24 @@ INSIDE = 80
 #: Bytes of phrases in one automaton pack, about; n-grams that a task counts before it emits; characters of a stretch.
 PACK_BYTES, HELD, STRETCH = 8 << 20, 1 << 22, 1 << 20
 GUARD = b"."
-_DELIMITERS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", GUARD * 9)
+_DELIMITERS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", GUARD * 9 + b" ")
+
+
+def guarded(text: str) -> bytes:
+    """A text with A-Z lower-cased, whose pieces end at a guard, which no word contains; blanks come in any number."""
+    return text.encode("utf-8", "surrogatepass").lower().translate(_DELIMITERS).replace(GUARD, b" . ")
 
 
 def tokens(text: str) -> list[bytes]:
-    """Words and guards of a text, A-Z lower-cased: pieces end at a guard, which no word contains."""
-    return text.encode("utf-8", "surrogatepass").lower().translate(_DELIMITERS).replace(GUARD, b" . ").split()
+    """Words and guards of a text."""
+    return guarded(text).split()
+
+
+def single_blanks(text: bytes) -> str:
+    """What automata read: words and guards, each between single blanks."""
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text.decode("utf-8", "surrogatepass")
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -323,10 +335,12 @@ def _scan(pack):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(pack)
         counts = {lang: np.zeros(len(phrases), np.int64) for lang, (phrases, _) in automata.items()}
-        for lang, words in _stretched(batches):
-            if lang in automata:
-                text = b" ".join([b"", *words, b""]).decode("utf-8", "surrogatepass")
-                np.add.at(counts[lang], np.fromiter((i for _, i in automata[lang][1].iter(text)), np.int64), 1)
+        for batch in batches:
+            for text, lang in zip(batch.column("_t"), batch.column("lang").to_pylist()):
+                if lang in automata:
+                    for part in stretches(text.as_py() or ""):
+                        found = automata[lang][1].iter(single_blanks(b" " + guarded(part) + b" "))
+                        np.add.at(counts[lang], np.fromiter((i for _, i in found), np.int64), 1)
         for lang, own in counts.items():
             met = np.flatnonzero(own)
             for at in range(0, len(met), 1 << 16):
