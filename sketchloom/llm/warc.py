@@ -1,11 +1,12 @@
 """WARC archives as a chunked record table.
 
-Writing: payloads are cut into chunk rows by the scan itself, and each task streams its chunks into one
-archive of gzip members, one member per record. A payload is whole only in the row that Spark reads. Of records with equal payloads of some length, the one
-with the smallest identifier is a ``response``; the others are ``revisit`` records, which carry the
-HTTP header and the digest but no payload. Reading: each archive is a row; a task inflates it as a
-stream and yields one row per chunk with the bytes and the digest of the payload so far. Neither side
-holds more of a payload than one chunk and the batch it travels in.
+Writing: each task streams its records into one archive of gzip members, one member per record; a payload is cut
+into chunks of a view of its Arrow batch as it is written, so it exists once in the row that Spark reads and once in the batch. Of records
+with equal payloads of some length, the one with the smallest identifier is a ``response``; the others are ``revisit``
+records, which carry the HTTP header and the digest but no payload. Copies are found by digest; payloads aren't shuffled as long as
+digests that occur twice are few enough to be broadcast. Reading: each archive is a row; a task inflates it as a
+stream and yields one row per chunk with the bytes and the digest of the payload so far, and holds no more of a
+payload than one chunk and the batch it travels in.
 
 Archives go to the shared folder under names that no other attempt uses, and a table lists those of
 the attempts that Spark accepted, so a task that runs twice leaves no record twice.
@@ -13,7 +14,7 @@ the attempts that Spark accepted, so a task that runs twice leaves no record twi
 Defined cases: a null payload is an empty one; empty payloads give one chunk row of no bytes. A null
 identifier stays null and never is referred to. Rows that repeat the smallest identifier of equal
 payloads are all responses. Line breaks in an address are percent-encoded in the header. A payload of any length
-becomes as many chunk rows as it needs, cut in one pass. Columns besides the named ones are not used, so their
+becomes as many chunk rows as it needs. Columns besides the named ones are not used, so their
 names can't clash with any.
 """
 
@@ -29,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.functions.storage import materialise, scratch_path
+from sketchloom.functions.storage import join_checked, materialise, scratch_path
 from sketchloom.functions.workers import frugal
 
 CHUNK = 1 << 20
@@ -48,47 +49,46 @@ CHUNK_DDL = "record_id string, record_type string, refers_to string, target_uri
 
 
 def classified(records: DataFrame, record_id: str, payload: str, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """``records`` with _bytes, _digest, _type and _refers."""
+    """``records`` with _bytes, _digest, _type and _refers.
+
+    Copies are found on lengths and digests alone; what goes back to the payloads is a row per digest that occurs
+    more than once, broadcast if that is few bytes.
+    """
     known = F.coalesce(F.col(payload), F.lit(""))
+    marks = records.select(F.col(record_id).alias("_id"), F.octet_length(known).alias("_bytes"), F.sha2(known, 256).alias("_d"))
+    first = marks.filter((F.col("_bytes") >= revisit_from) & F.col("_id").isNotNull()).groupBy("_d").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    first = materialise(first.filter("_copies > 1").select(F.col("_d").alias("_digest"), "_first"), "copied-payloads")
     sized = records.withColumn("_bytes", F.octet_length(known).cast("long")).withColumn("_digest", F.sha2(known, 256))
-    first = (
-        sized.filter((F.col("_bytes") >= revisit_from) & F.col(record_id).isNotNull())
-        .groupBy(F.col("_digest").alias("_d"))
-        .agg(F.min(record_id).alias("_first"), F.count(F.lit(1)).alias("_copies"))
-        .filter("_copies > 1")
-        .drop("_copies")
-    )
-    joined = sized.join(first, F.col("_digest") == F.col("_d"), "left")
     again = F.coalesce(F.col("_first") < F.col(record_id), F.lit(False))
-    return joined.withColumn("_type", F.when(again, "revisit").otherwise("response")).withColumn("_refers", F.when(again, F.col("_first"))).drop("_d", "_first")
+    joined = join_checked(sized, first, ["_digest"], "left")
+    return joined.withColumn("_type", F.when(again, "revisit").otherwise("response")).withColumn("_refers", F.when(again, F.col("_first"))).drop("_first")
 
 
 def _header_value(text: str | None) -> str:
     return (text or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _write_partition(folder: str, date: str):
+def _write_partition(folder: str, date: str, step: int = CHUNK):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        name, out, gz, records = f"{base}/{uuid.uuid4().hex}.warc.gz", None, None, 0
+        name, out, records = f"{base}/{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("rid", "url", "type", "refers", "n_bytes", "digest", "chunk_no", "last")), batch.column("chunk"))
-            for rid, url, kind, refers, n_bytes, digest, chunk_no, last, chunk in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("rid", "url", "type", "refers", "n_bytes", "digest")), batch.column("known"))
+            for rid, url, kind, refers, n_bytes, digest, payload in rows:
                 if out is None:
                     out = fs.open_output_stream(name)
-                if chunk_no == 0:
-                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
-                    length = len(http) + (n_bytes if kind == "response" else 0)
-                    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{ID}{_header_value(rid)}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {_header_value(url)}\r\nWARC-Payload-Digest: sha256:{digest}\r\n"
-                    if kind == "revisit":
-                        head += f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <{ID}{_header_value(refers)}>\r\n"
-                    head += f"Content-Type: application/http; msgtype=response\r\nContent-Length: {length}\r\n\r\n"
-                    gz, records = zlib.compressobj(1, zlib.DEFLATED, 31), records + 1
-                    out.write(gz.compress(head.encode() + http))
-                if kind == "response":
-                    out.write(gz.compress(chunk.as_buffer()))
-                if last:
-                    out.write(gz.compress(b"\r\n\r\n") + gz.flush())
+                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
+                length = len(http) + (n_bytes if kind == "response" else 0)
+                head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{ID}{_header_value(rid)}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {_header_value(url)}\r\nWARC-Payload-Digest: sha256:{digest}\r\n"
+                if kind == "revisit":
+                    head += f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <{ID}{_header_value(refers)}>\r\n"
+                head += f"Content-Type: application/http; msgtype=response\r\nContent-Length: {length}\r\n\r\n"
+                gz, records = zlib.compressobj(1, zlib.DEFLATED, 31), records + 1
+                out.write(gz.compress(head.encode() + http))
+                whole = payload.as_buffer()  # a view of the batch, cut as it is written
+                for at in range(0, whole.size, step):
+                    out.write(gz.compress(whole.slice(at, min(step, whole.size - at))))
+                out.write(gz.compress(b"\r\n\r\n") + gz.flush())
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [name], "n_records": [records]}, schema=pa.schema([("path", pa.string()), ("n_records", pa.int64())]))
@@ -99,18 +99,13 @@ def _write_partition(folder: str, date: str):
 def write_archives(records: DataFrame, record_id: str, url: str, payload: str, folder: str | None = None, date: str = "2024-01-01T00:00:00Z", chunk_chars: int = CHUNK // 4) -> DataFrame:
     """Write one archive per task and return the table (path, n_records) of those that count."""
     folder = folder or scratch_path(records.sparkSession, "warc")
-    fs_path = folder
-    _make_dir(records.sparkSession, fs_path)
+    _make_dir(records.sparkSession, folder)
     plain = records.select(F.col(record_id).alias("rid"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("known"))
-    # One pass over a payload cuts it, however many chunks it has. Outer: no filter on the chunks is inferred.
-    cut = F.when((F.col("_type") == "response") & (F.length("known") > chunk_chars), F.regexp_extract_all("known", F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0)))
-    whole = F.array(F.when(F.col("_type") == "response", F.col("known")).otherwise(""))
-    chunks = classified(plain, "rid", "known").withColumn("_chunks", F.coalesce(cut, whole)).withColumn("_pieces", F.size("_chunks"))
-    rows = chunks.select("rid", "url", "_type", "_refers", "_bytes", "_digest", "_pieces", F.posexplode_outer("_chunks").alias("_at", "chunk")).select(
-        F.col("rid").cast("string").alias("rid"), "url", F.col("_type").alias("type"), F.col("_refers").cast("string").alias("refers"),
-        F.col("_bytes").alias("n_bytes"), F.col("_digest").alias("digest"), F.col("_at").alias("chunk_no"), (F.col("_at") == F.col("_pieces") - 1).alias("last"), "chunk",
+    rows = classified(plain, "rid", "known").select(
+        F.col("rid").cast("string").alias("rid"), "url", F.col("_type").alias("type"), F.col("_refers").cast("string").alias("refers"), F.col("_bytes").alias("n_bytes"), F.col("_digest").alias("digest"),
+        F.when(F.col("_type") == "response", F.col("known")).otherwise("").alias("known"),
     )
-    return materialise(rows.mapInArrow(frugal(_write_partition(folder, date)), "path string, n_records long"), "warc-files")
+    return materialise(rows.mapInArrow(frugal(_write_partition(folder, date, 4 * chunk_chars)), "path string, n_records long"), "warc-files")
 
 
 def _make_dir(spark: SparkSession, path: str) -> None:
