@@ -117,6 +117,34 @@ def bottom_of_groups(rows: DataFrame, keys: list[str], value: str, c: int) -> Da
     return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= c).drop("_r")
 
 
+def _combined(c: int, most: int):
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, np.ndarray] = {}
+
+        def emitted() -> pa.RecordBatch:
+            keys = list(kept)
+            out = pa.RecordBatch.from_arrays([pa.array([n for n, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.int32()), pa.array([v.tolist() for v in kept.values()], pa.list_(pa.int64()))], names=["name", "hash_idx", "vals"])
+            kept.clear()
+            return out
+
+        for batch in batches:
+            for name, i, vals in zip(batch.column("name").to_pylist(), batch.column("hash_idx").to_pylist(), batch.column("vals")):
+                own = vals.values.to_numpy()
+                before = kept.get((name, i))
+                kept[name, i] = bottom(own if before is None else np.concatenate([before, own]), c)
+            if len(kept) >= most:
+                yield emitted()
+        if kept:
+            yield emitted()
+
+    return combine
+
+
+def combined_in_tasks(rows: DataFrame, c: int, most: int = 1 << 16) -> DataFrame:
+    """Sketch rows with those of one name and function merged within each task, ``most`` keys held at a time; works on streams too."""
+    return rows.select("name", "hash_idx", "vals").mapInArrow(frugal(_combined(c, most)), SHINGLE_DDL)
+
+
 def merge_sketches(old: DataFrame, new: DataFrame, c: int) -> DataFrame:
     """Sketch rows of both, c least values of their union as multisets: the update of stored sketches."""
     each = old.unionByName(new).select("name", "hash_idx", F.explode("vals").alias("h"))

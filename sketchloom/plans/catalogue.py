@@ -15,17 +15,23 @@ from pyspark.sql import functions as F
 
 from sketchloom.config import SketchConfig
 from sketchloom.functions.hashing import PRIME, letters_only, vertex_value
-from sketchloom.functions.storage import materialise
+from sketchloom.functions.storage import materialise, scratch_path
 from sketchloom.operators import clusters as C
+from sketchloom.operators import communities as M
 from sketchloom.operators import components as CC
 from sketchloom.operators import evaluate as E
 from sketchloom.operators import graph as G
+from sketchloom.operators import growth as R
+from sketchloom.operators import louvain as L
 from sketchloom.operators import search as S
 from sketchloom.operators import sketch as K
 from sketchloom.plans import files
 from sketchloom.sources import writers as W
+from sketchloom.streaming import sketches as T
 
 CFG = SketchConfig(k=6, c=2, rounds=2, hashes=4, seed=7)
+GROWN = (4, 6, 8)
+GROWTH = SketchConfig(k=6, c=2, rounds=2, hashes=6, difference=2, max_hashes=40, threshold=0.8, min_cluster_size=10, seed=7)
 SEARCH = SketchConfig(k=6, c=2, rounds=2, hashes=4, difference=2, max_hashes=6, threshold=1.1, min_cluster_size=2, seed=7)
 
 
@@ -204,6 +210,46 @@ def search_trace(spark, sf_dir):
     return rounded(S.search_trace(sequences(spark, sf_dir), SEARCH), "f")
 
 
+def search_growth(spark, sf_dir):
+    """The search from 6 hash functions on, each number against that less two, until F reaches 0.8 among clusters of ten or more."""
+    return rounded(S.search_trace(sequences(spark, sf_dir), GROWTH), "f")
+
+
+def refinement_growth(spark, sf_dir):
+    """Refined graphs of 4, 6 and 8 hash functions, each carried on from the one before."""
+    growing = R.GrowingRefinement(K.GrowingSketches(sequences(spark, sf_dir), replace(CFG, hashes=8), 8), CFG)
+    graphs = [materialise(growing.graph(h), f"graph-{h}").select(F.lit(h).alias("hashes"), "src", "dst") for h in GROWN]
+    return graphs[0].unionByName(graphs[1]).unionByName(graphs[2])
+
+
+def modularity_components(spark, sf_dir):
+    """Modularity of the components of the level-1 graph, and of one community of all its vertices, which is 0."""
+    graph = materialise(edges(spark, sf_dir), "graph")
+    parts = CC.star_components(graph).select("label", F.col("node").alias("member"))
+    both = [L.modularity(graph, x).withColumn("of", F.lit(n)) for n, x in (("components", parts), ("all", parts.select(F.lit("x").alias("label"), "member")))]
+    return rounded(both[0].unionByName(both[1]).select("of", "modularity"), "modularity")
+
+
+def louvain_communities(spark, sf_dir):
+    """Communities of high modularity of the refined graph."""
+    return L.louvain(S.similarity_graph(sequences(spark, sf_dir), CFG))[0]
+
+
+def label_spreading(spark, sf_dir):
+    """Labels after two rounds of spreading over the level-1 graph: the most frequent one around each vertex, of equal ones the least."""
+    return M.label_spreading(edges(spark, sf_dir), rounds=2)
+
+
+def streamed_sketches(spark, sf_dir):
+    """Sketches of whole languages, kept in the state of a stream that reads the documents."""
+    source = table(spark, sf_dir, "documents")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parquet")
+    rows = stream.select(F.coalesce("lang", F.lit("none")).alias("name"), letters_only(F.col("text")).alias("sequence"))
+    path = scratch_path(spark, "stream")
+    T.stream_merged_sketches(rows, CFG, f"{path}/rows", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return T.current_sketches(spark, f"{path}/rows").select("name", K.display().alias("shingle"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -211,6 +257,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         level2_shingles, level2_edges, closed_neighbourhoods, vertex_ids, merged_sketches, metis_rows, metis_header, components_min_label,
         components_hash_to_min, components_union_find, finalised_anti_join, label_blacklist, dictionary_encoding, annotation_ordinals,
         cluster_floor, largest_cluster, top_k_clusters, renamed_members, intersections, best_matches, f_value, nmi, search_trace,
+        search_growth, refinement_growth, modularity_components, louvain_communities, label_spreading, streamed_sketches,
     )
 } | files.QUERIES
 
@@ -250,6 +297,8 @@ def _sql(body: str, recursive: str = "") -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{_CTES}{', ' + recursive if recursive else ''} {body}"
 
 
+#: The SQL of the growing search has steps up to this number of functions.
+GROWN_TO = 12
 _REACH = "reach(node, seen) AS (SELECT src, src FROM arcs UNION SELECT node, dst FROM reach JOIN arcs ON seen = src)"
 _COMPONENTS = _sql("SELECT node, min(seen) AS label FROM reach GROUP BY node", _REACH)
 _H = "CASE WHEN {0} > 0 THEN -({0}) * log2(({0}) / n) ELSE 0 END"
@@ -269,15 +318,20 @@ def _conditional(mine: str, other: str) -> str:
         FROM {mine} m CROSS JOIN {other} o LEFT JOIN pairs p ON {match}, (SELECT count(*)::DOUBLE AS n FROM part)) GROUP BY label))"""
 
 
-def _searched(h: int) -> str:
-    """The refined graph and the components of the first ``h`` functions."""
+def _refined(h: int) -> str:
+    """The refined graph of the first ``h`` functions."""
     return f"""arcs_of_{h} AS (SELECT DISTINCT x.name AS src, y.name AS dst FROM sh x JOIN sh y USING (shingle) WHERE x.name <> y.name AND x.hash_idx < {h}),
 hashed_of_{h} AS (SELECT src AS name, hash_idx, dst, ((value % {PRIME}) * a + b) % {PRIME} AS h FROM arcs_of_{h} JOIN vv ON vv.name = dst, fam WHERE hash_idx < {h}),
 ranked_of_{h} AS (SELECT *, row_number() OVER (PARTITION BY name, hash_idx ORDER BY h, dst) AS r FROM hashed_of_{h}),
 again_of_{h} AS (SELECT name, hash_idx::VARCHAR || '$' || string_agg(h::VARCHAR, '$' ORDER BY h) AS shingle FROM ranked_of_{h} WHERE r <= 2 GROUP BY name, hash_idx HAVING count(*) = 2),
-refined_of_{h} AS (SELECT DISTINCT x.name AS src, y.name AS dst FROM again_of_{h} x JOIN again_of_{h} y USING (shingle) WHERE x.name <> y.name),
+refined_of_{h} AS (SELECT DISTINCT x.name AS src, y.name AS dst FROM again_of_{h} x JOIN again_of_{h} y USING (shingle) WHERE x.name <> y.name)"""
+
+
+def _searched(h: int, floor: int = 2) -> str:
+    """The refined graph of the first ``h`` functions, its components, and the sizes of those of ``floor`` members or more."""
+    return f"""{_refined(h)},
 reach_of_{h}(node, seen) AS (SELECT src, src FROM refined_of_{h} UNION SELECT node, dst FROM reach_of_{h} JOIN refined_of_{h} ON seen = src),
-part_of_{h} AS (SELECT node AS member, min(seen) AS label FROM reach_of_{h} GROUP BY node), size_of_{h} AS (SELECT label, count(*) AS size FROM part_of_{h} GROUP BY label)"""
+part_of_{h} AS (SELECT node AS member, min(seen) AS label FROM reach_of_{h} GROUP BY node), size_of_{h} AS (SELECT label, count(*) AS size FROM part_of_{h} GROUP BY label HAVING count(*) >= {floor})"""
 
 
 def _step(h: int, base: int) -> str:
@@ -309,6 +363,18 @@ ORACLES: dict[str, str] = {
         "SELECT name, hash_idx || '$' || array_to_string(min(v, 2), '$') AS shingle FROM (SELECT coalesce(lang, 'none') AS name, hash_idx, unnest(vals) AS v FROM least l JOIN documents d ON d.doc_id::VARCHAR || '_1' = l.name) GROUP BY name, hash_idx"
     ),
     "search_trace": "WITH RECURSIVE " + _CTES.replace(_FAMILY, _family(SEARCH, SEARCH.max_hashes - 1)) + ", " + ", ".join(_searched(h) for h in (2, 3, 4, 5)) + " " + _step(4, 2) + " UNION ALL " + _step(5, 3),
+    "search_growth": "WITH RECURSIVE " + _CTES.replace(_FAMILY, _family(GROWTH, GROWN_TO)) + ", " + ", ".join(_searched(h, GROWTH.floor) for h in range(4, GROWN_TO + 1))
+    + ", steps AS (" + " UNION ALL ".join(_step(h, h - 2) for h in range(6, GROWN_TO + 1)) + ") SELECT * FROM steps s WHERE NOT EXISTS (SELECT 1 FROM steps t WHERE t.hashes < s.hashes AND t.f >= 0.8)",
+    "refinement_growth": "WITH " + _CTES.replace(_FAMILY, _family(CFG, max(GROWN))) + ", " + ", ".join(map(_refined, GROWN)) + " " + " UNION ALL ".join(f"SELECT {h} AS hashes, src, dst FROM refined_of_{h}" for h in GROWN),
+    "modularity_components": _sql(
+        """SELECT 'components' AS "of", round(sum(own) / m2 - sum((tot / m2) * (tot / m2)), 9) AS modularity FROM (SELECT label, count(*)::DOUBLE AS tot, count(*)::DOUBLE AS own FROM arcs JOIN part ON node = src GROUP BY label), (SELECT count(*)::DOUBLE AS m2 FROM arcs) GROUP BY m2 UNION ALL SELECT 'all', 0.0::DOUBLE""",
+        _REACH + ", part AS (SELECT node, min(seen) AS label FROM reach GROUP BY node)",
+    ),
+    "label_spreading": _sql(
+        """SELECT label, member FROM (SELECT src AS member, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS r
+          FROM around JOIN (SELECT src AS v, min(dst) AS label FROM around GROUP BY src) ON v = dst GROUP BY src, label) WHERE r = 1""",
+        "around AS (SELECT src, dst FROM arcs UNION SELECT src, src FROM arcs)",
+    ),
     "metis_rows": _sql("SELECT s.id + 1 AS row_no, string_agg((d.id + 1)::VARCHAR, ' ' ORDER BY d.id) || ' ' AS line FROM arcs JOIN ids s ON s.name = src JOIN ids d ON d.name = dst GROUP BY s.id"),
     "metis_header": _sql("SELECT count(DISTINCT src) AS vertices, count(*) AS arcs, 0::BIGINT AS self_loops, count(*) // 2 AS undirected_edges FROM arcs"),
     "components_min_label": _COMPONENTS,
@@ -333,3 +399,5 @@ ORACLES: dict[str, str] = {
         f"round(1 - (hxy / hx + hyx / hy) / 2, 9) AS nmi_lfk FROM (SELECT {_entropy('bs')} AS hx, {_entropy('ts')} AS hy, {_conditional('bs', 'ts')} AS hxy, {_conditional('ts', 'bs')} AS hyx)"
     ),
 } | files.ORACLES
+ORACLES["streamed_sketches"] = ORACLES["merged_sketches"]
+ORACLES["file_sketches_of_pieces"] = ORACLES["shingles"]

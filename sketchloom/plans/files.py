@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.functions.storage import scratch_path
+from sketchloom.config import SketchConfig
+from sketchloom.functions.storage import materialise, scratch_path
 from sketchloom.operators import clusters as C
 from sketchloom.operators import graph as G
+from sketchloom.operators.sketch import display, merge_sketches, shingles
 from sketchloom.plans import programs
-from sketchloom.sources import readers, writers
+from sketchloom.sources import ranges, readers, single, writers
+
+PIECES = SketchConfig(k=6, c=2, rounds=2, hashes=4, seed=7)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +48,31 @@ def file_fasta(spark, sf_dir):
     return readers.fasta(spark, written(writers.fasta_lines(docs), "fasta"))
 
 
+def file_fasta_ranges(spark, sf_dir):
+    """The same file by byte ranges of a megabyte, sequences in pieces of 10,000 letters."""
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("_1")).alias("name"), letters.alias("sequence"))
+    return ranges.sequences(spark, written(writers.fasta_lines(docs), "fasta"), range_bytes=1 << 20, piece_letters=10_000)
+
+
+def file_sketches_of_pieces(spark, sf_dir):
+    """Sketches of sequences that are read in overlapping pieces and never put together."""
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("_1")).alias("name"), letters.alias("sequence"))
+    pieces = ranges.pieces(spark, written(writers.fasta_lines(docs), "fasta"), range_bytes=1 << 20, piece_letters=1000, overlap=PIECES.k - 1)
+    rows = shingles(pieces.select("name", F.col("piece").alias("sequence")), PIECES)
+    return merge_sketches(rows, rows.limit(0), PIECES.c).select("name", display().alias("shingle"))
+
+
+def file_metis_single(spark, sf_dir):
+    """Row n of a METIS file that is one file, written by several tasks."""
+    edges = part_edges(spark, sf_dir)
+    path = f"{scratch_path(spark, 'single')}.graph"
+    single.write_single(writers.metis_segments(edges, G.vertex_ids(edges), "undirected"), path, ["row_no", "at"], "row_no")
+    lines = readers.numbered_lines(spark, path)
+    return materialise(lines.select(F.col("line_no").alias("row_no"), "value"), "read")
+
+
 def file_kmv_clusters(spark, sf_dir):
     return readers.kmv_clusters(spark, written(writers.kmv_lines(nations(spark, sf_dir)), "kmv"), floor=5)
 
@@ -145,7 +174,7 @@ def edge_difference(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        file_fasta, file_kmv_clusters, file_kv_edges, file_metis, file_edge_list, file_dictionary, file_communities, file_community_clusters,
+        file_fasta, file_fasta_ranges, file_sketches_of_pieces, file_metis_single, file_kmv_clusters, file_kv_edges, file_metis, file_edge_list, file_dictionary, file_communities, file_community_clusters,
         file_conversion_table, file_names, file_hash_parameters, file_annotations, file_renumbered_annotations, file_cluster_blocks,
         file_names_of_numbers, file_comparison, edge_difference,
     )
@@ -158,6 +187,7 @@ _LINES = "lines AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS lin
 _F = "2 * (n / sx) * (n / sy) / ((n / sx) + (n / sy))"
 
 ORACLES = {
+    "file_metis_single": f"WITH {_EDGES} SELECT 0::BIGINT AS row_no, (SELECT count(*) FROM ids) || ' ' || (SELECT count(*) // 2 FROM arcs) AS value UNION ALL SELECT s, string_agg(d::VARCHAR, ' ' ORDER BY d) || ' ' FROM numbered GROUP BY s",
     "file_fasta": "SELECT doc_id::VARCHAR || '_1' AS name, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents WHERE regexp_matches(text, '[A-Za-z]')",
     "file_kmv_clusters": "SELECT '@' || c_nationkey AS label, '/' || c_custkey || '_1' AS member FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) >= 5)",
     "file_kv_edges": f"WITH {_EDGES} SELECT src, dst, (SELECT count(*) FROM ids) AS vertices, (SELECT count(*) // 2 FROM arcs) AS edges FROM arcs",
@@ -182,3 +212,4 @@ ORACLES = {
       SELECT round(t.v, 9) AS f_test, round(b.v, 9) AS f_base, round((t.v + b.v) / 2, 9) AS f_avg, round((t.v + b.v) / 2, 9) AS f_read FROM t, b""",
     "edge_difference": f"WITH {_EDGES} SELECT src, dst FROM pe WHERE split_part(dst, '_', 1)::INT >= 7",
 }
+ORACLES["file_fasta_ranges"] = ORACLES["file_fasta"]

@@ -29,6 +29,27 @@ def metis_lines(edges: DataFrame, ids: DataFrame | None = None, count_mode: str
     return header.unionByName(rows)
 
 
+def metis_segments(edges: DataFrame, ids: DataFrame | None = None, count_mode: str = "arcs", mode: str = "plain") -> DataFrame:
+    """(row_no, at, text): as ``metis_lines``, a row per neighbour; rows of one ``row_no``, in the order of ``at``, make its line.
+
+    No neighbours are gathered, so a vertex may have any number of them.
+    """
+    ids = ids if ids is not None else vertex_ids(edges)
+    edge_count = F.col("arcs") if count_mode == "arcs" else F.col("undirected_edges")
+    tail = [F.lit("0")] if mode == "weighted" else []
+    header = graph_counts(both_ways(edges)).select(F.lit(0).cast("long").alias("row_no"), F.lit(0).cast("long").alias("at"), F.concat_ws(" ", F.col("vertices").cast("string"), edge_count.cast("string"), *tail).alias("text"))
+    arcs = edge_lines(edges, ids).select(F.col("s").cast("long").alias("row_no"), F.col("d").cast("long").alias("at"), F.concat(F.col("d").cast("string"), F.lit(" ")).alias("text"))
+    return header.unionByName(arcs)
+
+
+def kmv_segments(clusters: DataFrame) -> DataFrame:
+    """(label, member, text): as ``kmv_lines``, a row per member behind a row without one that begins the line."""
+    each = clusters.distinct()
+    heads = each.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    begin = F.format_string("KMV pair: proc 0, nvalues %d, sizes 9 4679, key @%s, values", F.col("n"), F.col("label"))
+    return heads.select("label", F.lit(None).cast("string").alias("member"), begin.alias("text")).unionByName(each.select("label", "member", F.concat(F.lit(" /"), "member").alias("text")))
+
+
 def edge_lines(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(s, d, line): ``src dst`` as 1-based numbers, both directions."""
     s = ids.select((F.col("id") + 1).alias("s"), F.col("name").alias("src"))
