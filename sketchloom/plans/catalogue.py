@@ -243,7 +243,8 @@ def label_spreading(spark, sf_dir):
 def streamed_sketches(spark, sf_dir):
     """Sketches of whole languages, kept in the state of a stream that reads the documents."""
     source = table(spark, sf_dir, "documents")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parquet")
+    # A pattern, as a stream's plain path must be a folder and the table may be one file.
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parque[t]")
     rows = stream.select(F.coalesce("lang", F.lit("none")).alias("name"), letters_only(F.col("text")).alias("sequence"))
     path = scratch_path(spark, "stream")
     T.stream_merged_sketches(rows, CFG, f"{path}/rows", f"{path}/checkpoint", availableNow=True).awaitTermination()
