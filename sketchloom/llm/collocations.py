@@ -1,13 +1,14 @@
 """Collocations: phrases whose words come together more often than their parts come apart.
 
-1. Words of each language are counted exactly. 2. Each task counts the pairs of neighbouring words in a count-min
+1. Each task counts words and pairs of neighbouring words, salted with their language, in a count-min
 sketch; slices of the tasks' sketches are merged as streams, and what is kept of a slot is one bit: whether all tasks together
-hit it ``least`` times. Counts only overestimate, so a phrase that is frequent enough always has its bits set. 3. Phrases of
-three and more words are counted in a second sketch, where all their pairs have passed the first. 4. What passes is spelled
+hit it ``least`` times. Counts only overestimate, so a phrase that is frequent enough always has its bits set. 2. Words
+that pass are counted exactly, and phrases of three and more words in a second sketch, where all their pairs have passed the
+first. 3. What passes is spelled
 out, each phrase once, and dealt into packs of bounded bytes; a pack is compiled into one automaton per language, whose
 patterns are guarded by delimiters on either side, so that they match whole words only and never across the end
 of a piece. Scanning a text once finds all phrases of a pack, overlapping ones too; tasks count, sums are exact, and
-phrases below ``least`` go. 5. Scores, the test for containment in longer phrases and the ranks are joins and windows.
+phrases below ``least`` go. 4. Scores, the test for containment in longer phrases and the ranks are joins and windows.
 
 Scale: sketches have about eight slots per word up to ``MAX_SLOTS``; a bitmap per row is all that is broadcast, as is one pack
 at a time. Beyond some 30 million words the sketch passes more and more phrases that are too rare; they cost
@@ -43,7 +44,9 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: Of a longer phrase's occurrences in those of a part, percent from which the part goes.
 INSIDE = 80
 #: Bytes of phrases in one automaton pack, about; n-grams that a task counts before it emits; characters of a stretch.
-PACK_BYTES, HELD, STRETCH = 8 << 20, 1 << 22, 1 << 20
+#: Phrases counted as one row, and tasks that sum them up.
+CHUNK, MERGES = 1 << 13, 64
+PACK_BYTES, HELD, STRETCH = 8 << 20, 1 << 21, 1 << 20
 GUARD = b"."
 _DELIMITERS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", GUARD * 9 + b" ")
 
@@ -87,7 +90,7 @@ def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[by
                 own = held[lang]
                 own += tokens(part)
                 own.append(GUARD)
-                if len(own) >= 1 << 19:
+                if len(own) >= 1 << 17:
                     yield lang, held.pop(lang)
     yield from held.items()
 
@@ -95,7 +98,7 @@ def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[by
 class _Vocabulary(dict):
     """Numbers of the words that a task has met, the guard being 0, and their hashes."""
 
-    MOST = 1 << 19
+    MOST = 1 << 18
 
     def __init__(self):
         super().__init__()
@@ -178,40 +181,49 @@ def _sketched(grams: list[np.ndarray], slots: int, most: int) -> Iterator[pa.Rec
 
 
 def _first(slots: int, least: int):
-    """Counts of words, and the sketch of pairs."""
+    """The sketch of words and pairs, and how many words each language has."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        totals: dict[str, int] = collections.Counter()
         known, grams, size = _Vocabulary(), [], 0
         for lang, words in _stretched(batches):
-            numbers = known.numbers(words)
-            own = np.bincount(numbers, minlength=len(known.words))
-            before = counts.get(lang)
-            if before is not None:
-                own[: len(before)] += before
-            counts[lang] = own
-            for _, gram, whole in _grams(*known.hashed(lang, numbers), 2):
-                grams.append(gram[whole])
-                size += len(grams[-1])
+            known = _Vocabulary() if known.full() else known
+            hashes, guards = known.hashed(lang, known.numbers(words))
+            totals[lang] += int((~guards).sum())
+            grams.append(hashes[~guards])
+            grams += [gram[whole] for _, gram, whole in _grams(hashes, guards, 2)]
+            size += sum(map(len, grams[-2:]))
             if size >= HELD:
                 yield from _sketched(grams, slots, least)
                 grams, size = [], 0
-            if known.full():
-                yield from _counted(counts, known)
-                known = _Vocabulary()
         if size:
             yield from _sketched(grams, slots, least)
-        yield from _counted(counts, known)
+        for lang, n in totals.items():
+            yield _phrases(lang, pa.nulls(1, pa.string()), np.array([n]))
 
     return first
 
 
-def _counted(counts: dict[str, np.ndarray], known: _Vocabulary) -> Iterator[pa.RecordBatch]:
-    for lang, own in counts.items():
-        own[0] = 0  # guards
-        met = np.flatnonzero(own)
-        yield _phrases(lang, [known.words[i] for i in met.tolist()], own[met])
-    counts.clear()
+class _Counts:
+    """How often each language's words occur that the sketch has counted often enough."""
+
+    def __init__(self, often: _Bitmaps):
+        self.often, self.of = often, {}
+
+    def add(self, lang: str, numbers: np.ndarray) -> None:
+        own, before = np.bincount(numbers), self.of.get(lang)
+        if before is not None:
+            short, own = sorted((own, before), key=len)
+            own[: len(short)] += short
+        self.of[lang] = own
+
+    def emitted(self, known: _Vocabulary) -> Iterator[pa.RecordBatch]:
+        for lang, own in self.of.items():
+            own[0] = 0  # guards
+            met = np.flatnonzero(own)
+            met = met[self.often(known.hashed(lang, met)[0])]
+            yield _phrases(lang, [known.words[i] for i in met.tolist()], own[met])
+        self.of.clear()
 
 
 class _Unseen:
@@ -234,13 +246,18 @@ class _Unseen:
 
 
 def _second(pairs, pair_slots: int, slots: int, least: int, longest: int):
-    """Pairs that pass, and the sketch of longer phrases all of whose pairs pass."""
+    """Words that pass, with their counts, pairs that pass, and the sketch of longer phrases all of whose pairs pass."""
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, unseen, known, grams, size = _Bitmaps(pairs.value, pair_slots), _Unseen(), _Vocabulary(), [], 0
+        counts = _Counts(often)
         for lang, words in _stretched(batches):
-            passing, known = None, _Vocabulary() if known.full() else known
-            for n, gram, whole in _grams(*known.hashed(lang, known.numbers(words)), longest):
+            if known.full():
+                yield from counts.emitted(known)
+                known = _Vocabulary()
+            passing, numbers = None, known.numbers(words)
+            counts.add(lang, numbers)
+            for n, gram, whole in _grams(*known.hashed(lang, numbers), longest):
                 if n == 2:
                     ok = pair_ok = whole & often(gram)
                     passing = unseen.spelled(words, 2, gram, ok)
@@ -255,6 +272,7 @@ def _second(pairs, pair_slots: int, slots: int, least: int, longest: int):
                 grams, size = [], 0
         if size:
             yield from _sketched(grams, slots, least)
+        yield from counts.emitted(known)
 
     return second
 
@@ -312,14 +330,17 @@ def _frequent_slots(parts: DataFrame, slots: int, least: int) -> list[bytes]:
 _compiled: dict[str, dict] = {}
 
 
+def _listed(pack) -> dict[str, list[str]]:
+    return {lang: zlib.decompress(phrases).decode("utf-8", "surrogatepass").split("\n") for lang, phrases in pack.value[1].items()}
+
+
 def _automata(pack) -> dict[str, tuple[pa.Array, ahocorasick.Automaton]]:
     """The automata of a pack, compiled once per worker."""
-    uid, blob = pack.value
+    uid, _ = pack.value
     if uid not in _compiled:
         _compiled.clear()
         own = {}
-        for lang, phrases in blob.items():
-            phrases = zlib.decompress(phrases).decode("utf-8", "surrogatepass").split("\n")
+        for lang, phrases in _listed(pack).items():
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for i, phrase in enumerate(phrases):
                 automaton.add_word(f" {phrase} ", i)
@@ -329,8 +350,14 @@ def _automata(pack) -> dict[str, tuple[pa.Array, ahocorasick.Automaton]]:
     return _compiled[uid]
 
 
+def _chunks(automata: dict) -> list[tuple[str, int]]:
+    """(lang, first phrase) of the stretches of a pack's phrases that are counted as one row."""
+    return [(lang, at) for lang in sorted(automata) for at in range(0, len(automata[lang][0]), CHUNK)]
+
+
 def _scan(pack):
-    """How often each phrase of the pack occurs in the texts of a task, overlaps included."""
+    """How often each phrase of the pack occurs in the texts of a task, overlaps included: (chunk, compressed counts)."""
+    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(pack)
@@ -341,15 +368,43 @@ def _scan(pack):
                     for part in stretches(text.as_py() or ""):
                         found = automata[lang][1].iter(single_blanks(b" " + guarded(part) + b" "))
                         np.add.at(counts[lang], np.fromiter((i for _, i in found), np.int64), 1)
-        for lang, own in counts.items():
-            met = np.flatnonzero(own)
-            for at in range(0, len(met), 1 << 16):
-                some = met[at : at + (1 << 16)]
-                yield _phrases(lang, automata[lang][0].take(pa.array(some)), own[some])
+        for k, (lang, at) in enumerate(_chunks(automata)):
+            own = counts[lang][at : at + CHUNK]
+            if own.any():
+                planes = np.ascontiguousarray(own.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+                yield pa.RecordBatch.from_pydict({"chunk": [k], "counts": [zlib.compress(planes.tobytes(), 1)]}, schema=schema)
 
     return scan
 
 
+def _summed(pack, least: int):
+    """Streams the chunks of all tasks, ordered by chunk, into the phrases that occur ``least`` times or more."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, chunks, automata = None, None, None, None
+
+        def out() -> pa.RecordBatch:
+            lang, first = chunks[at]
+            met = np.flatnonzero(total >= least)
+            return _phrases(lang, automata[lang].take(pa.array(met + first)), total[met])
+
+        for batch in batches:
+            if automata is None:
+                automata = {lang: pa.array(p, pa.string()) for lang, p in _listed(pack).items()}
+                chunks = _chunks({lang: (p,) for lang, p in automata.items()})
+            for k, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "counts"))):
+                own = np.ascontiguousarray(np.frombuffer(zlib.decompress(counts), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+                if k != at:
+                    if at is not None:
+                        yield out()
+                    at, total = k, np.zeros(len(own), np.int64)
+                total += own
+        if at is not None:
+            yield out()
+
+    return summed
+
+
 def _packs(candidates: DataFrame, pack_bytes: int) -> Iterator[dict[str, bytes]]:
     """Candidates dealt by hash into packs of about ``pack_bytes``; one at a time is on the driver."""
     total = candidates.agg(F.sum(F.octet_length("phrase") + 1)).first()[0] or 0
@@ -360,41 +415,45 @@ def _packs(candidates: DataFrame, pack_bytes: int) -> Iterator[dict[str, bytes]]
         yield {lang: zlib.compress(p.encode("utf-8", "surrogatepass"), 1) for lang, p in rows.collect()}
 
 
+def pack_sizes(pack: dict[str, bytes]) -> list[int]:
+    """How many phrases of each language a pack has."""
+    return [zlib.decompress(p).count(b"\n") + 1 for p in pack.values()]
+
+
 def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, pack_bytes: int = PACK_BYTES, max_slots: int = MAX_SLOTS) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, f) of all words, (lang, phrase, f) of phrases of 2 to ``longest`` words with f >= ``least``), of ``texts`` (_t, lang)."""
+    """Of ``texts`` (_t, lang): (lang, n) words in all, and (lang, phrase, f) of phrases of 1 to ``longest`` words with f >= ``least``."""
     spark = texts.sparkSession
     slots = min(max_slots, sketch_width(texts.agg(F.sum(F.octet_length("_t"))).first()[0] or 0))
     rows = texts.select("_t", "lang")
     first = materialise(rows.mapInArrow(frugal(_first(slots, least)), _PARTS_DDL), "words-and-pairs")
-    words = materialise(first.filter("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("f")), "word-counts")
+    totals = materialise(first.filter("n is not null").groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
     pairs = spark.sparkContext.broadcast(_frequent_slots(first, slots, least))
     second = materialise(rows.mapInArrow(frugal(_second(pairs, slots, slots, least, longest)), _PARTS_DDL), "pairs-and-longer")
-    found = second.filter("phrase is not null").select("lang", "phrase")
+    words = second.filter("n > 0").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    found = second.filter("n = 0").select("lang", "phrase")
     if longest > 2:
         rest = spark.sparkContext.broadcast(_frequent_slots(second, slots, least))
         third = materialise(rows.mapInArrow(frugal(_third(pairs, slots, rest, slots, longest)), _PARTS_DDL), "longer")
         found = found.unionByName(third.select("lang", "phrase"))
     candidates = materialise(found.distinct(), "candidates")
     counted = None
-    for pack in _packs(candidates, pack_bytes):
+    for pack in filter(None, _packs(candidates, pack_bytes)):
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, pack))
-        scanned = materialise(rows.mapInArrow(frugal(_scan(shared)), _PARTS_DDL).select("lang", "phrase", "n"), "scanned")
+        parts = rows.mapInArrow(frugal(_scan(shared)), "chunk int, counts binary")
+        n_chunks = sum(-(-n // CHUNK) for n in pack_sizes(pack))
+        merged = parts.repartition(min(n_chunks, MERGES), "chunk").sortWithinPartitions("chunk").mapInArrow(frugal(_summed(shared, least)), _PARTS_DDL)
+        scanned = materialise(merged.select("lang", "phrase", F.col("n").alias("f")), "scanned")
         counted = scanned if counted is None else counted.unionByName(scanned)
         shared.unpersist()
-    if counted is None:
-        counted = candidates.withColumn("n", F.lit(0).cast("long"))
-    phrases = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return words, materialise(phrases, "phrase-counts")
+    return totals, materialise(words if counted is None else words.unionByName(counted), "phrase-counts")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, inside: int = INSIDE, top: int = TOP, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases by the score of their weakest cut."""
     texts = docs.select(F.col(text).alias("_t"), F.coalesce(F.col(lang), F.lit("und")).alias("lang")).filter("_t <> ''")
-    words, phrases = phrase_counts(texts, least, longest, pack_bytes)
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    listed = phrases.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     # Parts of a phrase are at least as frequent, so all of them are known.
-    known = words.filter(F.col("f") >= least).unionByName(phrases)
+    totals, known = phrase_counts(texts, least, longest, pack_bytes)
+    listed = known.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w")).filter(F.size("w") > 1)
     cuts = listed.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
     sides = F.array(F.struct(F.lit(True).alias("left"), F.slice("w", 1, F.col("k")).alias("p")), F.struct(F.lit(False).alias("left"), F.slice("w", F.col("k") + 1, F.size("w") - F.col("k")).alias("p")))
     parts = cuts.select("lang", F.col("phrase").alias("whole"), "a", "k", F.explode(sides).alias("s")).select("lang", "whole", "a", "k", "s.left", F.array_join("s.p", " ").alias("phrase"))
