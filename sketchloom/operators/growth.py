@@ -20,7 +20,6 @@ from sketchloom.config import SketchConfig
 from sketchloom.functions.hashing import universal_hash, vertex_value
 from sketchloom.functions.storage import materialise
 from sketchloom.operators.graph import hashed_by, level1_edges, refined_edges, shared
-from sketchloom.operators.sketch import GrowingSketches
 
 ROW = ["name", "hash_idx"]
 
@@ -48,11 +47,11 @@ def least_of(rows: DataFrame, c: int) -> DataFrame:
 class GrowingRefinement:
     """The refined graphs of growing numbers of functions; rows (name, hash_idx, h, member) are carried along.
 
-    Only the last number's rows are kept, so numbers must not fall. Two rounds are carried; with one, or with more than
+    ``sketches``: ``of(h)`` gives (name, hash_idx, vals) for the first h functions. Only the last number's rows are kept, so numbers must not fall. Two rounds are carried; with one, or with more than
     two, where a row depends on rows that change everywhere, graphs are made anew.
     """
 
-    def __init__(self, sketches: GrowingSketches, cfg: SketchConfig):
+    def __init__(self, sketches, cfg: SketchConfig):
         self.sketches, self.cfg, self.hashes, self.rows = sketches, cfg, 0, None
 
     def shingles(self, hashes: int) -> DataFrame:

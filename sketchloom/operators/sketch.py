@@ -8,7 +8,6 @@ built-in functions, for reading and for cross-checks; ``kmers`` and ``min_hashes
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,6 @@ from pyspark.sql.window import Window
 
 from sketchloom.config import SketchConfig
 from sketchloom.functions.hashing import ALPHABET, universal_hash
-from sketchloom.functions.storage import materialise
 from sketchloom.functions.workers import frugal
 
 NOT_LETTERS = "characters other than A to Z: normalise it first"
@@ -155,23 +153,3 @@ def merge_sketches(old: DataFrame, new: DataFrame, c: int) -> DataFrame:
 def display(vals: str = "vals", hash_idx: str = "hash_idx"):
     """A shingle as text: index and values joined by ``$``."""
     return F.concat_ws("$", F.col(hash_idx).cast("string"), F.transform(vals, lambda v: v.cast("string")))
-
-
-class GrowingSketches:
-    """The shingles of the first functions of a family, extended in blocks when more are asked for."""
-
-    def __init__(self, sequences: DataFrame, cfg: SketchConfig, most: int):
-        self.sequences, self.cfg, self.most, self.made, self.blocks = sequences, cfg, most, 0, []
-
-    def of(self, hashes: int) -> DataFrame:
-        """(name, hash_idx, vals) for the first ``hashes`` functions."""
-        while self.made < hashes:
-            upto = min(self.most, max(hashes, self.made + max(1, self.made // 4)))
-            new = shingles(self.sequences, replace(self.cfg, hashes=upto), self.made)
-            self.blocks.append((self.made, materialise(new, f"shingles-{self.made}")))
-            self.made = upto
-        found = None
-        for first, block in self.blocks:
-            if first < hashes:
-                found = block if found is None else found.unionByName(block)
-        return found.filter(F.col("hash_idx") < hashes)
