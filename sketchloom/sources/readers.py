@@ -1,6 +1,6 @@
 """Readers of the text formats that sequence clustering exchanges. All are distributed scans.
 
-Formats that depend on line order get line numbers from the partitions' sizes, not from one task.
+Formats that depend on line order get line numbers from the sizes of the pieces that files are read in, not from one task.
 """
 
 from __future__ import annotations
@@ -15,13 +15,26 @@ from sketchloom.operators.clusters import annotation_ordinals, first_of_label, l
 NAME_LIMIT = 199
 
 
+def _placed(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(value, file, start, _id): lines, the piece of a file that each came from, and numbers that rise within a piece.
+
+    A scan deals pieces of files by size, the largest first, so only file and start tell their order. Files are in the order of
+    their part numbers, if they have any, then of their paths.
+    """
+    rows = spark.read.options(**options).text(path)
+    name, number = F.col("_metadata.file_path"), F.regexp_extract("_metadata.file_path", r"/part-(\d+)[^/]*$", 1)
+    file = F.struct(F.coalesce(number.try_cast("long"), F.lit(-1)).alias("number"), name.alias("path"))
+    return rows.select("value", file.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("_id"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value, part): lines with 0-based numbers in file order, and the partition they came from."""
-    rows = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    rows = rows.select("value", F.shiftright("_id", 33).alias("part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
-    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return rows.join(before, "part").select((F.col("_before") + F.col("_at")).alias("line_no"), "value", "part")
+    """(line_no, value, part): lines with 0-based numbers in the order of files and lines, and the number of the piece they came from."""
+    rows = _placed(spark, path)
+    counts = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))  # one row per piece
+    order = Window.orderBy("file", "start")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select("file", "start", "_first", before.alias("_before"), (F.row_number().over(order) - 1).cast("long").alias("part"))
+    return rows.join(placed, ["file", "start"]).select((F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value", "part")
 
 
 def fasta(spark: SparkSession, path: str, drop_empty: bool = True) -> DataFrame:
@@ -29,7 +42,7 @@ def fasta(spark: SparkSession, path: str, drop_empty: bool = True) -> DataFrame:
 
     Names are whole header lines, cut to 199 characters. Carriage returns and line feeds go from sequences.
     """
-    records = spark.read.option("lineSep", "\n>").text(path).withColumn("_id", F.monotonically_increasing_id())
+    records = _placed(spark, path, lineSep="\n>").withColumn("_id", F.struct("file", "start", "_id"))
     body = F.regexp_replace("value", r"^\s*>?", "")
     parts = records.select("_id", F.split(body, "\n", 2).alias("p")).filter(F.get("p", 0) != "")
     named = parts.select("_id", F.regexp_replace(F.substring(F.get("p", 0), 1, NAME_LIMIT), "\r$", "").alias("name"), F.regexp_replace(F.coalesce(F.get("p", 1), F.lit("")), "[\r\n]", "").alias("sequence"))

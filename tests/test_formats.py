@@ -6,6 +6,7 @@ import pytest
 
 from sketchloom.config import SketchConfig
 from sketchloom.functions import storage
+from sketchloom.functions.hashing import hash_params, params_table
 from sketchloom.operators import graph, sketch
 from sketchloom.operators.clusters import numbers_to_names
 from sketchloom.sources import readers, writers
@@ -32,6 +33,41 @@ def test_fasta(spark, tmp_path):
     assert rows(readers.fasta(spark, out)) == rows(back)
 
 
+def test_order_of_files_of_unlike_sizes(spark, tmp_path):
+    """A scan reads the largest pieces first; lines are numbered in the order of the files all the same."""
+    out, lines = tmp_path / "out", [f"line {i} " + "x" * (i % 50) for i in range(1200)]
+    out.mkdir()
+    for name, own in (("part-00000-a.txt", lines[:3]), ("part-00001-a.txt", lines[3:900]), ("part-00002-a.txt", lines[900:905]), ("part-100000-a.txt", lines[905:])):
+        (out / name).write_text("".join(f"{x}\n" for x in own))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("4096", "20000", "134217728"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "16")
+            assert [r["value"] for r in readers.numbered_lines(spark, str(out)).orderBy("line_no").collect()] == lines
+            assert [r["line_no"] for r in readers.numbered_lines(spark, str(out)).orderBy("line_no").collect()] == list(range(1200))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_first_record_of_a_name_across_files(spark, tmp_path):
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "part-00000-a.txt").write_text(">1_1\nFIRST\n")
+    (out / "part-00001-a.txt").write_text(">1_1\nSECOND\n>2_1\n" + "A" * 500 + "\n")
+    assert rows(readers.fasta(spark, str(out))) == [("1_1", "FIRST"), ("2_1", "A" * 500)]
+
+
+def test_family_of_a_seed(spark):
+    """Hash parameters by their definition, computed by another engine."""
+    import duckdb
+
+    draw = "(('0x' || substr(sha256('7/' || i || '/{0}'), 1, 16))::UBIGINT % 2147483647)::BIGINT"
+    expected = duckdb.sql(f"SELECT i, 1 + {draw.format('a')} % 1280000002, {draw.format('b')} FROM range(50) t(i) ORDER BY i").fetchall()
+    assert rows(params_table(spark, hash_params(7, 50))) == expected
+
+
 def test_kmv(spark, tmp_path):
     clusters = spark.createDataFrame([("9", "3_1"), ("9", "1_1"), ("10", "2_1")], "label string, member string")
     out = str(tmp_path / "out")
