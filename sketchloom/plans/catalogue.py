@@ -25,7 +25,8 @@ from sketchloom.operators import growth as R
 from sketchloom.operators import louvain as L
 from sketchloom.operators import search as S
 from sketchloom.operators import sketch as K
-from sketchloom.plans import files
+from sketchloom.plans import files, programs
+from sketchloom.sources import readers as RD
 from sketchloom.sources import writers as W
 from sketchloom.streaming import sketches as T
 
@@ -116,6 +117,16 @@ def level2_edges(spark, sf_dir):
     return S.similarity_graph(sequences(spark, sf_dir), CFG)
 
 
+def refined_once(spark, sf_dir):
+    """The graph of one round, which is the level-1 graph."""
+    return S.similarity_graph(sequences(spark, sf_dir), replace(CFG, rounds=1))
+
+
+def refined_thrice(spark, sf_dir):
+    """The graph of three rounds: neighbourhoods of the refined graph are sketched once more."""
+    return S.similarity_graph(sequences(spark, sf_dir), replace(CFG, rounds=3))
+
+
 def closed_neighbourhoods(spark, sf_dir):
     return C.marked(G.closed_neighbourhoods(edges(spark, sf_dir)))
 
@@ -215,6 +226,22 @@ def search_growth(spark, sf_dir):
     return rounded(S.search_trace(sequences(spark, sf_dir), GROWTH), "f")
 
 
+def search_stored(spark, sf_dir):
+    """One step of the search twice over a store: with clusters of its own making, then with those it finds."""
+    once, store = replace(SEARCH, max_hashes=5), scratch_path(spark, "store")
+    runs = [S.search_trace(sequences(spark, sf_dir), once, store=store).withColumn("run", F.lit(n)) for n in (1, 2)]
+    return rounded(runs[0].unionByName(runs[1]), "f")
+
+
+def file_graph_program(spark, sf_dir):
+    """The whole program: a FASTA file, less the sequences of toxic documents, to a METIS file in one piece under the name of its parameters."""
+    folder, done = scratch_path(spark, "program"), table(spark, sf_dir, "labels").filter("toxic = 1")
+    W.write_lines(W.fasta_lines(sequences(spark, sf_dir).filter("sequence is not null")), f"{folder}/docs.fa")
+    W.write_lines(done.select(F.concat(F.col("doc_id").cast("string"), F.lit("_1")).alias("line")), f"{folder}/done")
+    path = programs.fasta_to_graph(spark, f"{folder}/docs.fa", f"{folder}/of_", CFG, f"{folder}/done", one_file=True)
+    return materialise(RD.numbered_lines(spark, path).select(F.lit(path.rsplit("/", 1)[-1]).alias("file"), F.col("line_no").alias("row_no"), "value"), "read")
+
+
 def refinement_growth(spark, sf_dir):
     """Refined graphs of 4, 6 and 8 hash functions, each carried on from the one before."""
     growing = R.GrowingRefinement(S.GrowingSketches(sequences(spark, sf_dir), replace(CFG, hashes=8), 8), CFG)
@@ -259,6 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         components_hash_to_min, components_union_find, finalised_anti_join, label_blacklist, dictionary_encoding, annotation_ordinals,
         cluster_floor, largest_cluster, top_k_clusters, renamed_members, intersections, best_matches, f_value, nmi, search_trace,
         search_growth, refinement_growth, modularity_components, louvain_communities, label_spreading, streamed_sketches,
+        refined_once, refined_thrice, search_stored, file_graph_program,
     )
 } | files.QUERIES
 
@@ -298,6 +326,12 @@ def _sql(body: str, recursive: str = "") -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{_CTES}{', ' + recursive if recursive else ''} {body}"
 
 
+_ARCS2 = "arcs2 AS (SELECT DISTINCT x.name AS src, y.name AS dst FROM sh2 x JOIN sh2 y USING (shingle) WHERE x.name <> y.name)"
+_SH3 = f"""{_ARCS2},
+hashed3 AS (SELECT src AS name, hash_idx, dst, ((value % {PRIME}) * a + b) % {PRIME} AS h FROM arcs2 JOIN vv ON vv.name = dst, fam),
+ranked3 AS (SELECT *, row_number() OVER (PARTITION BY name, hash_idx ORDER BY h, dst) AS r FROM hashed3),
+sh3 AS (SELECT name, hash_idx::VARCHAR || '$' || string_agg(h::VARCHAR, '$' ORDER BY h) AS shingle FROM ranked3 WHERE r <= 2 GROUP BY name, hash_idx HAVING count(*) = 2)"""
+
 #: The SQL of the growing search has steps up to this number of functions.
 GROWN_TO = 12
 _REACH = "reach(node, seen) AS (SELECT src, src FROM arcs UNION SELECT node, dst FROM reach JOIN arcs ON seen = src)"
@@ -367,6 +401,14 @@ ORACLES: dict[str, str] = {
     "search_growth": "WITH RECURSIVE " + _CTES.replace(_FAMILY, _family(GROWTH, GROWN_TO)) + ", " + ", ".join(_searched(h, GROWTH.floor) for h in range(4, GROWN_TO + 1))
     + ", steps AS (" + " UNION ALL ".join(_step(h, h - 2) for h in range(6, GROWN_TO + 1)) + ") SELECT * FROM steps s WHERE NOT EXISTS (SELECT 1 FROM steps t WHERE t.hashes < s.hashes AND t.f >= 0.8)",
     "refinement_growth": "WITH " + _CTES.replace(_FAMILY, _family(CFG, max(GROWN))) + ", " + ", ".join(map(_refined, GROWN)) + " " + " UNION ALL ".join(f"SELECT {h} AS hashes, src, dst FROM refined_of_{h}" for h in GROWN),
+    "refined_once": _sql("SELECT src, dst FROM arcs"),
+    "refined_thrice": f"WITH {_CTES}, {_SH3} SELECT DISTINCT x.name AS src, y.name AS dst FROM sh3 x JOIN sh3 y USING (shingle) WHERE x.name <> y.name",
+    "search_stored": "WITH RECURSIVE " + _CTES.replace(_FAMILY, _family(SEARCH, SEARCH.max_hashes - 1)) + ", " + ", ".join(_searched(h) for h in (2, 4)) + ", step AS (" + _step(4, 2) + ") SELECT *, unnest([1, 2])::INT AS run FROM step",
+    "file_graph_program": "WITH " + _CTES.replace("FROM documents)", "FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1))") + f""", {_ARCS2},
+      ids2 AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT src AS name FROM arcs2)),
+      body AS (SELECT 0::BIGINT AS row_no, (SELECT count(*) FROM ids2) || ' ' || (SELECT count(*) FROM arcs2) AS value
+        UNION ALL SELECT s.id, string_agg(d.id::VARCHAR, ' ' ORDER BY d.id) || ' ' FROM arcs2 JOIN ids2 s ON s.name = src JOIN ids2 d ON d.name = dst GROUP BY s.id)
+      SELECT 'of_docs.fa_hash4_m2_kmer6' AS file, row_no, value FROM body""",
     "modularity_components": _sql(
         """SELECT 'components' AS "of", round(sum(own) / m2 - sum((tot / m2) * (tot / m2)), 9) AS modularity FROM (SELECT label, count(*)::DOUBLE AS tot, count(*)::DOUBLE AS own FROM arcs JOIN part ON node = src GROUP BY label), (SELECT count(*)::DOUBLE AS m2 FROM arcs) GROUP BY m2 UNION ALL SELECT 'all', 0.0::DOUBLE""",
         _REACH + ", part AS (SELECT node, min(seen) AS label FROM reach GROUP BY node)",

@@ -48,6 +48,14 @@ def file_fasta(spark, sf_dir):
     return readers.fasta(spark, written(writers.fasta_lines(docs), "fasta"))
 
 
+def file_fasta_repeated(spark, sf_dir):
+    """Documents as records under the name of their source: the first record of each name that has letters counts."""
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("name"), letters.alias("sequence"))
+    lines = docs.select("doc_id", F.concat(F.lit(">"), "name", F.lit("\n"), "sequence").alias("line"))
+    return readers.fasta(spark, written(lines, "fasta", ["doc_id"]))
+
+
 def file_fasta_ranges(spark, sf_dir):
     """The same file by byte ranges of a megabyte, sequences in pieces of 10,000 letters."""
     letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
@@ -141,6 +149,16 @@ def file_renumbered_annotations(spark, sf_dir):
     return readers.numbered_lines(spark, path).select("line_no", "value")
 
 
+def file_commented_annotations(spark, sf_dir):
+    """Annotation lines, a comment in front of those of urgent orders: comments keep their numbers and go."""
+    orders = annotated(spark, sf_dir).withColumn("at", F.lit(1))
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    comments = urgent.select("o_orderkey", F.concat_ws("\t", F.concat(F.lit("#"), F.col("o_custkey").cast("string")), "o_orderstatus").alias("line"), F.lit(0).alias("at"))
+    lines = readers.numbered_lines(spark, written(orders.unionByName(comments), "commented", ["o_orderkey", "at"]))
+    known = table(spark, sf_dir, "customer").filter("c_custkey <= 500").select(F.col("c_custkey").cast("string").alias("name"), F.col("c_custkey").alias("id"))
+    return writers.renumbered_annotations(lines, known)
+
+
 def file_cluster_blocks(spark, sf_dir):
     blocks = table(spark, sf_dir, "nation").select("n_nationkey", F.lit(-1).cast("long").alias("at"), F.concat(F.lit("Cluster: "), "n_name").alias("line"))
     members = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("at"), F.concat(F.lit("1 >"), F.col("c_custkey").cast("string"), F.lit("_4")).alias("line"))
@@ -165,6 +183,23 @@ def file_comparison(spark, sf_dir):
     return found.select(*(F.round(c, 9).alias(c) for c in found.columns), F.lit(read).alias("f_read"))
 
 
+def file_comparison_of_largest(spark, sf_dir):
+    """The ten largest clusters of either file, members cut to the sequence of which they are a region: two customers make one."""
+    region = F.concat_ws("_", F.expr("c_custkey div 2").cast("string"), (F.col("c_custkey") % 2).cast("string")).alias("member")
+    customers = table(spark, sf_dir, "customer")
+    labels = (F.col("c_nationkey").cast("string"), F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment"))
+    paths = [written(writers.kmv_lines(customers.select(x.alias("label"), region)), "compared", ["label"]) for x in labels]
+    found = programs.compare_files(spark, *paths, floor=2, top=10, rename=True)
+    return found.select(*(F.round(c, 9).alias(c) for c in found.columns))
+
+
+def file_named_clusters(spark, sf_dir):
+    """A cluster file under the name of its parameters, read whole: name, length and digest."""
+    path = f"{scratch_path(spark, 'named')}/{writers.cluster_name('nations', 6, 2, 2, 3, 41)}"
+    single.write_single(writers.kmv_segments(nations(spark, sf_dir)), path, ["label", "member"], "label")
+    return readers.raw(spark, path).select(F.substring_index("path", "/", -1).alias("name"), "length", F.md5("content").alias("digest"))
+
+
 def edge_difference(spark, sf_dir):
     """Edges that are left without those of short types."""
     edges = part_edges(spark, sf_dir)
@@ -176,7 +211,8 @@ QUERIES = {
     for f in (
         file_fasta, file_fasta_ranges, file_sketches_of_pieces, file_metis_single, file_kmv_clusters, file_kv_edges, file_metis, file_edge_list, file_dictionary, file_communities, file_community_clusters,
         file_conversion_table, file_names, file_hash_parameters, file_annotations, file_renumbered_annotations, file_cluster_blocks,
-        file_names_of_numbers, file_comparison, edge_difference,
+        file_names_of_numbers, file_comparison, edge_difference, file_fasta_repeated, file_commented_annotations, file_comparison_of_largest,
+        file_named_clusters,
     )
 }
 
@@ -210,6 +246,22 @@ ORACLES = {
       f AS (SELECT *, {_F} AS f FROM (SELECT x.c_nationkey, c_mktsegment, sx, sy, sy AS n FROM x JOIN y USING (c_nationkey))),
       t AS (SELECT sum(sx * best) / sum(sx) AS v FROM (SELECT x.c_nationkey, sx, coalesce(max(f), 0) AS best FROM x LEFT JOIN f USING (c_nationkey, sx) GROUP BY ALL)), b AS (SELECT sum(sy * f) / sum(sy) AS v FROM f)
       SELECT round(t.v, 9) AS f_test, round(b.v, 9) AS f_base, round((t.v + b.v) / 2, 9) AS f_avg, round((t.v + b.v) / 2, 9) AS f_read FROM t, b""",
+    "file_fasta_repeated": "SELECT name, arg_min(sequence, doc_id) AS sequence FROM (SELECT doc_id, coalesce(source, 'none') AS name, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents) WHERE sequence <> '' GROUP BY name",
+    "file_commented_annotations": """WITH lines AS (SELECT *, row_number() OVER (ORDER BY o_orderkey, place) - 1 AS line_no FROM (SELECT o_orderkey, 1 AS place, o_custkey, o_orderpriority, o_orderstatus FROM orders
+      UNION ALL SELECT o_orderkey, 0, o_custkey, NULL, NULL FROM orders WHERE o_orderpriority = '1-URGENT')),
+      new AS (SELECT o_custkey, row_number() OVER (ORDER BY min(line_no)) + (SELECT count(*) FROM customer WHERE c_custkey <= 500) AS id FROM lines
+      WHERE place = 1 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 500) GROUP BY o_custkey)
+      SELECT line_no, coalesce(id, o_custkey)::VARCHAR || chr(9) || concat_ws(chr(9), 'a', 'b', 'c', 'd', o_orderpriority, o_orderstatus) AS line FROM lines LEFT JOIN new USING (o_custkey) WHERE place = 1""",
+    "file_comparison_of_largest": f"""WITH m AS (SELECT c_nationkey::VARCHAR AS xl, c_nationkey || '-' || c_mktsegment AS yl, c_custkey // 2 AS member FROM customer),
+      xm AS (SELECT DISTINCT xl, member FROM m), ym AS (SELECT DISTINCT yl, member FROM m),
+      x AS (SELECT xl, count(*) AS sx FROM xm GROUP BY xl HAVING count(*) >= 2 ORDER BY sx DESC, xl DESC LIMIT 10), y AS (SELECT yl, count(*) AS sy FROM ym GROUP BY yl HAVING count(*) >= 2 ORDER BY sy DESC, yl DESC LIMIT 10),
+      f AS (SELECT *, {_F} AS f FROM (SELECT xl, yl, count(*) AS n FROM xm JOIN ym USING (member) GROUP BY ALL) JOIN x USING (xl) JOIN y USING (yl)),
+      t AS (SELECT sum(sx * best) / sum(sx) AS v FROM (SELECT x.xl, x.sx, coalesce(max(f), 0) AS best FROM x LEFT JOIN f ON f.xl = x.xl GROUP BY ALL)),
+      b AS (SELECT sum(sy * best) / sum(sy) AS v FROM (SELECT y.yl, y.sy, coalesce(max(f), 0) AS best FROM y LEFT JOIN f ON f.yl = y.yl GROUP BY ALL))
+      SELECT round(t.v, 9) AS f_test, round(b.v, 9) AS f_base, round((t.v + b.v) / 2, 9) AS f_avg FROM t, b""",
+    "file_named_clusters": """WITH m AS (SELECT c_nationkey::VARCHAR AS label, c_custkey || '_1' AS member FROM customer),
+      l AS (SELECT label, 'KMV pair: proc 0, nvalues ' || count(*) || ', sizes 9 4679, key @' || label || ', values ' || string_agg('/' || member, ' ' ORDER BY member) || chr(10) AS line FROM m GROUP BY label),
+      w AS (SELECT string_agg(line, '' ORDER BY label) AS content FROM l) SELECT 'nations_k6sh2m2cc3h41' AS name, strlen(content) AS length, md5(content) AS digest FROM w""",
     "edge_difference": f"WITH {_EDGES} SELECT src, dst FROM pe WHERE split_part(dst, '_', 1)::INT >= 7",
 }
 ORACLES["file_fasta_ranges"] = ORACLES["file_fasta"]
