@@ -101,9 +101,9 @@ def refined_edges(shingles: DataFrame, cfg: SketchConfig) -> DataFrame:
     """(src, dst) both ways after ``cfg.rounds`` rounds; each round's graph replaces the one before."""
     if cfg.rounds <= 1:
         return level1_edges(shingles)
-    own = neighbour_shingles_of_buckets(shingles, cfg)
-    for _ in range(cfg.rounds - 2):
-        own = neighbour_shingles_of_buckets(own, cfg)
+    own = shingles
+    for _ in range(cfg.rounds - 1):  # written, as the next round reads each of them more than once
+        own = materialise(neighbour_shingles_of_buckets(own, cfg), "neighbourhoods")
     return level1_edges(own)
 
 
