@@ -163,3 +163,38 @@ def test_profiles_of_kmers_stay_where_they_are(spark):
 
 def rows_of(df):
     return [(r[0] or "", *r[1:]) for r in map(tuple, df.collect())]
+
+
+def test_refinement_sends_few_rows_per_membership(spark):
+    """Twelve functions over 1,200 names in 12 buckets each: lists go from buckets to members, not a row per function and rank."""
+    draw = random.Random(3)
+    made = spark.createDataFrame([(f"{i}_1", h, [draw.randrange(40)]) for i in range(1200) for h in range(12)], ROWS).persist()
+    cfg = SketchConfig(k=5, c=2, rounds=2, hashes=12)
+    assert sent(spark, lambda: graph.neighbour_shingles_of_buckets(made, cfg)) < 8 * made.count()
+    assert rows_of(graph.neighbour_shingles_of_buckets(made, cfg)) and rows(graph.neighbour_shingles_of_buckets(made, cfg)) == rows(graph.neighbour_shingles(graph.edges_first_hash(made), cfg))
+
+
+def test_refinement_of_repeated_members(spark, mixed):
+    """A name that is in a bucket twice doesn't take another one's place, in one Arrow batch or in several."""
+    numbered = mixed.unionByName(mixed).filter("name <> 'alone_1'")
+    cfg = SketchConfig(k=5, c=2, rounds=2, hashes=3)
+    expected = rows(graph.neighbour_shingles(graph.edges_first_hash(numbered), cfg))
+    assert expected and rows(graph.neighbour_shingles_of_buckets(numbered, cfg)) == expected
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        assert rows(graph.neighbour_shingles_of_buckets(numbered, cfg)) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("bucket", [1024, 1])
+def test_arcs_of_names_in_many_buckets_are_counted_without_pairs(spark, mixed, monkeypatch, bucket):
+    draw = random.Random(9)
+    many = spark.createDataFrame([(f"{i}_1", h, [draw.randrange(3 + h)]) for i in range(80) for h in range(8)], ROWS)
+    expected = [rows(graph.graph_counts(graph.level1_edges(x))) for x in (many, mixed)]
+    monkeypatch.setattr(graph, "BUCKET", bucket)
+    monkeypatch.setattr(bucketed.graph, "edges_first_hash", lambda *_: pytest.fail("pairs were made"))
+    assert rows(bucketed.graph_counts(many)) == expected[0] and bucketed.arcs(many) == expected[0][0][1]
+    monkeypatch.setattr(bucketed, "MOST", 0)
+    assert rows(bucketed.graph_counts(mixed)) == expected[1]
