@@ -4,6 +4,7 @@ import pytest
 
 from sketchloom.config import SketchConfig
 from sketchloom.operators import clusters as C
+from sketchloom.operators import graph as G
 from sketchloom.plans import programs
 from sketchloom.sources import readers
 
@@ -63,3 +64,25 @@ def test_ties_of_top_clusters_by_place_in_the_file(spark, tmp_path):
     assert programs.compare_files(spark, test, base, floor=2, top=1).first().f_avg == 1
     found = programs.compare_files(spark, test, test, floor=2, mutual=True).first()
     assert abs(found.nmi_max - 1) < 1e-9 and abs(found.nmi_lfk - 1) < 1e-9
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_graph_files_of_buckets_equal_those_of_edges(spark, tmp_path, monkeypatch, bound):
+    """Lists sent or shuffled, one range or several, folders or single files: the same bytes, and no arc is sent or kept."""
+    draw = __import__("random").Random(4)
+    made = [(f"{i}_1", h, [draw.randrange(6 + 3 * h)]) for i in range(50) for h in range(3)] + [("alone_1", 0, [99])]
+    shingles = spark.createDataFrame(made, "name string, hash_idx int, vals array<long>").persist()
+    edges = G.level1_edges(shingles)
+    monkeypatch.setattr(programs, "RANGE_ARCS", 100)
+    of = programs.adjacency_of_numbered
+    monkeypatch.setattr(programs, "adjacency_of_numbered", lambda n, **how: of(n, bound, **how))
+    monkeypatch.setattr(G, "edges_first_hash", lambda *_: pytest.fail("pairs were made as rows"))
+    programs.write_graph(edges, f"{tmp_path}/edges", one_file=True)
+    programs.write_graph_of_buckets(shingles, f"{tmp_path}/buckets", one_file=True)
+    programs.write_graph_of_buckets(shingles, f"{tmp_path}/folder")
+    for end in ("", "_edges", "_dictionary"):
+        whole = (tmp_path / f"edges{end}").read_text()
+        assert whole and (tmp_path / f"buckets{end}").read_text() == whole
+        assert "".join(p.read_text() for p in sorted((tmp_path / f"folder{end}").glob("part-*"))) == whole
+    programs.write_graph_of_buckets(shingles.filter("name = 'alone_1'"), f"{tmp_path}/none", one_file=True)
+    assert [(tmp_path / f"none{end}").read_text() for end in ("", "_edges", "_dictionary")] == ["0 0\n", "", ""]
