@@ -109,3 +109,15 @@ def test_state_of_a_stream_equals_the_batch_also_after_restarts(spark, tmp_path)
         query.awaitTermination()
         whole = sketch.shingles(spark.createDataFrame(made[: b * 20 + 20], "name string, sequence string"), cfg)
         assert rows(sketches.current_sketches(spark, f"{tmp_path}/out")) == rows(sketch.merge_sketches(whole, whole.limit(0), 2))
+
+
+def test_copies_of_packed_and_plain_pieces(tmp_path):
+    import pyarrow as pa
+
+    with pa.CompressedOutputStream(pa.OSFile(f"{tmp_path}/one{single.PACKED}", "wb"), "zstd") as out:
+        out.write(b"packed")
+    (tmp_path / "two").write_bytes(b"plain")
+    (tmp_path / "whole").write_bytes(b"")
+    batch = pa.RecordBatch.from_pydict({"path": [f"{tmp_path}/one{single.PACKED}", f"{tmp_path}/two"], "at": [0, 7], "size": [6, 5], "closes": [True, False]})
+    assert [b.to_pylist() for b in single._copy(str(tmp_path / "whole"))([batch])] == [[{"size": 7}], [{"size": 5}]]
+    assert (tmp_path / "whole").read_bytes() == b"packed\nplain"
