@@ -198,3 +198,22 @@ def test_arcs_of_names_in_many_buckets_are_counted_without_pairs(spark, mixed, m
     assert rows(bucketed.graph_counts(many)) == expected[0] and bucketed.arcs(many) == expected[0][0][1]
     monkeypatch.setattr(bucketed, "MOST", 0)
     assert rows(bucketed.graph_counts(mixed)) == expected[1]
+
+
+def broadcasts(spark, make):
+    """Broadcasts of joins while ``make()`` is made and counted, as Spark's SQL store has their plans."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    make().count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.executionsList(int(before), 1000)
+    return sum(found.apply(i).physicalPlanDescription().count("BroadcastExchange") for i in range(found.size()))
+
+
+@pytest.mark.parametrize("made", ["graph_counts", "degrees"])
+def test_joins_of_names_pass_nothing_through_the_driver(spark, mixed, made):
+    """Tables are small here, and so are compressed files of large ones: joins over names must be shuffles whatever is estimated."""
+    of = {"label_spreading": lambda: bucketed.label_spreading(mixed, 3), "modularity": lambda: bucketed.modularity(mixed, graph.vertices(mixed).selectExpr("'x' label", "name member"))}
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
+    assert broadcasts(spark, of.get(made) or (lambda: getattr(bucketed, made)(mixed))) == 0
