@@ -211,7 +211,7 @@ def broadcasts(spark, make):
     return sum(found.apply(i).physicalPlanDescription().count("BroadcastExchange") for i in range(found.size()))
 
 
-@pytest.mark.parametrize("made", ["graph_counts", "label_spreading", "degrees"])
+@pytest.mark.parametrize("made", ["graph_counts", "label_spreading", "modularity", "degrees", "component_communities"])
 def test_joins_of_names_pass_nothing_through_the_driver(spark, mixed, made):
     """Tables are small here, and so are compressed files of large ones: joins over names must be shuffles whatever is estimated."""
     of = {"label_spreading": lambda: bucketed.label_spreading(mixed, 3), "modularity": lambda: bucketed.modularity(mixed, graph.vertices(mixed).selectExpr("'x' label", "name member"))}
