@@ -217,3 +217,9 @@ def test_joins_of_names_pass_nothing_through_the_driver(spark, mixed, made):
     of = {"label_spreading": lambda: bucketed.label_spreading(mixed, 3), "modularity": lambda: bucketed.modularity(mixed, graph.vertices(mixed).selectExpr("'x' label", "name member"))}
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
     assert broadcasts(spark, of.get(made) or (lambda: getattr(bucketed, made)(mixed))) == 0
+
+
+def test_search_passes_nothing_through_the_driver(spark):
+    made = spark.createDataFrame([(f"{i}_1", "ACGTACGGTACCA"[i % 3 :]) for i in range(9)], "name string, sequence string")
+    cfg = SketchConfig(k=5, hashes=3, difference=1, max_hashes=4, threshold=1.1, min_cluster_size=2)
+    assert broadcasts(spark, lambda: search.search_trace(made, cfg)) == 0
