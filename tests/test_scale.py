@@ -223,3 +223,11 @@ def test_search_passes_nothing_through_the_driver(spark):
     made = spark.createDataFrame([(f"{i}_1", "ACGTACGGTACCA"[i % 3 :]) for i in range(9)], "name string, sequence string")
     cfg = SketchConfig(k=5, hashes=3, difference=1, max_hashes=4, threshold=1.1, min_cluster_size=2)
     assert broadcasts(spark, lambda: search.search_trace(made, cfg)) == 0
+
+
+def test_tasks_are_as_many_as_pairs_ask_for(spark, hot, monkeypatch):
+    """1,500 members are a few KB, which adaptive execution would put into one task, and over a million pairs."""
+    monkeypatch.setattr(graph, "PAIRS", 1 << 16, raising=False)
+    made = graph.edges_first_hash(hot, 256).groupBy(graph.F.spark_partition_id()).count().toDF("task", "n")
+    n, most, total = made.agg(graph.F.count("n"), graph.F.max("n"), graph.F.sum("n")).first()
+    assert total == 1500 * 1499 // 2 and n > 8 and most < total / 4
