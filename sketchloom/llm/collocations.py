@@ -4,14 +4,14 @@
 sketch; slices of the tasks' sketches are merged as streams, and what is kept of a slot is one bit: whether all tasks together
 hit it ``least`` times. Counts only overestimate, so a phrase that is frequent enough always has its bits set. 3. Phrases of
 three and more words are counted in a second sketch, where all their pairs have passed the first. 4. What passes is spelled
-out, each phrase once, and dealt into packs of bounded bytes; a pack is compiled into one automaton per language, whose
-patterns are guarded by delimiters on either side, so that they match whole words only and never across the end
-of a piece. Scanning a text once finds all phrases of a pack, overlapping ones too; tasks count, sums are exact, and
-phrases below ``least`` go. 5. Scores, the test for containment in longer phrases and the ranks are joins and windows.
+out, each phrase once, and dealt into packs of bounded bytes, by language; a pack is compiled into one automaton per language, in
+which a word is three letters, so that its patterns match whole words only; words that no phrase has and ends of pieces are a
+letter that no pattern has. Scanning a text once finds all phrases of a pack, overlapping ones too; tasks count, sums are
+exact, and phrases below ``least`` go. 5. Scores, the test for containment in longer phrases and the ranks are joins and windows.
 
 Scale: sketches have about eight slots per word up to ``MAX_SLOTS``; a bitmap per row is all that is broadcast, as is one pack
 at a time. Beyond some 30 million words the sketch passes more and more phrases that are too rare; they cost
-counting, never correctness, and a pack of phrases costs one more scan of the texts.
+counting, never correctness, and a pack of phrases costs one more scan of the texts of its languages.
 
 Defined cases: a null text is empty and adds nothing; a null language is ``und``. Texts without two neighbouring words have no
 phrases. A long text is cut at delimiters into stretches of bounded size; a piece without any delimiter is held whole.
@@ -22,6 +22,7 @@ partitions. Empty tables give no rows. Columns besides the named ones aren't loo
 from __future__ import annotations
 
 import collections
+import operator
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ INSIDE = 80
 #: Bytes of phrases in one automaton pack, about; n-grams that a task counts before it emits; characters of a stretch.
 #: Phrases counted as one row, and tasks that sum them up.
 CHUNK, MERGES = 1 << 13, 64
-PACK_BYTES, HELD, STRETCH = 8 << 20, 1 << 22, 1 << 20
+PACK_BYTES, HELD, STRETCH = 16 << 20, 1 << 22, 1 << 20
 GUARD = b"."
 _DELIMITERS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", GUARD * 9 + b" ")
 
@@ -60,13 +61,6 @@ def tokens(text: str) -> list[bytes]:
     return guarded(text).split()
 
 
-def single_blanks(text: bytes) -> str:
-    """What automata read: words and guards, each between single blanks."""
-    while b"  " in text:
-        text = text.replace(b"  ", b" ")
-    return text.decode("utf-8", "surrogatepass")
-
-
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     """A text in stretches of about ``size`` characters that end at delimiters."""
     at = 0
@@ -275,32 +269,45 @@ def _frequent_slots(parts: DataFrame, slots: int, least: int) -> list[bytes]:
     return [zlib.compress(b"".join(zlib.decompress(found[r * SLICES + s]) if r * SLICES + s in found else empty for s in range(SLICES)), 1) for r in range(ROWS)]
 
 
+_BREAK = "\0"
+
 _compiled: dict[str, dict] = {}
 
 
-def _listed(pack) -> dict[str, list[str]]:
-    return {lang: zlib.decompress(phrases).decode("utf-8", "surrogatepass").split("\n") for lang, phrases in pack.value[1].items()}
+def _spelled(words: list[bytes]) -> dict[bytes, str]:
+    """Three letters for each word, of an alphabet for each place, so that no word begins or ends inside another one.
+
+    Alphabets are as small as the number of words allows, as automata look for the next letter one by one.
+    """
+    base = 1
+    while base**3 < len(words):
+        base += 1
+    return {w: chr(1 + i // base // base) + chr(1 + base + i // base % base) + chr(1 + 2 * base + i % base) for i, w in enumerate(words)}
+
+
+def _listed(pack) -> dict[str, list[bytes]]:
+    return {lang: [p for blob in blobs for p in zlib.decompress(blob).split(b"\n")] for lang, blobs in pack.value[1].items()}
 
 
-def _automata(pack) -> dict[str, tuple[pa.Array, ahocorasick.Automaton]]:
-    """The automata of a pack, compiled once per worker."""
+def _automata(pack) -> dict[str, tuple[int, dict[bytes, str], ahocorasick.Automaton]]:
+    """How many phrases of each language a pack has, their words' letters and their automaton, compiled once per worker."""
     uid, _ = pack.value
     if uid not in _compiled:
         _compiled.clear()
         own = {}
         for lang, phrases in _listed(pack).items():
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            automaton, letters = ahocorasick.Automaton(ahocorasick.STORE_INTS), _spelled(list(dict.fromkeys(w for p in phrases for w in p.split(b" "))))
             for i, phrase in enumerate(phrases):
-                automaton.add_word(f" {phrase} ", i)
+                automaton.add_word("".join([letters[w] for w in phrase.split(b" ")]), i)
             automaton.make_automaton()
-            own[lang] = pa.array(phrases, pa.string()), automaton
+            own[lang] = len(phrases), letters, automaton
         _compiled[uid] = own
     return _compiled[uid]
 
 
-def _chunks(automata: dict) -> list[tuple[str, int]]:
+def _chunks(sizes: dict[str, int]) -> list[tuple[str, int]]:
     """(lang, first phrase) of the stretches of a pack's phrases that are counted as one row."""
-    return [(lang, at) for lang in sorted(automata) for at in range(0, len(automata[lang][0]), CHUNK)]
+    return [(lang, at) for lang in sorted(sizes) for at in range(0, sizes[lang], CHUNK)]
 
 
 def _scan(pack):
@@ -309,14 +316,13 @@ def _scan(pack):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(pack)
-        counts = {lang: np.zeros(len(phrases), np.int64) for lang, (phrases, _) in automata.items()}
-        for batch in batches:
-            for text, lang in zip(batch.column("_t"), batch.column("lang").to_pylist()):
-                if lang in automata:
-                    for part in stretches(text.as_py() or ""):
-                        found = automata[lang][1].iter(single_blanks(b" " + guarded(part) + b" "))
-                        np.add.at(counts[lang], np.fromiter((i for _, i in found), np.int64), 1)
-        for k, (lang, at) in enumerate(_chunks(automata)):
+        counts = {lang: np.zeros(n, np.int64) for lang, (n, _, _) in automata.items()}
+        for lang, words in _stretched(batches):
+            if lang in automata:
+                _, letters, automaton = automata[lang]
+                found = automaton.iter("".join([letters.get(w, _BREAK) for w in words]))
+                np.add.at(counts[lang], np.fromiter(map(operator.itemgetter(1), found), np.int64), 1)
+        for k, (lang, at) in enumerate(_chunks({lang: len(own) for lang, own in counts.items()})):
             own = counts[lang][at : at + CHUNK]
             if own.any():
                 planes = np.ascontiguousarray(own.astype("<i8").view(np.uint8).reshape(-1, 8).T)
@@ -329,17 +335,17 @@ def _summed(pack, least: int):
     """Streams the chunks of all tasks, ordered by chunk, into the phrases that occur ``least`` times or more."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total, chunks, automata = None, None, None, None
+        at, total, chunks, phrases = None, None, None, None
 
         def out() -> pa.RecordBatch:
             lang, first = chunks[at]
             met = np.flatnonzero(total >= least)
-            return _phrases(lang, automata[lang].take(pa.array(met + first)), total[met])
+            return _phrases(lang, [phrases[lang][i] for i in (met + first).tolist()], total[met])
 
         for batch in batches:
-            if automata is None:
-                automata = {lang: pa.array(p, pa.string()) for lang, p in _listed(pack).items()}
-                chunks = _chunks({lang: (p,) for lang, p in automata.items()})
+            if phrases is None:
+                phrases = _listed(pack)
+                chunks = _chunks({lang: len(p) for lang, p in phrases.items()})
             for k, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "counts"))):
                 own = np.ascontiguousarray(np.frombuffer(zlib.decompress(counts), np.uint8).reshape(8, -1).T).view("<i8").ravel()
                 if k != at:
@@ -353,19 +359,46 @@ def _summed(pack, least: int):
     return summed
 
 
-def _packs(candidates: DataFrame, pack_bytes: int) -> Iterator[dict[str, bytes]]:
-    """Candidates dealt by hash into packs of about ``pack_bytes``; one at a time is on the driver."""
-    total = candidates.agg(F.sum(F.octet_length("phrase") + 1)).first()[0] or 0
-    n = -(-total // pack_bytes)
-    dealt = materialise(candidates.withColumn("_pack", F.pmod(F.xxhash64("phrase"), F.lit(n)).cast("int")).repartition(max(n, 1), "_pack"), "packs") if n > 1 else candidates
-    for k in range(n):
-        rows = (dealt.filter(F.col("_pack") == k) if n > 1 else dealt).groupBy("lang").agg(F.array_join(F.collect_list("phrase"), "\n").alias("p"))
-        yield {lang: zlib.compress(p.encode("utf-8", "surrogatepass"), 1) for lang, p in rows.collect()}
+def _dealt(sizes: dict[str, int], pack_bytes: int) -> list[tuple[str, int, int]]:
+    """(lang, first pack, number of packs): large languages have packs of their own, small ones share."""
+    out, n, room = [], 0, 0
+    for lang, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if size > room:
+            own = -(-size // pack_bytes)
+            out.append((lang, n, own))
+            n, room = n + own, pack_bytes - size if own == 1 else 0
+        else:
+            out.append((lang, n - 1, 1))
+            room -= size
+    return out
 
 
-def pack_sizes(pack: dict[str, bytes]) -> list[int]:
-    """How many phrases of each language a pack has."""
-    return [zlib.decompress(p).count(b"\n") + 1 for p in pack.values()]
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases (lang, phrase) as (lang, compressed lines, number)."""
+    for batch in batches:
+        own = collections.defaultdict(list)
+        for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").cast(pa.binary()).to_pylist()):
+            own[lang].append(phrase)
+        for lang, phrases in own.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "lines": [zlib.compress(b"\n".join(phrases), 1)], "n": [len(phrases)]}, schema=pa.schema([("lang", pa.string()), ("lines", pa.binary()), ("n", pa.int64())]))
+
+
+def _packs(candidates: DataFrame, pack_bytes: int) -> Iterator[tuple[dict[str, list[bytes]], int]]:
+    """Candidates dealt by language and hash into packs of about ``pack_bytes``, and their number of chunks; one at a time is on the driver, compressed."""
+    sizes = candidates.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 1).alias("b"))  # one row a language
+    dealt = _dealt(dict(sizes.collect()), pack_bytes)
+    n = max((first + own for _, first, own in dealt), default=0)
+    places = candidates.sparkSession.createDataFrame(dealt, "lang string, _first int, _own int")
+    packed = candidates.join(F.broadcast(places), "lang").withColumn("_pack", F.col("_first") + F.pmod(F.xxhash64("phrase"), F.col("_own")).cast("int"))
+    packed = materialise(packed.select("_pack", "lang", "phrase").repartition(n, "_pack"), "packs") if n > 1 else candidates
+    for k in range(n):
+        rows = (packed.filter(F.col("_pack") == k) if n > 1 else packed).select("lang", "phrase")
+        found, sizes = collections.defaultdict(list), collections.Counter()
+        for lang, lines, size in rows.mapInArrow(frugal(_zipped), "lang string, lines binary, n long").collect():
+            found[lang].append(lines)
+            sizes[lang] += size
+        if found:
+            yield dict(found), len(_chunks(sizes))
 
 
 def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, pack_bytes: int = PACK_BYTES, max_slots: int = MAX_SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -384,10 +417,9 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST,
         found = found.unionByName(third.select("lang", "phrase"))
     candidates = materialise(found.distinct(), "candidates")
     counted = None
-    for pack in filter(None, _packs(candidates, pack_bytes)):
+    for pack, n_chunks in _packs(candidates, pack_bytes):
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, pack))
-        parts = rows.mapInArrow(frugal(_scan(shared)), "chunk int, counts binary")
-        n_chunks = sum(-(-n // CHUNK) for n in pack_sizes(pack))
+        parts = rows.filter(F.col("lang").isin(*pack)).mapInArrow(frugal(_scan(shared)), "chunk int, counts binary")
         merged = parts.repartition(min(n_chunks, MERGES), "chunk").sortWithinPartitions("chunk").mapInArrow(frugal(_summed(shared, least)), _PARTS_DDL)
         scanned = materialise(merged.select("lang", "phrase", F.col("n").alias("f")), "scanned")
         counted = scanned if counted is None else counted.unionByName(scanned)

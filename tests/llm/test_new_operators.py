@@ -79,6 +79,28 @@ def test_a_full_sketch_loses_no_phrase(spark):
     assert rows(found) == sorted(((lang, " ".join(w), f) for (lang, w), f in counts.items() if len(w) > 1 and f >= 20), key=repr)
 
 
+def test_a_language_is_scanned_for_its_own_packs_only(spark):
+    """Scans grow with the phrases of a language, not with those of all languages."""
+    made = [(lang, f"{lang} {i}") for lang, n in (("en", 400), ("de", 90), ("fr", 30), ("es", 20)) for i in range(n)]
+    packs = list(collocations._packs(spark.createDataFrame(made, "lang string, phrase string"), 1000))
+    assert sorted(sorted(pack) for pack, _ in packs) == [["de", "es", "fr"], ["en"], ["en"], ["en"]]
+    found = [(lang, p.decode()) for pack, _ in packs for lang, own in collocations._listed(type("", (), {"value": ("", pack)})).items() for p in own]
+    assert sorted(found) == sorted(made)
+
+
+def test_words_are_few_letters_and_match_whole():
+    draw = random.Random(8)
+    words = [f"word{i:05}".encode() for i in range(3000)]
+    phrases = list(dict.fromkeys(b" ".join(draw.choices(words[:40], k=draw.randint(2, 4))) for _ in range(500))) + [b" ".join(x) for x in zip(words, words[1:])]
+    pack = type("", (), {"value": ("pack of a test", {"en": [zlib.compress(b"\n".join(phrases))]})})
+    n, letters, automaton = collocations._automata(pack)["en"]
+    assert n == len(phrases) and automaton.get_stats()["nodes_count"] < sum(map(len, phrases)) / 4
+    text = draw.choices(words[:40] + [b"unknown", b"."], k=20_000) + words
+    counts = collections.Counter(b" ".join(text[i : i + k]) for k in (2, 3, 4) for i in range(len(text) - k + 1))
+    met = collections.Counter(phrases[i] for _, i in automaton.iter("".join(letters.get(w, collocations._BREAK) for w in text)))
+    assert met == {p: counts[p] for p in phrases if counts[p]}
+
+
 def test_stretches_join_to_the_text():
     draw = random.Random(2)
     for _ in range(200):
